@@ -4,6 +4,11 @@ from maskloom.catalog.common import QUERIES, Query
 
 
 def registered() -> dict[str, Query]:
-    from maskloom.catalog import registry_queries, split_queries  # noqa: F401
+    from maskloom.catalog import (  # noqa: F401
+        array_queries,
+        metric_queries,
+        registry_queries,
+        split_queries,
+    )
 
     return dict(QUERIES)

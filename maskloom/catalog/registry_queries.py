@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from maskloom.catalog.common import SQL_POINTS, order_points, query, sql_key, table
+from maskloom.catalog.common import SQL_POINTS, images, order_points, query, sql_key, table
 from maskloom.catalog.split_queries import SQL_SETUP
 from maskloom.functions.hashing import point_id
 from maskloom.operators import registry as reg
 from maskloom.operators import splits
-from maskloom.operators.index import position_index
+from maskloom.operators.index import ordered_index, position_index
 from maskloom.session import shared_dir
 from maskloom.sources import images as img
 from maskloom.sources import tables
@@ -271,12 +271,10 @@ def next_version(spark, folder):
     return tables.first_free_version(rows)
 
 
-@query("SELECT count(*) AS n_points, sum(pos) AS sum_pos, round(sum(s), 6) AS pixel_sum FROM "
+@query("SELECT count(*) AS n_points, sum(pos)::BIGINT AS sum_pos, round(sum(s), 6) AS pixel_sum FROM "
        "(SELECT vec_id AS pos, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings)")
 def points_store(spark, folder):
     """Points written to parquet and read back."""
-    from maskloom.catalog.common import images
-
     path = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
     tables.write_points(images(spark, folder), path)
     stored = tables.read_points(spark, path)
@@ -293,8 +291,6 @@ def points_store(spark, folder):
   SELECT page_id, idx FROM ranked""")
 def file_listing(spark, folder):
     """Paths without a marker, ranked by path; page addresses stand in for file names."""
-    from maskloom.operators.index import ordered_index
-
     pages = table(spark, folder, "pages").select("page_id", "url")
     chosen = pages.filter(img.is_kind(F.col("url"), "image", "example.net"))
     return ordered_index(chosen, "url", "page_id").select("page_id", "idx")
@@ -305,8 +301,6 @@ def file_listing(spark, folder):
   SELECT i.page_id AS image_id, m.page_id AS mask_id, idx FROM i JOIN m USING (idx)""")
 def file_pairs(spark, folder):
     """Two equally long listings paired by place."""
-    from maskloom.operators.index import ordered_index
-
     pages = table(spark, folder, "pages")
     left = ordered_index(pages.select("url", "page_id"), "url", "page_id")
     right = ordered_index(

@@ -128,8 +128,8 @@ def require_uniform(df: DataFrame) -> DataFrame:
 def unique_values(df: DataFrame, image: str = "image") -> DataFrame:
     """Distinct pixel values with the number of images holding each."""
     return (
-        df.select(F.explode(F.array_distinct(image)).cast("double").alias("value"))
-        .groupBy("value")
+        df.select(F.explode(F.array_distinct(image)).alias("value"))
+        .groupBy(F.col("value").cast("double").alias("value"))
         .agg(F.count("*").alias("n_images"))
     )
 

@@ -42,7 +42,8 @@ def resized(tiles: DataFrame, target: int, method: str = "arrow") -> DataFrame:
     image = F.when(fits, F.col("image").cast("array<double>")).otherwise(
         a.resize_bilinear("image", "h", "w", target, target)
     )
-    return tiles.withColumns({"image": image, "h": F.lit(target), "w": F.lit(target)})
+    # The new shape comes in a second step: the lambdas above must see the old one.
+    return tiles.withColumn("image", image).withColumns({"h": F.lit(target), "w": F.lit(target)})
 
 
 def convert_images(
