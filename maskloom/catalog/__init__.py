@@ -6,6 +6,7 @@ from maskloom.catalog.common import QUERIES, Query
 def registered() -> dict[str, Query]:
     from maskloom.catalog import (  # noqa: F401
         array_queries,
+        loop_queries,
         metric_queries,
         registry_queries,
         split_queries,

@@ -99,7 +99,7 @@ def score_series(scores: DataFrame) -> DataFrame:
     return (
         scores.groupBy("run", "cycle")
         .pivot("model", ["classifier", "discriminator"])
-        .agg(F.first("metric"))
+        .agg(F.max("metric"))
     )
 
 

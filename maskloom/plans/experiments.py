@@ -7,9 +7,10 @@ from dataclasses import replace
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskloom.operators.index import ordered_index
 from maskloom.plans.loop import CurationLoop, LoopSettings
 
 
@@ -37,10 +38,7 @@ def run_experiments(
 
 
 def leaderboard(scores: DataFrame, model: str = "classifier") -> DataFrame:
-    """(place, run, cycles, last_metric, best_metric) by the last metric.
-
-    One row per run reaches the ranking window: scores are first aggregated by run.
-    """
+    """(place, run, cycles, last_metric, best_metric), best last metric first."""
     per_run = (
         scores.filter(F.col("model") == model)
         .groupBy("run")
@@ -50,5 +48,4 @@ def leaderboard(scores: DataFrame, model: str = "classifier") -> DataFrame:
             F.max("metric").alias("best_metric"),
         )
     )
-    order = Window.orderBy(F.col("last_metric").desc(), "run")
-    return per_run.withColumn("place", F.row_number().over(order))
+    return ordered_index(per_run, F.col("last_metric").desc(), "run", name="place")

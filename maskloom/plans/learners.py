@@ -177,7 +177,7 @@ def pixel_features(df: DataFrame, *keep: str, truth: str | None = "truth") -> Da
     for dr in (-1, 0, 1):
         for dc in (-1, 0, 1):
             inside = (row + dr >= 0) & (row + dr < h) & (col + dc >= 0) & (col + dc < w)
-            value = image[(i + dr * w + dc).cast("int")].cast("double")
+            value = F.get(image, (i + dr * w + dc).cast("int")).cast("double")
             total = total + F.when(inside, value).otherwise(0.0)
             count = count + inside.cast("int")
     columns = [*keep, "i", F.col("x").cast("double").alias("x"), (total / count).alias("mean3")]
@@ -202,7 +202,7 @@ class PixelLogisticModel:
             for dr in (-1, 0, 1):
                 for dc in (-1, 0, 1):
                     inside = (row + dr >= 0) & (row + dr < h) & (col + dc >= 0) & (col + dc < w)
-                    value = image[(i + dr * w + dc).cast("int")].cast("double")
+                    value = F.get(image, (i + dr * w + dc).cast("int")).cast("double")
                     total = total + F.when(inside, value).otherwise(0.0)
                     count = count + inside.cast("int")
             z = (
@@ -264,8 +264,8 @@ def pair_features(pairs: DataFrame, cut: float, *keep: str, mask: str = "mask")
     i, w, h = F.col("_i"), F.col("w"), F.col("h")
     x = F.col("_image")[i].cast("double")
     inside = F.col("_m") > 0
-    right = F.when(i % w < w - 1, F.col("_mask")[i + 1] != F.col("_m")).otherwise(F.lit(False))
-    below = F.when(i < (h - 1) * w, F.col("_mask")[i + w] != F.col("_m")).otherwise(F.lit(False))
+    right = F.when(i % w < w - 1, F.get("_mask", i + 1) != F.col("_m")).otherwise(F.lit(False))
+    below = F.when(i < (h - 1) * w, F.get("_mask", i + w) != F.col("_m")).otherwise(F.lit(False))
     agrees = (x >= F.lit(float(cut))) == inside
     sums = long.groupBy(*keys).agg(
         F.count("*").alias("n"),
