@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskloom.catalog.common import (
     SQL_POINTS, SQL_PX, images, order_points, query, r6, sql_double, sql_key, sql_share, table,
 )
 from maskloom.catalog.split_queries import SQL_SETUP
+from maskloom.functions import metrics as m
 from maskloom.operators import curation as cur
 from maskloom.operators import evaluate as ev
 from maskloom.operators import registry as reg
 from maskloom.operators import splits
+from maskloom.operators.history import best_checkpoint
+from maskloom.operators.sampling import draw_one
 from maskloom.plans import experiments, learners
 from maskloom.plans.loop import JUDGED, UPDATED, CurationLoop, LoopSettings
+from maskloom.session import cut_lineage, shared_dir
 from maskloom.sources import tables
 
 W = splits.DEFAULT_WEIGHTS
@@ -39,8 +45,9 @@ def _state(spark, folder):
 
 def _c(spark, folder):
     points, n, members, sizes = _state(spark, folder)
-    c_rows = cur.build_c(members, sizes["A_test"], sizes["B"])
-    shuffled = cur.shuffle_c(c_rows, 1)
+    machine, expert = cur.members_of(members, "A_test_pred"), cur.members_of(members, "B")
+    c_rows = cur.build_c(machine, expert, sizes["A_test"], sizes["B"])
+    shuffled = cut_lineage(cur.shuffle_c(c_rows, 1))
     return points, n, members, sizes, cur.slice_c(shuffled, splits.c_part_sizes(n, W))
 
 
@@ -113,7 +120,8 @@ SQL_ORDERS_D = f"""{SQL_POINTS}, {SQL_SETUP}, {_sql_c()}, d AS (
 def build_c(spark, folder):
     """Machine and expert rows in one collection, labelled."""
     _, _, members, sizes = _state(spark, folder)
-    c_rows = cur.build_c(members, sizes["A_test"], sizes["B"])
+    machine, expert = cur.members_of(members, "A_test_pred"), cur.members_of(members, "B")
+    c_rows = cur.build_c(machine, expert, sizes["A_test"], sizes["B"])
     return c_rows.select("point_id", "place.side", F.col("place.ord").alias("place"), "value")
 
 
@@ -139,7 +147,7 @@ def relabel_sample(spark, folder):
 
 def _updated(members, d_rows):
     selected = cur.select_for_relabel(d_rows, members, 30, 1)
-    ranked = selected.withColumn("rank", F.col("idx"))
+    ranked = cut_lineage(selected.withColumn("rank", F.col("idx")))
     n_moved = ranked.count()
     moves = cur.relabel_moves(ranked).unionByName(cur.refill_moves(ranked, members, n_moved, 1))
     return reg.move(members, moves)
@@ -161,6 +169,7 @@ def move_refill(spark, folder):
 def lost_points(spark, folder):
     """Ids of a second sample from the same D that have left A_test and B meanwhile."""
     members, _, d_rows = _d(spark, folder)
+    d_rows = cut_lineage(d_rows)
     return cur.lost_points(cur.select_for_relabel(d_rows, _updated(members, d_rows), 30, 2))
 
 
@@ -199,8 +208,6 @@ def rebalance(spark, folder):
   FROM m GROUP BY collection""")
 def transfer_one(spark, folder):
     """One random point from Z to B."""
-    from maskloom.operators.sampling import draw_one
-
     _, _, members, _ = _state(spark, folder)
     members = members.filter(F.col("collection") != "A_test_pred")
     picked = draw_one(cur.members_of(members, "Z"), "transfer").withColumn("hit", F.lit(1))
@@ -311,8 +318,6 @@ def mllib_segmenter(spark, folder):
     first, second = points.filter(F.col("pos") < half), points.filter(F.col("pos") >= half)
     model = learners.make_segmenter("pixel_logistic", epochs=10).fit(first, second)
     sums = ev.pixel_sums(model.transform(second), "label", pred="mask", with_bce=False)
-    from maskloom.functions import metrics as m
-
     return sums.select("label", r6(m.dice()).alias("dice"))
 
 
@@ -463,11 +468,6 @@ def loop_manual_labels(spark, folder):
 @query()
 def training_history(spark, folder):
     """Stored per-epoch history of two cycles, with the epoch of the best validation loss."""
-    import uuid
-
-    from maskloom.operators.history import best_checkpoint
-    from maskloom.session import shared_dir
-
     loop = _loop(spark, folder)
     loop.segmenter = learners.ThresholdSegmenter(**GRID, epochs=4)
     loop.run(2)

@@ -38,20 +38,21 @@ def attach(points: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
     return points.join(members, "point_id")
 
 
-def build_c(registry: DataFrame, n_machine: int, n_expert: int, strict: bool = True) -> DataFrame:
-    """C as (point_id, ord, value): predictions of A_test first, then B.
+def build_c(
+    machine: DataFrame, expert: DataFrame, n_machine: int, n_expert: int, strict: bool = True
+) -> DataFrame:
+    """C as (point_id, place, value): predictions of A_test first, then B.
 
     ``strict`` demands equally many of both.
     """
     if strict and n_machine != n_expert:
         raise ValueError(f"A_test has {n_machine} points and B {n_expert}; they must be equal")
-    machine = members_of(registry, "A_test_pred").select(
-        "point_id", F.struct(F.lit(0).alias("side"), "ord").alias("place"), F.lit(MACHINE).alias("value")
-    )
-    expert = members_of(registry, "B").select(
-        "point_id", F.struct(F.lit(1).alias("side"), "ord").alias("place"), F.lit(EXPERT).alias("value")
-    )
-    return machine.unionByName(expert)
+
+    def labelled(rows: DataFrame, side: int, label: int) -> DataFrame:
+        place = F.struct(F.lit(side).alias("side"), "ord").alias("place")
+        return rows.select("point_id", place, F.lit(label).alias("value"))
+
+    return labelled(machine, 0, MACHINE).unionByName(labelled(expert, 1, EXPERT))
 
 
 def shuffle_c(c_rows: DataFrame, cycle: int, seed: int = DEFAULT_SEED) -> DataFrame:

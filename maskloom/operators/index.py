@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import DEFAULT_SEED, random_key
-from maskloom.session import shared_dir
+from maskloom.session import cut_lineage
 
 # monotonically_increasing_id() keeps the partition above bit 33 and the row number below it.
 _ROW_BITS = 33
@@ -34,13 +34,11 @@ def ordered_index(df: DataFrame, *keys: str | Column, name: str = "idx") -> Data
     counting and ranking see the same partitions. A key shared by many rows is harmless as long
     as a later key tells them apart: the range bounds compare whole key tuples.
     """
-    shared_dir(df.sparkSession)
     keys = _cols(keys)
-    placed = (
+    placed = cut_lineage(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
-        .checkpoint()
     )
     part = F.shiftright("_slot", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

@@ -175,7 +175,8 @@ def find_named(members: DataFrame, catalog: DataFrame, ids: DataFrame | None = N
     # One row per collection of the point, so the window groups are small.
     order = Window.partitionBy("point_id").orderBy("reg_no")
     return (
-        hits.join(catalog, "collection_id")
+        # One row per collection, while a collection may hold a large share of all hits.
+        hits.join(F.broadcast(catalog), "collection_id")
         .withColumn("hit", F.row_number().over(order) - 1)
         .select(
             "point_id",
@@ -190,12 +191,15 @@ def tops(registry: DataFrame) -> DataFrame:
     return registry.groupBy("collection").agg(F.max("ord").alias("top"))
 
 
-def move(registry: DataFrame, moves: DataFrame, strict: bool = True) -> DataFrame:
+def move(
+    registry: DataFrame, moves: DataFrame, strict: bool = True, may_collide: bool = True
+) -> DataFrame:
     """Move points between collections in one pass.
 
     ``moves`` has (point_id, source, target, rank); a moved point lands behind everything its
     target held, in ``rank`` order. If the target already holds the id, its place there is kept
-    and the source row disappears, as with a dict.
+    and the source row disappears, as with a dict; ``may_collide=False`` saves that look-up when
+    it cannot happen. With ``strict`` a point missing from its source raises ``KeyError``.
     """
     if strict:
         unknown = moves.join(
@@ -205,20 +209,15 @@ def move(registry: DataFrame, moves: DataFrame, strict: bool = True) -> DataFram
         ).take(1)
         if unknown:
             raise KeyError(unknown[0]["point_id"])
-    held = registry.select("point_id", F.col("collection").alias("target"), F.lit(True).alias("_held"))
-    targets = tops(registry).withColumnsRenamed({"collection": "target", "top": "_top"})
-    placed = (
-        moves.join(held, ["point_id", "target"], "left")
-        .join(targets, "target", "left")
-        .select(
-            "point_id",
-            F.col("source").alias("collection"),
-            "target",
-            F.col("_held").isNotNull().alias("_held"),
-            (F.coalesce("_top", F.lit(-1)) + 1 + F.col("rank")).alias("_ord"),
-        )
+    # One row per collection; hashing moves by their few targets would pile them on few tasks.
+    targets = F.broadcast(tops(registry).withColumnsRenamed({"collection": "target", "top": "_top"}))
+    placed = moves.join(targets, "target", "left").select(
+        "point_id",
+        F.col("source").alias("collection"),
+        "target",
+        (F.coalesce("_top", F.lit(-1)) + 1 + F.col("rank")).alias("_ord"),
     )
-    joined = registry.join(placed, ["point_id", "collection"], "left")
+    joined = registry.join(_with_held(placed, registry, may_collide), ["point_id", "collection"], "left")
     return joined.filter(~F.coalesce("_held", F.lit(False))).select(
         *[
             F.coalesce("target", "collection").alias(c)
@@ -229,6 +228,16 @@ def move(registry: DataFrame, moves: DataFrame, strict: bool = True) -> DataFram
     )
 
 
+def _with_held(placed: DataFrame, registry: DataFrame, may_collide: bool) -> DataFrame:
+    """Add ``_held``: does the target hold the id already?"""
+    if not may_collide:
+        return placed.withColumn("_held", F.lit(False))
+    held = registry.select(
+        "point_id", F.col("collection").alias("target"), F.lit(True).alias("_held")
+    )
+    return placed.join(held, ["point_id", "target"], "left")
+
+
 class Registry:
     """The functions above bound to one membership frame, for interactive use."""
 

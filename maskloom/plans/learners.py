@@ -45,13 +45,19 @@ class Discriminator(Protocol):
 # --- threshold segmenter --------------------------------------------------------------------
 
 
-def cut_bin(x: Column, cuts: Sequence[float]) -> Column:
-    """How many of the ascending cuts ``x`` reaches."""
-    hits = [(x >= F.lit(float(cut))).cast("int") for cut in cuts]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
-    return total
+def cut_bin(x: str, cuts: Sequence[float]) -> Column:
+    """How many of the ascending cuts the column ``x`` reaches, by bisection."""
+
+    def bisect(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return (
+            f"CASE WHEN {x} >= {float(cuts[middle])!r}D THEN {bisect(middle + 1, high)} "
+            f"ELSE {bisect(low, middle)} END"
+        )
+
+    return F.expr(bisect(0, len(cuts)))
 
 
 def cut_histogram(df: DataFrame, cuts: Sequence[float], *by: str, image="image", truth="truth") -> DataFrame:
@@ -59,9 +65,12 @@ def cut_histogram(df: DataFrame, cuts: Sequence[float], *by: str, image="image",
 
     One pass over the pixels whatever the number of cuts; what is exchanged is a row per bin.
     """
-    long = df.select(*by, F.col(truth).alias("_truth"), F.posexplode(image).alias("_i", "_x"))
-    return long.groupBy(*by, cut_bin(F.col("_x").cast("double"), cuts).alias("bin")).agg(
-        F.count("*").alias("n"), F.sum(F.col("_truth")[F.col("_i")].cast("double")).alias("st")
+    raw = df.select(*by, F.col(truth).alias("_truth"), F.posexplode(image).alias("_i", "_raw"))
+    long = raw.select(
+        *by, F.get("_truth", "_i").cast("double").alias("_t"), F.col("_raw").cast("double").alias("_x")
+    )
+    return long.groupBy(*by, cut_bin("_x", cuts).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("_t").alias("st")
     )
 
 
@@ -320,8 +329,9 @@ class AgreementDiscriminator:
 
     def fit(self, train: DataFrame, val: DataFrame) -> AgreementModel:
         taus = [(k - 0.5) / self.levels for k in range(self.levels + 1)]
-        train_rows = self._counts(train, taus)
-        val_rows = self._counts(val, taus)
+        rows = self._counts(train, val, taus)
+        train_rows = [row[1:] for row in rows if row[0] == "train"]
+        val_rows = [row[1:] for row in rows if row[0] == "val"]
 
         def accuracy(rows, k: int) -> float | None:
             total = sum(n for _, _, n in rows)
@@ -339,11 +349,16 @@ class AgreementDiscriminator:
         ]
         return AgreementModel(self.cut, taus[best], self.slope, history)
 
-    def _counts(self, pairs: DataFrame, taus: Sequence[float]) -> list[tuple[int, int, int]]:
-        """Pairs per label and number of bounds reached: at most 2 * (levels + 2) rows."""
-        features = pair_features(pairs, self.cut, "label")
-        rows = features.groupBy("label", cut_bin(F.col("agreement"), taus).alias("bin")).count()
-        return [(r["label"], r["bin"], r["count"]) for r in rows.collect()]
+    def _counts(
+        self, train: DataFrame, val: DataFrame, taus: Sequence[float]
+    ) -> list[tuple[str, int, int, int]]:
+        """Pairs per part, label and number of bounds reached: at most 4 * (levels + 2) rows."""
+        both = train.withColumn("part", F.lit("train")).unionByName(
+            val.withColumn("part", F.lit("val"))
+        )
+        features = pair_features(both, self.cut, "part", "label")
+        rows = features.groupBy("part", "label", cut_bin("agreement", taus).alias("bin")).count()
+        return [(r["part"], r["label"], r["bin"], r["count"]) for r in rows.collect()]
 
 
 # --- logistic pair discriminator ------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ from maskloom.plans import learners
 from maskloom.session import shared_dir
 from maskloom.sources.tables import SnapshotStore
 
+# Collections that points live in; A is the parent of its parts and never changes.
+BASE = ("A", "A_train", "A_val", "A_test", "B", "Z")
+
 # Steps of a cycle, as stored in snapshots.
 SETUP, PREDICTED, BUILT_C, SPLIT_C, TRAINED, JUDGED, FOUND, RELABELED, UPDATED = range(9)
 
@@ -78,7 +82,10 @@ class CurationLoop:
         if self.path is None:
             self.path = f"{shared_dir(self.spark)}/loop-{uuid.uuid4().hex}"
         self.store = SnapshotStore(self.spark, f"{self.path}/states")
-        self.members: DataFrame | None = None
+        # Collections that points move between, as last written.
+        self.base: DataFrame | None = None
+        # Collections a cycle derives from them: (point_id, ord, value) by name.
+        self.derived: dict[str, DataFrame] = {}
         self.cycle = 0
         self.n_points = 0
         self.sizes: dict[str, int] = {}
@@ -88,32 +95,56 @@ class CurationLoop:
         self.stats: list[tuple] = []
         self.history: list[tuple] = []
         self._lost: DataFrame | None = None
-        self._moved: DataFrame | None = None
 
     # --- state ------------------------------------------------------------------------------
 
-    def _keep(self, step: int, members: DataFrame, force: bool = False) -> None:
-        """Make ``members`` the state; written out when steps are stored or a cycle ends."""
-        if force or self.settings.store_after_each_step:
-            members = self.store.save(members, self.settings.run, self.cycle, step)
-        self.members = members
+    @property
+    def members(self) -> DataFrame:
+        """All collections as one membership frame."""
+        columns = ("point_id", "ord", "value", "collection")
+        rows = [self.base.select(*columns)]
+        rows += [
+            df.withColumn("collection", F.lit(name)).select(*columns)
+            for name, df in self.derived.items()
+        ]
+        return reduce(DataFrame.unionByName, rows)
+
+    def collection(self, name: str) -> DataFrame:
+        """(point_id, ord, value) of one collection; a base collection is a folder of its own."""
+        if name in self.derived:
+            return self.derived[name]
+        return self.base.filter(F.col("collection") == name).select("point_id", "ord", "value")
+
+    def _derive(self, step: int, size: int | None = None, **collections: DataFrame) -> None:
+        """Register derived collections and store the state if every step is stored."""
+        for name, df in collections.items():
+            self.derived[name] = df.select("point_id", "ord", F.col("value").cast("int").alias("value"))
+            if size is not None:
+                self.sizes[name] = size
+        if self.settings.store_after_each_step:
+            self.store.save(self.members, self.settings.run, self.cycle, step)
+
+    def _rebase(self, step: int, base: DataFrame) -> None:
+        """Write the state with moved points and read it back: a cycle's lineage ends here."""
+        self.base = base
+        state = self.store.save(self.members, self.settings.run, self.cycle, step)
+        self._load(state)
+
+    def _load(self, state: DataFrame) -> None:
+        # A row per collection, about a dozen.
+        self.sizes = {r["collection"]: r["n_points"] for r in reg.sizes(state).collect()}
+        self.base = state.filter(F.col("collection").isin(*BASE))
+        self.derived = {
+            name: state.filter(F.col("collection") == name).select("point_id", "ord", "value")
+            for name in self.sizes
+            if name not in BASE
+        }
 
     def _work(self, name: str, df: DataFrame) -> DataFrame:
         """Write an intermediate result of a cycle and read it back."""
         folder = f"{self.path}/work/run={self.settings.run}/cycle={self.cycle}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(folder)
-        return self.spark.read.parquet(folder)
-
-    def _put(self, rows: DataFrame, *names: str) -> DataFrame:
-        return reg.register_all(self.members, rows, names)
-
-    def _count(self) -> None:
-        # A row per collection, about a dozen.
-        rows = reg.sizes(self.members).collect()
-        self.sizes = {r["collection"]: r["n_points"] for r in rows}
-
-    def collection(self, name: str) -> DataFrame:
-        return reg.collection_of(self.members, name)
+        return self.spark.read.schema(df.schema).parquet(folder)
 
     def _pixels(self, name: str) -> DataFrame:
         rows = cur.attach(
@@ -122,6 +153,7 @@ class CurationLoop:
         if self.labels is None or name != "A_train":
             return rows
         by_hand = self.labels.select("point_id", F.col("truth").alias("_by_hand"))
+        # A mask drawn by hand counts wherever its point is trained on.
         return (
             rows.join(by_hand, "point_id", "left")
             .withColumn("truth", F.coalesce(F.col("_by_hand"), F.col("truth")))
@@ -134,14 +166,13 @@ class CurationLoop:
         """Split the points into A, B, Z and the parts of A."""
         self.n_points = self.points.count() if n_points is None else n_points
         rows = splits.setup_split(self.points, self.n_points, self.settings.weights)
-        self._keep(SETUP, rows.withColumn("value", F.lit(None).cast("int")), force=True)
-        self._count()
+        self.derived = {}
+        self._rebase(SETUP, rows.withColumn("value", F.lit(None).cast("int")))
 
     def resume(self, n_points: int, cycle: int, step: int, store: SnapshotStore | None = None) -> None:
         """Continue from a stored state; the next step function called takes it from there."""
         self.n_points, self.cycle = n_points, cycle
-        self.members = (store or self.store).load(self.settings.run, cycle, step)
-        self._count()
+        self._load((store or self.store).load(self.settings.run, cycle, step))
 
     def run_segmenter(self) -> None:
         """Fit on A_train with A_val, predict A_test, score the prediction."""
@@ -157,30 +188,27 @@ class CurationLoop:
         score = ev.evaluate_segmenter(sums.join(places, "point_id"), self.settings.eval_batch)
         self._score("classifier", score)
 
-        rows = self.members.filter(F.col("collection") == "A_test").withColumn(
-            "collection", F.lit("A_test_pred")
-        )
-        self._keep(PREDICTED, self._put(rows, "A_test_pred"))
-        self.sizes["A_test_pred"] = self.sizes.get("A_test", 0)
+        self._derive(PREDICTED, self.sizes.get("A_test", 0), A_test_pred=self.collection("A_test"))
 
     def build_c(self) -> None:
         """C: predicted masks (label 1) and expert masks (label 0), shuffled and sliced."""
         s = self.settings
         sizes = splits.c_part_sizes(self.n_points, s.weights, s.c_ratios)
+        n_machine, n_expert = self.sizes.get("A_test", 0), self.sizes.get("B", 0)
         unordered = cur.build_c(
-            self.members, self.sizes.get("A_test", 0), self.sizes.get("B", 0), s.strict
+            self.collection("A_test_pred"), self.collection("B"), n_machine, n_expert, s.strict
         )
         # Written once: the order is read by three slices and the judging below.
         shuffled = self._work("c", cur.shuffle_c(unordered, self.cycle, s.seed))
-        rows = shuffled.withColumn("collection", F.lit("C"))
-        self._keep(BUILT_C, self._put(rows, "C"))
-        parts = cur.slice_c(shuffled, sizes)
-        self._keep(SPLIT_C, self._put(parts, "C_train", "C_val", "C_test"))
-        total = self.sizes.get("A_test", 0) + self.sizes.get("B", 0)
-        for name, start, size in zip(
-            ("C_train", "C_val", "C_test"), (0, sizes[0], sizes[0] + sizes[1]), sizes
-        ):
+        total = n_machine + n_expert
+        self._derive(BUILT_C, total, C=shuffled)
+        start, parts = 0, {}
+        for name, size in zip(("C_train", "C_val", "C_test"), sizes):
+            inside = (F.col("ord") >= start) & (F.col("ord") < start + size)
+            parts[name] = shuffled.filter(inside).withColumn("ord", F.col("ord") - start)
             self.sizes[name] = max(0, min(size, total - start))
+            start += size
+        self._derive(SPLIT_C, **parts)
 
     def _pairs(self, name: str) -> DataFrame:
         """(image, mask, label) of a part of C; the mask is the prediction on the machine side."""
@@ -213,27 +241,22 @@ class CurationLoop:
                 choice = learners.make_discriminator(choice, cut=cut)
             self.discriminator_model = choice.fit(self._pairs("C_train"), self._pairs("C_val"))
             self._remember(self.discriminator_model.history)
-        self._keep(TRAINED, self.members)
+        self._derive(TRAINED)
 
         # Written once: the verdicts cost a pass over the pixels of C_test.
         judged = self._work("verdicts", self.discriminator_model.transform(self._pairs("C_test")))
         self._score("discriminator", ev.evaluate_classes(judged))
-        places = self.collection("C_test").select("point_id", "ord")
-        rows = judged.join(places, "point_id").select(
-            F.lit("C_test_pred").alias("collection"), "point_id", "ord",
-            F.col("verdict").cast("int").alias("value"),
-        )
-        self._keep(JUDGED, self._put(rows, "C_test_pred"))
+        verdicts = judged.select("point_id", F.col("verdict").alias("value"))
+        placed = self.collection("C_test").select("point_id", "ord").join(verdicts, "point_id")
+        self._derive(JUDGED, self.sizes["C_test"], C_test_pred=placed)
 
     def find_machine_labels(self) -> int:
         """D: rows of C_test judged machine. Returns their number; on 0 the former D stays."""
         verdicts = self.collection("C_test_pred").select("point_id", F.col("value").alias("verdict"))
-        found = cur.machine_labels(self.collection("C_test"), verdicts)
-        d_rows = self._work("d", found.withColumn("collection", F.lit("D")))
-        count = d_rows.count()
+        found = self._work("d", cur.machine_labels(self.collection("C_test"), verdicts))
+        count = found.count()
         if count:
-            self._keep(FOUND, self._put(d_rows, "D"))
-            self.sizes["D"] = count
+            self._derive(FOUND, count, D=found)
         return count
 
     def relabel(self) -> dict[str, int]:
@@ -248,7 +271,7 @@ class CurationLoop:
         selected = self._work(
             "selected",
             cur.select_for_relabel(
-                self.collection("D"), self.members, s.percent_to_replace, self.cycle, s.seed
+                self.collection("D"), self.base, s.percent_to_replace, self.cycle, s.seed
             ),
         )
         # One row per origin.
@@ -271,36 +294,30 @@ class CurationLoop:
         else:
             ranked = selected.withColumn("rank", F.col("idx"))
 
-        relabeled = ranked.select(
-            F.lit("D_relabeled").alias("collection"), "point_id", F.col("rank").alias("ord"), "value"
-        )
-        self._keep(RELABELED, self._put(relabeled, "D_relabeled"))
-        self.sizes["D_relabeled"] = n_moved
+        self._derive(RELABELED, n_moved, D_relabeled=ranked.withColumn("ord", F.col("rank")))
 
         moves = cur.relabel_moves(ranked)
         counts["removed"] = n_moved
         if s.fillup:
             moves = moves.unionByName(
-                cur.refill_moves(ranked, self.members, n_moved, self.cycle, s.seed)
+                cur.refill_moves(ranked, self.base, n_moved, self.cycle, s.seed)
             )
             counts["filled"] = n_moved
-        members = reg.move(self.members, moves, strict=False)
+        base = reg.move(self.base, moves, strict=False, may_collide=False)
 
         if s.balance:
-            after = dict(self.sizes)
-            after["A_train"] = after.get("A_train", 0) + n_moved
+            after = {name: self.sizes.get(name, 0) for name in cur.BALANCED}
+            after["A_train"] += n_moved
             if not s.fillup:
                 for name in ("A_test", "B"):
-                    after[name] = after.get(name, 0) - origins.get(name, 0)
-            plan = cur.balance_plan({name: after.get(name, 0) for name in cur.BALANCED})
+                    after[name] -= origins.get(name, 0)
+            plan = cur.balance_plan(after)
             counts["transferred"] = sum(count for _, _, count in plan)
             if plan:
-                members = self._work("refilled", members)
-                members = reg.move(
-                    members, cur.balance_moves(members, plan, self.cycle, s.seed), strict=False
-                )
-        self._keep(UPDATED, members, force=True)
-        self._count()
+                base = self._work("refilled", base)
+                picks = cur.balance_moves(base, plan, self.cycle, s.seed)
+                base = reg.move(base, picks, strict=False, may_collide=False)
+        self._rebase(UPDATED, base)
         return counts
 
     def relabeled_pixels(self) -> DataFrame:
@@ -335,7 +352,7 @@ class CurationLoop:
     # --- results ----------------------------------------------------------------------------
 
     def _score(self, model: str, row: DataFrame) -> None:
-        first = row.first()
+        first = row.collect()[0]
         self.scores.append((self.settings.run, self.cycle, model, first["loss"], first["metric"]))
 
     def _remember(self, history: list[tuple]) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -40,3 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame to the checkpoint folder and continue from there.
+
+    For narrow results that several later steps read, such as a random order or a sample.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
