@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from maskloom.functions import arrays as a
-from maskloom.functions.resize import resize_images
+from maskloom.functions.pictures import TileKernel
 
 TILE = 512
 
@@ -30,14 +31,8 @@ def cut_tiles(pictures: DataFrame, tile: int = TILE, keep: Sequence[str] = ("pat
     ).select(*keep, "tile.*")
 
 
-def resized(tiles: DataFrame, target: int, method: str = "arrow") -> DataFrame:
-    """Bring tiles to target x target.
-
-    ``arrow`` smooths before shrinking and suits large targets; ``sql`` stays in the JVM and suits
-    small ones.
-    """
-    if method == "arrow":
-        return resize_images(tiles, target, target)
+def _resized(tiles: DataFrame, target: int) -> DataFrame:
+    """Bring tiles to target x target with array functions; tiles that fit stay as they are."""
     fits = (F.col("h") == target) & (F.col("w") == target)
     image = F.when(fits, F.col("image").cast("array<double>")).otherwise(
         a.resize_bilinear("image", "h", "w", target, target)
@@ -46,6 +41,14 @@ def resized(tiles: DataFrame, target: int, method: str = "arrow") -> DataFrame:
     return tiles.withColumn("image", image).withColumns({"h": F.lit(target), "w": F.lit(target)})
 
 
+def _in_batches(pictures: DataFrame, keep: Sequence[str], kernel: TileKernel) -> DataFrame:
+    fields = [pictures.schema[name] for name in keep]
+    fields += [StructField(name, IntegerType()) for name in ("tile_no", "h", "w")]
+    fields.append(StructField("image", ArrayType(FloatType())))
+    narrow = pictures.select(*keep, "h", "w", "channels", "image")
+    return narrow.mapInArrow(kernel, StructType(fields))
+
+
 def convert_images(
     pictures: DataFrame,
     tile: int = TILE,
@@ -58,12 +61,18 @@ def convert_images(
     """Gray, cut, resize, normalise. Rows (keep..., tile_no, h, w, image), order (path, tile_no).
 
     Gray of a colour picture is in 0..1 already, so it is not divided again unless
-    ``double_scale`` asks for it.
+    ``double_scale`` asks for it. ``arrow`` makes one pass over Arrow batches, also straight from
+    undecoded bytes, and smooths before shrinking; ``sql`` stays in the JVM, does not smooth, and
+    suits small pictures.
     """
+    if method == "arrow":
+        return _in_batches(
+            pictures, keep, TileKernel(list(keep), tile, target, normalize, double_scale)
+        )
     gray = pictures.withColumn("image", gray_by_channels()).withColumn(
         "_raw", (F.col("channels") == 1) | F.lit(double_scale)
     )
-    tiles = resized(cut_tiles(gray, tile, (*keep, "_raw")), target, method)
+    tiles = _resized(cut_tiles(gray, tile, (*keep, "_raw")), target)
     if normalize:
         tiles = tiles.withColumn(
             "image", F.when(F.col("_raw"), a.normalize("image")).otherwise(F.col("image"))
@@ -79,8 +88,10 @@ def convert_masks(
     keep: Sequence[str] = ("path",),
 ) -> DataFrame:
     """As ``convert_images``, ending in a 0/1 mask of the non-zero pixels."""
+    if method == "arrow":
+        return _in_batches(pictures, keep, TileKernel(list(keep), tile, target, mask=True))
     gray = pictures.withColumn("image", gray_by_channels())
-    tiles = resized(cut_tiles(gray, tile, keep), target, method)
+    tiles = _resized(cut_tiles(gray, tile, keep), target)
     return tiles.withColumn("image", a.mask_of("image").cast("array<float>"))
 
 

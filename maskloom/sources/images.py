@@ -48,16 +48,17 @@ def list_files(spark: SparkSession, *folders: str, pattern: str = "*.*") -> Data
     )
 
 
-def read_images(
+def read_encoded(
     spark: SparkSession,
     *folders: str,
     kind: str | None = None,
     pattern: str = "*.*",
     marker: str = MASK_MARKER,
 ) -> DataFrame:
-    """Decoded pictures: (path, h, w, channels, image), channels interleaved in RGB(A) order.
+    """Pictures as Spark's image source decodes them: (path, h, w, channels, image).
 
-    Decoding is Spark's own image source; undecodable files are dropped.
+    ``image`` is binary, a byte per channel in blue-green-red(-alpha) order, which conversion takes
+    as is. Undecodable files are dropped.
     """
     raw = (
         spark.read.format("image")
@@ -67,14 +68,18 @@ def read_images(
     )
     if kind is not None:
         raw = raw.filter(is_kind(F.col("image.origin"), kind, marker))
-    flat = raw.select(
+    return raw.select(
         F.col("image.origin").alias("path"),
         F.col("image.height").alias("h"),
         F.col("image.width").alias("w"),
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("image"),
     )
-    return flat.mapInArrow(_unpack, _DECODED)
+
+
+def read_images(spark: SparkSession, *folders: str, **options) -> DataFrame:
+    """As ``read_encoded``, with ``image`` as numbers, channels interleaved in RGB(A) order."""
+    return read_encoded(spark, *folders, **options).mapInArrow(_unpack, _DECODED)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

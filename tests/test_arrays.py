@@ -103,6 +103,19 @@ def test_batches_are_cut_and_other_columns_kept(spark, monkeypatch):
     assert {(r["h"], r["w"]) for r in out} == {(2, 3)}
 
 
+def test_tile_batches_are_cut(spark, monkeypatch):
+    import maskloom.functions.pictures as module
+
+    monkeypatch.setattr(module, "BATCH_PIXELS", 8)
+    df = spark.range(9, numPartitions=2).select(
+        "id", F.lit(1).alias("h"), F.lit(3).alias("w"), F.lit(1).alias("channels"),
+        F.array(*[F.col("id").cast("short")] * 3).alias("image"),
+    )
+    out = convert.convert_images(df, 2, 2, keep=("id",)).orderBy("id", "tile_no").collect()
+    assert [(r["id"], r["tile_no"]) for r in out] == [(i, t) for i in range(9) for t in (0, 1)]
+    assert all(r["image"] == [float(r["id"])] * 4 for r in out)
+
+
 def _picture(spark, x, channels=1):
     h, w = x.shape[:2]
     return spark.createDataFrame(
