@@ -81,7 +81,9 @@ def channel(image, channels: int, k: int = 0) -> Column:
     """k-th channel of an interleaved image."""
     if channels == 1:
         return _col(image)
-    return F.filter(_col(image), lambda _, i: i % channels == k)
+    image = _col(image)
+    pixels = (F.size(image) / channels).cast("int")
+    return F.transform(_upto(pixels), lambda i: F.get(image, i * channels + k))
 
 
 def rgba_to_rgb(image, scale: float = PIXEL_MAX) -> Column:

@@ -85,17 +85,26 @@ def best_checkpoint(
     run: str = "run",
     step: str = "step",
     val_loss: str = "val_loss",
+    block: int = BLOCK,
 ) -> DataFrame:
     """(run, best_epoch, best_val_loss): lowest validation loss, the first on ties.
 
-    With ``stops`` from ``early_stop`` only the epochs that were run count. A plain aggregate, so
-    a long run is combined on the map side.
+    With ``stops`` from ``early_stop`` only the epochs that were run count.
     """
-    starts = df.groupBy(run).agg(F.min(step).alias("start_step")) if stops is None else stops
-    ran = df.join(starts, run)
+    blocked = df.withColumn("_block", F.floor(F.col(step) / F.lit(block)))
     if stops is not None:
-        ran = ran.filter(F.col(step) - F.col("start_step") <= F.col("stop_epoch"))
-    best = F.min(F.struct(F.col(val_loss).alias("v"), (F.col(step) - F.col("start_step")).alias("e")))
-    return ran.groupBy(run).agg(best.alias("_best")).select(
-        run, F.col("_best.e").alias("best_epoch"), F.col("_best.v").alias("best_val_loss")
+        # Limits are joined per block of a run, so that a long run is spread over many keys.
+        limits = blocked.select(run, "_block").distinct().join(
+            stops.select(run, (F.col("start_step") + F.col("stop_epoch")).alias("_stop")), run
+        )
+        blocked = blocked.join(limits, [run, "_block"]).filter(F.col(step) <= F.col("_stop"))
+    # An epoch after the stop is no candidate, and the first epoch always ran.
+    best = blocked.groupBy(run).agg(
+        F.min(F.struct(F.col(val_loss).alias("v"), F.col(step).alias("s"))).alias("_best"),
+        F.min(step).alias("_start"),
+    )
+    return best.select(
+        run,
+        (F.col("_best.s") - F.col("_start")).alias("best_epoch"),
+        F.col("_best.v").alias("best_val_loss"),
     )

@@ -52,13 +52,13 @@ def from_values(
 
 def upsert(collection: DataFrame, new: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
     """Add points: an unknown id goes last, a known one keeps its place and takes the new value."""
-    last = collection.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("_last"))
+    last = collection.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last")).scalar()
     fresh = from_points(new, pos, value).select(
         "point_id", F.col("ord").alias("_pos"), F.col(value).alias("_new"), F.lit(True).alias("_hit")
     )
     return (
         collection.join(fresh, "point_id", "full_outer")
-        .join(F.broadcast(last))  # one row
+        .withColumn("_last", last)
         .select(
             "point_id",
             F.coalesce("ord", F.col("_last") + 1 + F.col("_pos")).alias("ord"),

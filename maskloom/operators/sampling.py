@@ -34,11 +34,11 @@ def sample_with_replacement(
 ) -> DataFrame:
     """Same size, with replacement: rows (draw, point_id). ``indexed`` has a dense ``idx``."""
     divisor = percent_divisor(percent)
-    total = indexed.agg(F.count("*").alias("_total"))
+    total = indexed.agg(F.count("*").alias("total")).scalar()
     # The first k places double as draw numbers, so draws are spread like the rows themselves.
     draws = (
         indexed.select(F.col("idx").alias("draw"))
-        .join(F.broadcast(total))  # one row
+        .withColumn("_total", total)
         .filter(F.col("draw") < F.floor(F.col("_total") / F.lit(divisor)))
         .select("draw", random_below(salt, F.col("draw"), F.col("_total"), seed).alias("idx"))
     )

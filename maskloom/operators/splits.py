@@ -203,6 +203,47 @@ def setup_split(
     )
 
 
+def source_ranges(
+    name: str, n: int, weights: Weights | dict | None = None, balance: bool = False
+) -> list[tuple[int, int]]:
+    """Positions that members of a collection can have after any number of cycles.
+
+    Points enter A_test and B from Z only, and A_train from A_test and B; balancing mixes the
+    three. A table written in order of position is skipped by row group outside the ranges.
+    """
+    a, b, z = abz_sizes(n, weights)
+    train, val, test = a_part_sizes(n, weights)
+    slices = {
+        "A_train": (0, train),
+        "A_val": (train, train + val),
+        "A_test": (train + val, train + val + test),
+        "B": (a, a + b),
+        "Z": (a + b, a + b + z),
+    }
+    moving = ("A_train", "A_test", "B", "Z")
+    origins = {
+        "A_train": moving,
+        "A_val": ("A_val",),
+        "A_test": moving if balance else ("A_test", "Z"),
+        "B": moving if balance else ("B", "Z"),
+        "Z": ("Z",),
+    }
+    origins["A_test_pred"] = origins["A_test"]
+    if name == "A":
+        return [(0, a)]
+    # C, D and their parts come from A_test and B.
+    wanted = origins.get(name, moving if balance else ("A_test", "B", "Z"))
+    return [slices[part] for part in wanted]
+
+
+def in_ranges(pos: Column, ranges: Sequence[tuple[int, int]]) -> Column:
+    """Range filter that parquet row groups are skipped by."""
+    inside = F.lit(False)
+    for start, end in ranges:
+        inside = inside | ((pos >= start) & (pos < end))
+    return inside
+
+
 def c_split(
     c_members: DataFrame,
     sizes: tuple[int, int, int],

@@ -12,7 +12,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import arrays as a
@@ -76,6 +76,9 @@ class CurationLoop:
     discriminator: str | learners.Discriminator = "agreement"
     labels: DataFrame | None = None
     path: str | None = None
+    # Loss and metric of the segmenter as expressions over pixel sums; see functions.metrics.
+    loss: Column | None = None
+    metric: Column | None = None
 
     def __post_init__(self) -> None:
         self.spark: SparkSession = self.points.sparkSession
@@ -146,10 +149,16 @@ class CurationLoop:
         df.write.parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)
 
-    def _pixels(self, name: str) -> DataFrame:
-        rows = cur.attach(
-            self.points, self.collection(name).select("point_id", "ord"), self.sizes.get(name, 0)
+    def _attach(self, name: str, members: DataFrame) -> DataFrame:
+        """Pixels of the members of a collection, read only where such members can be."""
+        ranges = splits.source_ranges(
+            name, self.n_points, self.settings.weights, self.settings.balance
         )
+        inside = self.points.filter(splits.in_ranges(F.col("pos"), ranges))
+        return cur.attach(inside, members, self.sizes.get(name, 0))
+
+    def _pixels(self, name: str) -> DataFrame:
+        rows = self._attach(name, self.collection(name).select("point_id", "ord"))
         if self.labels is None or name != "A_train":
             return rows
         by_hand = self.labels.select("point_id", F.col("truth").alias("_by_hand"))
@@ -185,7 +194,9 @@ class CurationLoop:
         predicted = model.transform(self._pixels("A_test"))
         sums = ev.pixel_sums(predicted, "point_id", pred="prob")
         places = position_index(self.collection("A_test")).select("point_id", "idx")
-        score = ev.evaluate_segmenter(sums.join(places, "point_id"), self.settings.eval_batch)
+        score = ev.evaluate_segmenter(
+            sums.join(places, "point_id"), self.settings.eval_batch, self.loss, self.metric
+        )
         self._score("classifier", score)
 
         self._derive(PREDICTED, self.sizes.get("A_test", 0), A_test_pred=self.collection("A_test"))
@@ -212,19 +223,18 @@ class CurationLoop:
 
     def _pairs(self, name: str) -> DataFrame:
         """(image, mask, label) of a part of C; the mask is the prediction on the machine side."""
-        rows = cur.attach(
-            self.points,
-            self.collection(name).select("point_id", F.col("value").alias("label")),
-            self.sizes.get(name, 0),
+        rows = self._attach(
+            name, self.collection(name).select("point_id", F.col("value").alias("label"))
         )
         machine = F.col("label") == cur.MACHINE
         if self.settings.machine_uint8:
             whole = a.to_uint8("image").cast(dict(rows.dtypes)["image"])
             rows = rows.withColumn("image", F.when(machine, whole).otherwise(F.col("image")))
             # The prediction was made from the untouched image.
-            predicted = self.segmenter_model.transform(
-                cur.attach(self.points, self.collection(name), self.sizes.get(name, 0))
-            ).select("point_id", F.col("mask").alias("_mask"))
+            untouched = self._attach(name, self.collection(name).select("point_id"))
+            predicted = self.segmenter_model.transform(untouched).select(
+                "point_id", F.col("mask").alias("_mask")
+            )
             rows = rows.join(predicted, "point_id")
         else:
             rows = self.segmenter_model.transform(rows).withColumnRenamed("mask", "_mask")
@@ -322,10 +332,9 @@ class CurationLoop:
 
     def relabeled_pixels(self) -> DataFrame:
         """D_relabeled with pixels: image, label, and the mask drawn by hand or the truth."""
-        rows = cur.attach(
-            self.points,
+        rows = self._attach(
+            "D_relabeled",
             self.collection("D_relabeled").select("point_id", F.col("value").alias("label")),
-            self.sizes.get("D_relabeled", 0),
         )
         mask = F.col("truth")
         if self.labels is not None:

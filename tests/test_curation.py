@@ -132,6 +132,24 @@ def test_all_steps_are_stored(two_cycles):
     assert steps == {(0, 0)} | {(c, s) for c in (1, 2) for s in range(1, 9)}
 
 
+def test_members_lie_in_their_source_ranges(points, two_cycles):
+    places = {r["point_id"]: r["pos"] for r in points.select("point_id", "pos").collect()}
+    for r in two_cycles.store.all().collect():
+        ranges = splits.source_ranges(r["collection"], 500, two_cycles.settings.weights)
+        assert any(start <= places[r["point_id"]] < end for start, end in ranges)
+
+
+def test_own_loss_and_metric(points):
+    from maskloom.functions import metrics as m
+
+    loop = make(points)
+    loop.loss, loop.metric = m.hybrid_loss(), m.iou()
+    loop.setup_data()
+    loop.run_segmenter()
+    _, _, _, loss, metric = loop.scores[0]
+    assert 0 < metric < 1 and loss > 1 - metric
+
+
 def test_discriminator_is_trained_once(two_cycles):
     trained = [row for row in two_cycles.history if row[2] == "agreement"]
     assert len(trained) == 1 and len(two_cycles.scores) == 4
@@ -156,6 +174,10 @@ def test_balanced_loop(points):
     sizes = [loop.sizes[name] for name in cur.BALANCED]
     assert max(sizes) - min(sizes) <= 3 and sum(loop.sizes[n] for n in BASE if n != "A") == 500
     assert loop.stats[0][7] > 0
+    places = {r["point_id"]: r["pos"] for r in points.select("point_id", "pos").collect()}
+    for r in loop.base.collect():
+        ranges = splits.source_ranges(r["collection"], 500, loop.settings.weights, balance=True)
+        assert any(start <= places[r["point_id"]] < end for start, end in ranges)
     ords = [(r["collection"], r["ord"]) for r in loop.base.collect()]
     assert len(ords) == len(set(ords))
 

@@ -126,3 +126,17 @@ def test_position_index_within_groups(spark):
     rows = spark.range(300).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 7).alias("ord"))
     wrong = position_index(rows, within="g").filter(F.col("idx") != F.floor(F.col("ord") / 21))
     assert wrong.count() == 0
+
+
+def test_source_ranges_prune_row_groups(spark, tmp_path):
+    ranges = splits.source_ranges("A_val", 1000, splits.DEFAULT_WEIGHTS)
+    assert ranges == [(50, 200)]
+    assert splits.source_ranges("A_test", 1000, splits.DEFAULT_WEIGHTS) == [(200, 500), (800, 1000)]
+    assert splits.source_ranges("C_test", 1000, splits.DEFAULT_WEIGHTS) == [(200, 500), (500, 800), (800, 1000)]
+    assert (0, 50) in splits.source_ranges("D", 1000, splits.DEFAULT_WEIGHTS, balance=True)
+    _points(spark, 1000).write.parquet(f"{tmp_path}/p")
+    read = spark.read.parquet(f"{tmp_path}/p").filter(splits.in_ranges(F.col("pos"), ranges))
+    assert read.count() == 150
+    assert "PushedFilters: [IsNotNull(pos), GreaterThanOrEqual(pos,50), LessThan(pos,200)]" in (
+        read._jdf.queryExecution().executedPlan().toString()
+    )
