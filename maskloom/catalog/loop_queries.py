@@ -58,46 +58,48 @@ def _d(spark, folder):
     return members, sizes, cur.machine_labels(c_test, judged)
 
 
-def _sql_c(cycle: int = 1) -> str:
+def _sql_c(cycle: int = 1, state: str = "members", suffix: str = "") -> str:
+    """C of a cycle, its random order and its parts, from a membership table expression."""
     return f"""
-c AS (
-  SELECT point_id, ord AS place, 1 AS value, 0 AS side FROM members WHERE collection = 'A_test'
-  UNION ALL SELECT point_id, ord, 0, 1 FROM members WHERE collection = 'B'
-), c_ranked AS (
-  SELECT *, row_number() OVER (ORDER BY {sql_key(f'shuffle{cycle}')}, point_id) - 1 AS idx FROM c
-), cs AS (
+c{suffix} AS (
+  SELECT point_id, ord AS place, 1 AS value, 0 AS side FROM {state} WHERE collection = 'A_test'
+  UNION ALL SELECT point_id, ord, 0, 1 FROM {state} WHERE collection = 'B'
+), c_ranked{suffix} AS (
+  SELECT *, row_number() OVER (ORDER BY {sql_key(f'shuffle{cycle}')}, point_id) - 1 AS idx FROM c{suffix}
+), cs{suffix} AS (
   SELECT {sql_share('n', W.B, W.B_train)} AS c_tr, {sql_share('n', W.B, W.B_val)} AS c_va,
          {sql_share('n', W.B, W.B_test)} AS c_te FROM cnt
-), parts AS (
+), parts{suffix} AS (
   SELECT CASE WHEN idx < c_tr THEN 'C_train' WHEN idx < c_tr + c_va THEN 'C_val' ELSE 'C_test' END
            AS collection, point_id, value,
          CASE WHEN idx < c_tr THEN idx WHEN idx < c_tr + c_va THEN idx - c_tr
               ELSE idx - c_tr - c_va END AS ord
-  FROM c_ranked, cs WHERE idx < c_tr + c_va + c_te
+  FROM c_ranked{suffix}, cs{suffix} WHERE idx < c_tr + c_va + c_te
 )"""
 
 
-# Needs ``d`` (point_id, value).
-SQL_SELECTED = f"""
-d_ranked AS (
+def _sql_update(cycle: int = 1, state: str = "members", suffix: str = "") -> str:
+    """Sample of D with origins, refills, and the state after the moves; needs d (point_id, value)."""
+    return f"""
+d_ranked{suffix} AS (
   SELECT point_id, value, count(*) OVER () AS n_d,
-         row_number() OVER (ORDER BY {sql_key('relabel1')}, point_id) - 1 AS idx FROM d
-), selected AS (
+         row_number() OVER (ORDER BY {sql_key(f'relabel{cycle}')}, point_id) - 1 AS idx FROM d{suffix}
+), selected{suffix} AS (
   SELECT s.point_id, s.value, s.idx,
          CASE WHEN a.point_id IS NOT NULL THEN 'A_test' WHEN b.point_id IS NOT NULL THEN 'B' END AS origin
-  FROM d_ranked s
-  LEFT JOIN (SELECT point_id FROM members WHERE collection = 'A_test') a ON a.point_id = s.point_id
-  LEFT JOIN (SELECT point_id FROM members WHERE collection = 'B') b ON b.point_id = s.point_id
+  FROM d_ranked{suffix} s
+  LEFT JOIN (SELECT point_id FROM {state} WHERE collection = 'A_test') a ON a.point_id = s.point_id
+  LEFT JOIN (SELECT point_id FROM {state} WHERE collection = 'B') b ON b.point_id = s.point_id
   WHERE idx < n_d // 3
-), fills AS (
-  SELECT z.point_id, selected.idx, selected.origin FROM (
-    SELECT point_id, row_number() OVER (ORDER BY {sql_key('fill1')}, point_id) - 1 AS idx
-    FROM members WHERE collection = 'Z') z JOIN selected USING (idx)
-), tops AS (
+), fills{suffix} AS (
+  SELECT z.point_id, s.idx, s.origin FROM (
+    SELECT point_id, row_number() OVER (ORDER BY {sql_key(f'fill{cycle}')}, point_id) - 1 AS idx
+    FROM {state} WHERE collection = 'Z') z JOIN selected{suffix} s USING (idx)
+), tops{suffix} AS (
   SELECT max(ord) FILTER (WHERE collection = 'A_train') AS t_train,
          max(ord) FILTER (WHERE collection = 'A_test') AS t_test,
-         max(ord) FILTER (WHERE collection = 'B') AS t_b FROM members
-), updated AS (
+         max(ord) FILTER (WHERE collection = 'B') AS t_b FROM {state}
+), updated{suffix} AS (
   SELECT CASE WHEN s.point_id IS NOT NULL AND collection = s.origin THEN 'A_train'
               WHEN f.point_id IS NOT NULL AND collection = 'Z' THEN f.origin ELSE collection END
            AS collection, m.point_id,
@@ -105,10 +107,13 @@ d_ranked AS (
               WHEN f.point_id IS NOT NULL AND collection = 'Z'
                 THEN CASE f.origin WHEN 'A_test' THEN t_test ELSE t_b END + 1 + f.idx
               ELSE ord END AS ord
-  FROM members m LEFT JOIN selected s ON s.point_id = m.point_id
-  LEFT JOIN fills f ON f.point_id = m.point_id, tops
+  FROM {state} m LEFT JOIN selected{suffix} s ON s.point_id = m.point_id
+  LEFT JOIN fills{suffix} f ON f.point_id = m.point_id, tops{suffix}
 )"""
 
+
+SQL_SELECTED = _sql_update()
+
 SQL_ORDERS_D = f"""{SQL_POINTS}, {SQL_SETUP}, {_sql_c()}, d AS (
   SELECT parts.point_id, parts.value, parts.ord FROM parts JOIN pts USING (point_id)
   WHERE collection = 'C_test' AND pts.value > {LIMIT}::DOUBLE
@@ -344,36 +349,81 @@ def _loop(spark, folder, **settings) -> CurationLoop:
     )
 
 
-# One cycle of the loop above, step by step. A float is compared as the double it stands for.
-SQL_LOOP = f"""
-pts AS (SELECT md5('embeddings:' || vec_id) AS point_id, vec_id AS pos FROM embeddings),
-cnt AS (SELECT count(*) AS n FROM embeddings), {SQL_SETUP}, {SQL_PX}, {SQL_CUTS}, train_dice AS (
-  SELECT cut, {_DICE} AS dice FROM (
-    SELECT cut, sum(CASE WHEN x >= cut THEN t ELSE 0 END) AS tp,
-           count(*) FILTER (WHERE x >= cut)::DOUBLE AS sp, sum(t) AS st
-    FROM px JOIN members USING (point_id), cuts WHERE collection = 'A_train' GROUP BY cut)
-), model AS (SELECT arg_max(cut, (dice, -cut)) AS cut FROM train_dice), {_sql_c()}, judged AS (
-  SELECT parts.collection, parts.point_id, parts.value, parts.ord,
-         avg(CASE WHEN parts.value = 1 THEN 1 ELSE ((x >= cut) = (t = 1))::INTEGER END) AS agreement
-  FROM parts JOIN px USING (point_id), model GROUP BY ALL
-), taus AS (SELECT k, (k - 0.5::DOUBLE) / 64 AS tau FROM range(65) AS r(k)),
+def _sql_cycle(cycle: int, state: str, suffix: str) -> str:
+    """One cycle step by step. The rule and its cut are those of the first cycle."""
+    rule = f"""
+taus AS (SELECT k, (k - 0.5::DOUBLE) / 64 AS tau FROM range(65) AS r(k)),
 rule AS (
   SELECT arg_max(tau, (accuracy, -k)) AS tau FROM (
     SELECT k, any_value(tau) AS tau, avg(((agreement >= tau)::INTEGER = value)::INTEGER) AS accuracy
-    FROM judged, taus WHERE collection = 'C_train' GROUP BY k)
-), d AS (
-  SELECT point_id, value FROM judged, rule WHERE collection = 'C_test' AND agreement > tau
-), {SQL_SELECTED}
-"""
+    FROM judged{suffix}, taus WHERE collection = 'C_train' GROUP BY k)
+), """
+    return f"""
+train_dice{suffix} AS (
+  SELECT cut, {_DICE} AS dice FROM (
+    SELECT cut, sum(CASE WHEN x >= cut THEN t ELSE 0 END) AS tp,
+           count(*) FILTER (WHERE x >= cut)::DOUBLE AS sp, sum(t) AS st
+    FROM px JOIN {state} USING (point_id), cuts WHERE collection = 'A_train' GROUP BY cut)
+), model{suffix} AS (SELECT arg_max(cut, (dice, -cut)) AS cut FROM train_dice{suffix}),
+{_sql_c(cycle, state, suffix)}, judged{suffix} AS (
+  SELECT q.collection, q.point_id, q.value, q.ord,
+         avg(((x >= first.cut) = CASE WHEN q.value = 1 THEN x >= now.cut ELSE t = 1 END)::INTEGER) AS agreement
+  FROM parts{suffix} q JOIN px USING (point_id), model AS first, model{suffix} AS now GROUP BY ALL
+), {rule if cycle == 1 else ''} d{suffix} AS (
+  SELECT point_id, value FROM judged{suffix}, rule WHERE collection = 'C_test' AND agreement > tau
+), {_sql_update(cycle, state, suffix)}"""
+
+
+def _sql_metrics(cycle: int, state: str, suffix: str) -> str:
+    """Scores of both models in a cycle: scores (cycle, model, loss, metric)."""
+    return f"""
+places{suffix} AS (
+  SELECT point_id, row_number() OVER (ORDER BY ord) - 1 AS idx FROM {state} WHERE collection = 'A_test'
+), soft{suffix} AS (
+  SELECT idx // 32 AS batch, idx, t, 1 / (1 + exp(-20 * (x - cut))) AS p
+  FROM px JOIN places{suffix} USING (point_id), model{suffix}
+), sums{suffix} AS (
+  SELECT batch, count(DISTINCT idx) AS images, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp,
+         avg(-(t * ln(least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE))
+               + (1 - t) * ln(1 - least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE)))) AS bce
+  FROM soft{suffix} GROUP BY batch
+), probs{suffix} AS (
+  SELECT value, 1 / (1 + exp(-20 * (agreement - tau))) AS p FROM judged{suffix}, rule
+  WHERE collection = 'C_test'
+), scores{suffix} AS (
+  SELECT {cycle} AS cycle, 'classifier' AS model, sum((bce + 1 - {_DICE}) * images) / sum(images) AS loss,
+         avg({_DICE}) AS metric FROM sums{suffix}
+  UNION ALL SELECT {cycle}, 'discriminator',
+         avg(-ln(least(greatest(CASE value WHEN 1 THEN p ELSE 1 - p END, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE))),
+         avg(((p > 0.5) = (value = 1))::INTEGER) FROM probs{suffix}
+)"""
+
+
+SQL_LOOP = f"""
+pts AS (SELECT md5('embeddings:' || vec_id) AS point_id, vec_id AS pos FROM embeddings),
+cnt AS (SELECT count(*) AS n FROM embeddings), {SQL_SETUP}, {SQL_PX}, {SQL_CUTS},
+{_sql_cycle(1, 'members', '')}"""
+SQL_TWO = f"{SQL_LOOP}, {_sql_metrics(1, 'members', '')}, {_sql_cycle(2, 'updated', '2')}, {_sql_metrics(2, 'updated', '2')}"
+
+
+def _sql_sizes(cycle: int, state: str, suffix: str) -> str:
+    """Sizes of the collections at the end of a cycle."""
+    before = f"(SELECT count(*) FROM {state} WHERE collection = 'A_test')"
+    return f"""
+  SELECT {cycle} AS cycle, collection AS name, count(*) AS value FROM updated{suffix} GROUP BY collection
+  UNION ALL SELECT {cycle}, 'A_test_pred', {before}
+  UNION ALL SELECT {cycle}, 'C', count(*) FROM c{suffix}
+  UNION ALL SELECT {cycle}, collection, count(*) FROM parts{suffix} GROUP BY collection
+  UNION ALL SELECT {cycle}, 'C_test_pred', count(*) FROM parts{suffix} WHERE collection = 'C_test'
+  UNION ALL SELECT {cycle}, 'D', count(*) FROM d{suffix}
+  UNION ALL SELECT {cycle}, 'D_relabeled', count(*) FROM selected{suffix}"""
 
 
 @query(f"WITH {SQL_LOOP} SELECT collection, point_id, ord FROM updated")
 def loop_one_cycle(spark, folder):
     """Membership after one whole cycle."""
     loop = _loop(spark, folder).run(1)
-    return loop.members.filter(F.col("collection").isin("A", "A_train", "A_val", "A_test", "B", "Z")).select(
-        "collection", "point_id", "ord"
-    )
+    return loop.base.select("collection", "point_id", "ord")
 
 
 @query(f"WITH {SQL_LOOP} SELECT collection, point_id, ord FROM updated")
@@ -384,54 +434,52 @@ def loop_resume(spark, folder):
     again.resume(loop.n_points, 1, JUDGED, loop.store)
     again.find_machine_labels()
     again.relabel()
-    return again.members.filter(F.col("collection").isin("A", "A_train", "A_val", "A_test", "B", "Z")).select(
-        "collection", "point_id", "ord"
-    )
+    return again.base.select("collection", "point_id", "ord")
 
 
-@query(f"""WITH {SQL_LOOP}, places AS (
-    SELECT point_id, row_number() OVER (ORDER BY ord) - 1 AS idx FROM members WHERE collection = 'A_test'),
-  soft AS (SELECT idx // 32 AS batch, idx, t, 1 / (1 + exp(-20 * (x - cut))) AS p
-           FROM px JOIN places USING (point_id), model),
-  sums AS (SELECT batch, count(DISTINCT idx) AS images, sum(t * p) AS tp, sum(t) AS st, sum(p) AS sp,
-                  avg(-(t * ln(least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE))
-                        + (1 - t) * ln(1 - least(greatest(p, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE)))) AS bce
-           FROM soft GROUP BY batch),
-  probs AS (SELECT value, agreement, 1 / (1 + exp(-20 * (agreement - tau))) AS p FROM judged, rule
-            WHERE collection = 'C_test')
-  SELECT 1 AS cycle, 'classifier' AS model,
-         round(sum((bce + 1 - {_DICE}) * images) / sum(images), 6) AS loss, round(avg({_DICE}), 6) AS metric
-  FROM sums
-  UNION ALL SELECT 1, 'discriminator',
-         round(avg(-ln(least(greatest(CASE value WHEN 1 THEN p ELSE 1 - p END, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE))), 6),
-         round(avg(((p > 0.5) = (value = 1))::INTEGER), 6) FROM probs""")
+@query(f"""WITH {SQL_LOOP}, {_sql_metrics(1, 'members', '')}
+  SELECT cycle, model, round(loss, 6) AS loss, round(metric, 6) AS metric FROM scores""")
 def loop_scores(spark, folder):
     """Loss and metric of both models in one cycle."""
     loop = _loop(spark, folder).run(1)
     return loop.scores_table().select("cycle", "model", r6("loss").alias("loss"), r6("metric").alias("metric"))
 
 
-@query(f"""WITH {SQL_LOOP} SELECT 1 AS cycle, (SELECT count(*) FROM d) AS machine_labels, count(*) AS selected,
-       count(*) FILTER (WHERE origin IS NULL) AS lost, count(*) AS removed, count(*) AS filled FROM selected""")
+@query(f"""WITH {SQL_TWO} SELECT 1 AS cycle, (SELECT count(*) FROM d) AS machine_labels, count(*) AS selected,
+       count(*) FILTER (WHERE origin IS NULL) AS lost, count(*) AS removed, count(*) AS filled FROM selected
+  UNION ALL SELECT 2, (SELECT count(*) FROM d2), count(*), count(*) FILTER (WHERE origin IS NULL),
+       count(*), count(*) FROM selected2""")
 def cycle_stats(spark, folder):
-    """Counters of one cycle."""
-    return _loop(spark, folder).run(1).stats_table().select(
+    """Counters of two cycles."""
+    return _loop(spark, folder).run(2).stats_table().select(
         "cycle", "machine_labels", "selected", "lost", "removed", "filled"
     )
 
 
-@query()
+@query(f"""WITH {SQL_TWO}, sizes AS (
+    SELECT 0 AS cycle, collection AS name, count(*) AS value FROM members GROUP BY collection
+    UNION ALL {_sql_sizes(1, 'members', '')} UNION ALL {_sql_sizes(2, 'updated', '2')})
+  SELECT cycle, 'size' AS kind, name, value::DOUBLE AS value FROM sizes
+  UNION ALL SELECT cycle, 'metric', model, round(metric, 6) FROM scores
+  UNION ALL SELECT cycle, 'metric', model, round(metric, 6) FROM scores2""")
 def loop_two_cycles(spark, folder):
     """Sizes of all collections and scores of both models over two cycles."""
     loop = _loop(spark, folder).run(2)
-    sizes = (
-        loop.store.all().groupBy("cycle", "collection").agg(F.count("*").cast("double").alias("value"))
+    counts = loop.store.all().groupBy("cycle", "collection").agg(
+        F.count("*").cast("double").alias("value")
     )
-    scores = loop.scores_table()
-    return sizes.select("cycle", F.lit("size").alias("kind"), F.col("collection").alias("name"), "value").unionByName(
-        scores.select("cycle", F.lit("metric").alias("kind"), F.col("model").alias("name"), "metric")
-        .withColumnRenamed("metric", "value")
+    sizes = counts.select("cycle", F.lit("size").alias("kind"), F.col("collection").alias("name"), "value")
+    metrics = loop.scores_table().select(
+        "cycle", F.lit("metric").alias("kind"), F.col("model").alias("name"), r6("metric").alias("value")
     )
+    return sizes.unionByName(metrics)
+
+
+@query(f"WITH {SQL_TWO} SELECT collection, point_id, ord FROM updated2")
+def loop_second_state(spark, folder):
+    """Membership after the second cycle."""
+    loop = _loop(spark, folder).run(2)
+    return loop.base.select("collection", "point_id", "ord")
 
 
 @query()
