@@ -349,8 +349,11 @@ def _loop(spark, folder, **settings) -> CurationLoop:
     )
 
 
-def _sql_cycle(cycle: int, state: str, suffix: str) -> str:
-    """One cycle step by step. The rule and its cut are those of the first cycle."""
+def _sql_cycle(cycle: int, state: str, suffix: str, truth: str = "t") -> str:
+    """One cycle step by step. The rule and its cut are those of the first cycle.
+
+    ``truth`` is what the segmenter is trained on.
+    """
     rule = f"""
 taus AS (SELECT k, (k - 0.5::DOUBLE) / 64 AS tau FROM range(65) AS r(k)),
 rule AS (
@@ -361,8 +364,8 @@ rule AS (
     return f"""
 train_dice{suffix} AS (
   SELECT cut, {_DICE} AS dice FROM (
-    SELECT cut, sum(CASE WHEN x >= cut THEN t ELSE 0 END) AS tp,
-           count(*) FILTER (WHERE x >= cut)::DOUBLE AS sp, sum(t) AS st
+    SELECT cut, sum(CASE WHEN x >= cut THEN {truth} ELSE 0 END) AS tp,
+           count(*) FILTER (WHERE x >= cut)::DOUBLE AS sp, sum({truth}) AS st
     FROM px JOIN {state} USING (point_id), cuts WHERE collection = 'A_train' GROUP BY cut)
 ), model{suffix} AS (SELECT arg_max(cut, (dice, -cut)) AS cut FROM train_dice{suffix}),
 {_sql_c(cycle, state, suffix)}, judged{suffix} AS (
@@ -399,13 +402,36 @@ places{suffix} AS (
 )"""
 
 
-SQL_LOOP = f"""
+SQL_LOOP_START = f"""
 pts AS (SELECT md5('embeddings:' || vec_id) AS point_id, vec_id AS pos FROM embeddings),
-cnt AS (SELECT count(*) AS n FROM embeddings), {SQL_SETUP}, {SQL_PX}, {SQL_CUTS},
-{_sql_cycle(1, 'members', '')}"""
+cnt AS (SELECT count(*) AS n FROM embeddings), {SQL_SETUP}, {SQL_PX}, {SQL_CUTS}"""
+SQL_LOOP = f"{SQL_LOOP_START}, {_sql_cycle(1, 'members', '')}"
 SQL_TWO = f"{SQL_LOOP}, {_sql_metrics(1, 'members', '')}, {_sql_cycle(2, 'updated', '2')}, {_sql_metrics(2, 'updated', '2')}"
 
 
+def _sql_states(cycle: int, state: str, suffix: str) -> str:
+    """All collections of every point just before and after the moves: was and now."""
+    derived = f"""
+  SELECT point_id, 'A_test_pred' AS collection FROM {state} WHERE collection = 'A_test'
+  UNION ALL SELECT point_id, 'C' FROM c{suffix}
+  UNION ALL SELECT point_id, collection FROM parts{suffix}
+  UNION ALL SELECT point_id, 'C_test_pred' FROM parts{suffix} WHERE collection = 'C_test'
+  UNION ALL SELECT point_id, 'D' FROM d{suffix}
+  UNION ALL SELECT point_id, 'D_relabeled' FROM selected{suffix}"""
+
+    def listed(rows: str) -> str:
+        return f"""SELECT point_id, string_agg(collection, ',' ORDER BY collection) AS names FROM (
+  SELECT point_id, collection FROM {rows} UNION ALL {derived}) GROUP BY point_id"""
+
+    return f"was{suffix} AS ({listed(state)}), now{suffix} AS ({listed(f'updated{suffix}')})"
+
+
+def _sql_changes(cycle: int, suffix: str) -> str:
+    return f"""SELECT {cycle} AS cycle, was{suffix}.names AS previous, now{suffix}.names AS collections,
+       count(*) AS n_points FROM was{suffix} JOIN now{suffix} USING (point_id)
+  WHERE was{suffix}.names <> now{suffix}.names GROUP BY ALL"""
+
+
 def _sql_sizes(cycle: int, state: str, suffix: str) -> str:
     """Sizes of the collections at the end of a cycle."""
     before = f"(SELECT count(*) FROM {state} WHERE collection = 'A_test')"
@@ -489,7 +515,8 @@ def loop_balanced(spark, folder):
     return reg.sizes(loop.members)
 
 
-@query()
+@query(f"""WITH {SQL_TWO}, {_sql_states(1, 'members', '')}, {_sql_states(2, 'updated', '2')}
+  {_sql_changes(1, '')} UNION ALL {_sql_changes(2, '2')}""")
 def loop_trace(spark, folder):
     """Changes of collections over two cycles with every step stored."""
     loop = _loop(spark, folder, store_after_each_step=True).run(2)
@@ -499,7 +526,9 @@ def loop_trace(spark, folder):
     )
 
 
-@query()
+@query(f"""WITH {SQL_LOOP_START}, {_sql_cycle(1, 'members', '', '(1 - t)')}
+  SELECT point_id, selected.value AS label, sum(1 - t) AS area FROM selected JOIN px USING (point_id)
+  GROUP BY point_id, selected.value""")
 def loop_manual_labels(spark, folder):
     """Relabelled points with masks drawn by hand: here the inverted truth."""
     points = images(spark, folder)
