@@ -135,14 +135,15 @@ def rgba_to_gray(spark, folder):
     return long_rows(gray, "pos")
 
 
-@query(f"""WITH {SQL_PX}, g AS (
-    SELECT pos, i // 3 AS i, sum(u / 255.0::DOUBLE * CASE i % 3 WHEN 0 THEN 0.2125::DOUBLE
-           WHEN 1 THEN 0.7154::DOUBLE ELSE 0.0721::DOUBLE END) AS v FROM px WHERE i < 63 GROUP BY 1, 2)
-  SELECT pos, i, round(v, 6) AS v FROM g""")
+@query(f"""WITH {SQL_PX} SELECT a.pos, a.i, round(a.u / 255.0::DOUBLE * 0.2125::DOUBLE
+         + (255 - a.u) / 255.0::DOUBLE * 0.7154::DOUBLE + b.u / 255.0::DOUBLE * 0.0721::DOUBLE, 6) AS v
+  FROM px a JOIN px b ON a.pos = b.pos AND b.i = 63 - a.i""")
 def rgb_to_gray(spark, folder):
-    """21 pixels of three channels each."""
-    rgb = bytes_images(spark, folder).select("pos", F.slice("image", 1, 63).alias("image"))
-    return long_rows(rgb.select("pos", a.to_gray("image", 3).alias("image")), "pos")
+    """Colour pictures: red as is, green inverted, blue read backwards."""
+    pictures = bytes_images(spark, folder)
+    red, blue = F.col("image"), F.reverse("image")
+    mixed = F.flatten(F.zip_with(red, blue, lambda r, b: F.array(r, F.lit(255) - r, b)))
+    return long_rows(pictures.select("pos", mixed.alias("image")).select("pos", a.to_gray("image", 3).alias("image")), "pos")
 
 
 @query(f"WITH {SQL_PX} SELECT pos, i // 4 AS i, round(u::DOUBLE, 6) AS v FROM px WHERE i % 4 = 0")

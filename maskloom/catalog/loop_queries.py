@@ -15,7 +15,6 @@ from maskloom.operators import curation as cur
 from maskloom.operators import evaluate as ev
 from maskloom.operators import registry as reg
 from maskloom.operators import splits
-from maskloom.operators.history import best_checkpoint
 from maskloom.operators.sampling import draw_one
 from maskloom.plans import experiments, learners
 from maskloom.plans.loop import JUDGED, UPDATED, CurationLoop, LoopSettings
@@ -542,16 +541,27 @@ def loop_manual_labels(spark, folder):
     return loop.relabeled_pixels().select("point_id", "label", area.alias("area"))
 
 
-@query()
+def _sql_history(cycle: int, state: str, suffix: str) -> str:
+    return f"""
+  SELECT {cycle} AS cycle, dice AS metric, val_dice AS val_metric
+  FROM train_dice{suffix} JOIN model{suffix} USING (cut), (
+    SELECT {_DICE} AS val_dice FROM (
+      SELECT sum(CASE WHEN x >= cut THEN t ELSE 0 END) AS tp,
+             count(*) FILTER (WHERE x >= cut)::DOUBLE AS sp, sum(t) AS st
+      FROM px JOIN {state} USING (point_id), model{suffix} WHERE collection = 'A_val'))"""
+
+
+@query(f"""WITH {SQL_TWO}, h AS ({_sql_history(1, 'members', '')} UNION ALL {_sql_history(2, 'updated', '2')})
+  SELECT cycle, 0 AS epoch, round(1 - metric, 6) AS loss, round(metric, 6) AS metric,
+         round(1 - val_metric, 6) AS val_loss, round(val_metric, 6) AS val_metric FROM h""")
 def training_history(spark, folder):
-    """Stored per-epoch history of two cycles, with the epoch of the best validation loss."""
-    loop = _loop(spark, folder)
-    loop.segmenter = learners.ThresholdSegmenter(**GRID, epochs=4)
-    loop.run(2)
+    """Per-epoch history of the segmenter over two cycles, appended to a table and read back."""
+    loop = _loop(spark, folder).run(2)
     path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     tables.append_history(loop.history_table(), path)
     stored = spark.read.parquet(path).filter(F.col("model") == "threshold")
-    return best_checkpoint(stored, run="cycle", step="epoch")
+    numbers = ("loss", "metric", "val_loss", "val_metric")
+    return stored.select("cycle", "epoch", *[r6(name).alias(name) for name in numbers])
 
 
 @query("""WITH s AS (
