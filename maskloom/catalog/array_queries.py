@@ -35,7 +35,7 @@ def channel_stack(spark, folder):
     points = images(spark, folder)
     masks = points.select("point_id", "truth", "prob", "label")
     stacked = points.select("point_id", "pos", "image").join(masks, "point_id")
-    pixels = stacked.select("pos", "image", "truth", "label", F.posexplode("prob").alias("i", "p"))
+    pixels = stacked.select("pos", "image", "truth", "label", F.posexplode_outer("prob").alias("i", "p"))
     return pixels.select(
         "pos", F.col("i").cast("bigint").alias("i"), r6(F.col("image")[F.col("i")]).alias("image"),
         r6(F.col("truth")[F.col("i")]).alias("mask"), r6("p").alias("pred"),

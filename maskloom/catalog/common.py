@@ -51,9 +51,8 @@ def r6(column: Column | str) -> Column:
 
 def long_rows(df: DataFrame, *keys: str, image: str = "image") -> DataFrame:
     """(keys..., i, v): one row per pixel, rounded."""
-    return df.select(*keys, F.posexplode(image).alias("i", "_v")).select(
-        *keys, F.col("i").cast("bigint").alias("i"), r6("_v").alias("v")
-    )
+    long = df.select(*keys, F.posexplode_outer(image).alias("i", "_v")).filter(F.col("i").isNotNull())
+    return long.select(*keys, F.col("i").cast("bigint").alias("i"), r6("_v").alias("v"))
 
 
 # --- points from orders ---------------------------------------------------------------------

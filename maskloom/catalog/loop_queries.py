@@ -625,7 +625,7 @@ def prediction_rows(spark, folder):
     points = images(spark, folder)
     predicted = learners.ThresholdModel(0.01).transform(points)
     rows = ev.prediction_rows(predicted, points.count() // 3, "pos")
-    return rows.select("pos", "image", "truth", F.posexplode("mask").alias("i", "pred")).select(
+    return rows.select("pos", "image", "truth", F.posexplode_outer("mask").alias("i", "pred")).select(
         "pos", F.col("i").cast("bigint").alias("i"), r6(F.col("image")[F.col("i")]).alias("image"),
         F.col("truth")[F.col("i")].alias("truth"), "pred",
     )

@@ -13,10 +13,13 @@ _SUMS = ("n", "tp", "st", "sp", "bce")
 
 
 def pixels(df: DataFrame, *keep: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """Long form (keep..., t, p). Generation and what follows share one generated-code stage."""
-    paired = df.select(*keep, F.col(truth).alias("_truth"), F.posexplode(pred).alias("_i", "p"))
-    return paired.select(
-        *keep, F.col("_truth")[F.col("_i")].cast("double").alias("t"), F.col("p").cast("double")
+    """Long form (keep..., t, p). Generation and what follows share one generated-code stage.
+
+    A plain ``posexplode`` would add a filter that computes ``pred`` once more, and below any join.
+    """
+    paired = df.select(*keep, F.col(truth).alias("_truth"), F.posexplode_outer(pred).alias("_i", "p"))
+    return paired.filter(F.col("_i").isNotNull()).select(
+        *keep, F.get("_truth", "_i").cast("double").alias("t"), F.col("p").cast("double")
     )
 
 
@@ -128,7 +131,8 @@ def require_uniform(df: DataFrame) -> DataFrame:
 def unique_values(df: DataFrame, image: str = "image") -> DataFrame:
     """Distinct pixel values with the number of images holding each."""
     return (
-        df.select(F.explode(F.array_distinct(image)).alias("value"))
+        df.select(F.explode_outer(F.array_distinct(image)).alias("value"))
+        .filter(F.col("value").isNotNull())
         .groupBy(F.col("value").cast("double").alias("value"))
         .agg(F.count("*").alias("n_images"))
     )

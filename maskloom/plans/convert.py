@@ -26,9 +26,9 @@ def gray_by_channels(channels: Column | str = "channels", image: str = "image")
 
 def cut_tiles(pictures: DataFrame, tile: int = TILE, keep: Sequence[str] = ("path",)) -> DataFrame:
     """One row per non-empty tile: (keep..., tile_no, h, w, image)."""
-    return pictures.select(
-        *keep, F.explode(a.tiles("image", "h", "w", tile)).alias("tile")
-    ).select(*keep, "tile.*")
+    # A plain explode would add a filter that cuts every picture a second time.
+    cut = pictures.select(*keep, F.explode_outer(a.tiles("image", "h", "w", tile)).alias("tile"))
+    return cut.filter(F.col("tile").isNotNull()).select(*keep, "tile.*")
 
 
 def _resized(tiles: DataFrame, target: int) -> DataFrame:
@@ -193,4 +193,5 @@ def augment(
             )
         )
         offset += max(0, end - start)
-    return points.select(F.explode(F.array_compact(F.array(*copies))).alias("copy")).select("copy.*")
+    made = points.select(F.explode_outer(F.array_compact(F.array(*copies))).alias("copy"))
+    return made.filter(F.col("copy").isNotNull()).select("copy.*")

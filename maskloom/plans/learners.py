@@ -65,8 +65,8 @@ def cut_histogram(df: DataFrame, cuts: Sequence[float], *by: str, image="image",
 
     One pass over the pixels whatever the number of cuts; what is exchanged is a row per bin.
     """
-    raw = df.select(*by, F.col(truth).alias("_truth"), F.posexplode(image).alias("_i", "_raw"))
-    long = raw.select(
+    raw = df.select(*by, F.col(truth).alias("_truth"), F.posexplode_outer(image).alias("_i", "_raw"))
+    long = raw.filter(F.col("_i").isNotNull()).select(
         *by, F.get("_truth", "_i").cast("double").alias("_t"), F.col("_raw").cast("double").alias("_x")
     )
     return long.groupBy(*by, cut_bin("_x", cuts).alias("bin")).agg(
@@ -179,8 +179,9 @@ def pixel_features(df: DataFrame, *keep: str, truth: str | None = "truth") -> Da
     image, i, h, w = F.col("_image"), F.col("i"), F.col("h"), F.col("w")
     extra = [F.col(truth).alias("_truth")] if truth else []
     long = df.select(
-        *keep, "h", "w", F.col("image").alias("_image"), *extra, F.posexplode("image").alias("i", "x")
-    )
+        *keep, "h", "w", F.col("image").alias("_image"), *extra,
+        F.posexplode_outer("image").alias("i", "x"),
+    ).filter(F.col("i").isNotNull())
     row, col = F.floor(i / w), i % w
     total, count = F.lit(0.0), F.lit(0)
     for dr in (-1, 0, 1):
@@ -191,7 +192,7 @@ def pixel_features(df: DataFrame, *keep: str, truth: str | None = "truth") -> Da
             count = count + inside.cast("int")
     columns = [*keep, "i", F.col("x").cast("double").alias("x"), (total / count).alias("mean3")]
     if truth:
-        columns.append(F.col("_truth")[i].cast("double").alias("t"))
+        columns.append(F.get("_truth", i).cast("double").alias("t"))
     return long.select(*columns)
 
 
@@ -268,10 +269,10 @@ def pair_features(pairs: DataFrame, cut: float, *keep: str, mask: str = "mask")
     keys = ["point_id", *keep]
     long = pairs.select(
         *keys, "h", "w", F.col("image").alias("_image"), F.col(mask).alias("_mask"),
-        F.posexplode(mask).alias("_i", "_m"),
-    )
+        F.posexplode_outer(mask).alias("_i", "_m"),
+    ).filter(F.col("_i").isNotNull())
     i, w, h = F.col("_i"), F.col("w"), F.col("h")
-    x = F.col("_image")[i].cast("double")
+    x = F.get("_image", i).cast("double")
     inside = F.col("_m") > 0
     right = F.when(i % w < w - 1, F.get("_mask", i + 1) != F.col("_m")).otherwise(F.lit(False))
     below = F.when(i < (h - 1) * w, F.get("_mask", i + w) != F.col("_m")).otherwise(F.lit(False))

@@ -55,6 +55,17 @@ def test_pixels_are_combined_before_the_shuffle(spark):
     assert "partial_sum" in plan[exchange:]
 
 
+def test_predictions_are_computed_once(spark):
+    df = spark.createDataFrame([("x", [1.0], [1.0])], "id string, truth array<double>, raw array<double>")
+    made = df.withColumn("pred", F.transform("raw", lambda x: F.exp(x)))
+    plan = ev.pixel_sums(made, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("transform(") == 1
+
+
+def test_pictures_without_pixels_have_no_sums(spark):
+    assert sums(spark, [], []).count() == 0
+
+
 def test_batches_of_32_count_equally_in_the_metric_only(spark):
     data = spark.range(40).select(
         F.col("id").alias("idx"), F.lit(1).alias("n"),
