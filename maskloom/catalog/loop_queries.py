@@ -177,10 +177,15 @@ def lost_points(spark, folder):
     return cur.lost_points(cur.select_for_relabel(d_rows, _updated(members, d_rows), 30, 2))
 
 
-@query(f"""WITH RECURSIVE {SQL_POINTS}, {SQL_SETUP}, goal AS (SELECT (tr + b + te) // 3 AS t FROM sz),
+def _sql_balance(before: str, state: str) -> str:
+    """Sizes simulated one move at a time, and where the points of the three sets end up.
+
+    ``before`` gives the sizes (tr, b, te). B and A_test are the donors here, A_train receives.
+    """
+    return f"""before AS ({before}), goal AS (SELECT (tr + b + te) // 3 AS t FROM before),
   sim AS (
     SELECT 0 AS step, list_sort([{{'s': -tr, 'p': 0, 'k': 'A_train'}}, {{'s': -b, 'p': 1, 'k': 'B'}},
-                                 {{'s': -te, 'p': 2, 'k': 'A_test'}}]) AS l FROM sz
+                                 {{'s': -te, 'p': 2, 'k': 'A_test'}}]) AS l FROM before
     UNION ALL
     SELECT step + 1, list_sort([
       {{'s': l[1].s + 1, 'p': 0, 'k': l[1].k}},
@@ -192,9 +197,14 @@ def lost_points(spark, folder):
   ranked AS (
     SELECT collection, point_id, count(*) OVER (PARTITION BY collection) AS total,
            row_number() OVER (PARTITION BY collection ORDER BY {sql_key('balance1')}, point_id) AS place
-    FROM members WHERE collection IN ('A_train', 'B', 'A_test'))
-  SELECT CASE WHEN place <= total - size THEN 'A_train' ELSE collection END AS collection, point_id
-  FROM ranked JOIN sizes USING (collection)""")
+    FROM {state} WHERE collection IN ('A_train', 'B', 'A_test')),
+  balanced AS (
+    SELECT CASE WHEN place <= total - size THEN 'A_train' ELSE collection END AS collection, point_id
+    FROM ranked JOIN sizes USING (collection))"""
+
+
+@query(f"""WITH RECURSIVE {SQL_POINTS}, {SQL_SETUP}, {_sql_balance('SELECT tr, b, te FROM sz', 'members')}
+  SELECT collection, point_id FROM balanced""")
 def rebalance(spark, folder):
     """A_train, B and A_test brought towards equal sizes."""
     _, _, members, sizes = _state(spark, folder)
@@ -507,11 +517,18 @@ def loop_second_state(spark, folder):
     return loop.base.select("collection", "point_id", "ord")
 
 
-@query()
+_SIZES = ", ".join(
+    f"count(*) FILTER (WHERE collection = '{name}') AS {short}"
+    for name, short in (("A_train", "tr"), ("B", "b"), ("A_test", "te"))
+)
+
+
+@query(f"""WITH RECURSIVE {SQL_LOOP}, {_sql_balance(f'SELECT {_SIZES} FROM updated', 'updated')}
+  SELECT collection, point_id FROM balanced
+  UNION ALL SELECT collection, point_id FROM updated WHERE collection IN ('A', 'A_val', 'Z')""")
 def loop_balanced(spark, folder):
-    """Two cycles with balancing: sizes afterwards. C may be uneven, so it is not strict."""
-    loop = _loop(spark, folder, balance=True, strict=False).run(2)
-    return reg.sizes(loop.members)
+    """Membership after one cycle with balancing."""
+    return _loop(spark, folder, balance=True).run(1).base.select("collection", "point_id")
 
 
 @query(f"""WITH {SQL_TWO}, {_sql_states(1, 'members', '')}, {_sql_states(2, 'updated', '2')}

@@ -170,7 +170,8 @@ def test_other_seed_other_choice(points, two_cycles):
 
 
 def test_balanced_loop(points):
-    loop = make(points, balance=True).run(1)
+    # Balanced sides may differ by one point, so the second C cannot be strict.
+    loop = make(points, balance=True, strict=False).run(2)
     sizes = [loop.sizes[name] for name in cur.BALANCED]
     assert max(sizes) - min(sizes) <= 3 and sum(loop.sizes[n] for n in BASE if n != "A") == 500
     assert loop.stats[0][7] > 0
