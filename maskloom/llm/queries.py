@@ -79,3 +79,23 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("mix_target").alias("target"),
         F.col("mix_taken").alias("taken"),
     )
+
+
+# --- 2: packing -----------------------------------------------------------------------------
+
+
+@query()
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.packing import pack
+
+    return pack(documents(spark, folder)).drop("ids")
+
+
+# --- 4: token-id files ----------------------------------------------------------------------
+
+
+@query()
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.grammar import encode_and_read
+
+    return encode_and_read(documents(spark, folder))
