@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 _RUN = re.compile(r"\s\s")
 # A blank between two other characters always starts a new part for a byte-level tokenizer of
 # this kind, so parts between such blanks can be encoded on their own.
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
-_LIMIT = 24 << 20
+# Signs that form one unit when they follow letters. Apostrophes may start a contraction instead.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LIMIT = 64 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -18,11 +21,37 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letters that byte-level vocabularies write for bytes 0..255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return [letters[b] for b in range(256)]
+
+
+class _Memo(dict):
+    """Values made on first use; ``held`` estimates the bytes they take."""
+
+    def __init__(self, make):
+        self.make, self.held = make, 0
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        self.held += 120 + len(key) + len(value)
+        return value
+
+    def trim(self) -> None:
+        if self.held > _LIMIT:
+            self.clear()
+            self.held = 0
+
+
 class Encoder:
     """Ids as bytes of little-endian unsigned 32-bit numbers.
 
     Words repeat far more often than the tokenizer's own cache can hold, so each distinct part
-    is encoded once while it stays in a memo of bounded size.
+    of a text is encoded once while it stays in a memo of bounded size. Letters followed by signs
+    go straight to the tokenizer's model, anything else through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -31,41 +60,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        from array import array
-
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.units = _Memo(self._unit)
+        self.heads = _Memo(lambda part: self._part(part, ""))
+        self.parts = _Memo(lambda part: self._part(part, " "))
+
+    def _unit(self, unit: str) -> bytes:
+        spelled = unit.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _part(self, part: str, lead: str) -> bytes:
+        out = []
+        whole = lead + part
+        for number, line in enumerate(part.split("\n")):
+            if number:
+                out.append(self.units["\n"])
+                lead = ""
+            word = line.rstrip(_SIGNS)
+            if not line or (word and not word.isalpha()):
+                ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
+                return array("I", ids).tobytes()
+            signs = line[len(word):]
+            if word:
+                out.append(self.units[lead + word])
+                if signs:
+                    out.append(self.units[signs])
+            else:
+                out.append(self.units[lead + signs])
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text; a null text has none."""
-        split = []
+        out = []
+        part_ids = self.parts.__getitem__
         for text in texts:
             if not text:
-                split.append(None)
-            elif _RUN.search(text) or text[0] == " " or text[-1] == " ":
-                split.append(_BLANK.split(text))
+                out.append(b"")
+                continue
+            if _RUN.search(text) or text[0] == " " or text[-1] == " ":
+                parts = _BLANK.split(text)
             else:
-                split.append(text.split(" "))
-        heads = dict.fromkeys(parts[0] for parts in split if parts)
-        heads = dict(zip(heads, self._ids(list(heads))))
-        new = set()
-        for parts in split:
-            if parts:
-                new.update(parts[1:])
-        new.difference_update(self.memo)
-        fresh = list(new)
-        self.memo.update(zip(fresh, self._ids([" " + part for part in fresh])))
-        self.held += sum(map(len, fresh)) + 100 * len(fresh)
-        found = self.memo.__getitem__
-        out = [
-            heads[parts[0]] + b"".join(map(found, parts[1:])) if parts else b"" for parts in split
-        ]
-        if self.held > _LIMIT:
-            self.memo, self.held = {}, 0
+                parts = text.split(" ")
+            first = self.heads[parts[0]]
+            del parts[0]
+            out.append(first + b"".join(map(part_ids, parts)))
+        for memo in (self.units, self.heads, self.parts):
+            memo.trim()
         return out
 
 
