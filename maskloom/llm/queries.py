@@ -99,3 +99,13 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.grammar import encode_and_read
 
     return encode_and_read(documents(spark, folder))
+
+
+# --- 8: near duplicates ---------------------------------------------------------------------
+
+
+@query()
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, folder))
