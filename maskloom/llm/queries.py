@@ -109,3 +109,56 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.minhash import near_duplicates
 
     return near_duplicates(documents(spark, folder))
+
+
+# --- 6: exact top-k -------------------------------------------------------------------------
+
+SQL_TOP = """
+WITH v AS (
+  SELECT vec_id, list_sum([
+           CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END FOR i IN range(1, 65)])::HUGEINT AS code
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, bit_count(xor(q.code, v.code))::BIGINT AS distance
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q, (SELECT DISTINCT * FROM v) v
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
+@query(SQL_TOP)
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.hamming import nearest_codes
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest_codes(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+# --- 10: conversations ----------------------------------------------------------------------
+
+SQL_CHAT = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns,
+         md5(coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')) AS h
+  FROM t
+), x AS (
+  SELECT *, string_agg(h, ',') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS prefix,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered
+  FROM p
+), e AS (SELECT prefix, min(conv_id) AS conv_id FROM x WHERE place = n_turns GROUP BY prefix),
+k AS (SELECT conv_id FROM e WHERE prefix NOT IN (SELECT prefix FROM x WHERE place < n_turns))
+SELECT conv_id, place, n_turns, role, rendered,
+       CAST(sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) - length(rendered) AS BIGINT) AS start
+FROM x WHERE conv_id IN (SELECT conv_id FROM k)
+"""
+
+
+@query(SQL_CHAT)
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.chat import collapse_snapshots
+
+    return collapse_snapshots(table(spark, folder, "conversations"))

@@ -12,7 +12,7 @@ _RUN = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 # Signs that form one unit when they follow letters. Apostrophes may start a contraction instead.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LIMIT = 64 << 20
+_LIMIT = 128 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
