@@ -162,3 +162,13 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.chat import collapse_snapshots
 
     return collapse_snapshots(table(spark, folder, "conversations"))
+
+
+# --- 1: personal data -----------------------------------------------------------------------
+
+
+@query()
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.pii import find_personal_data
+
+    return find_personal_data(documents(spark, folder))
