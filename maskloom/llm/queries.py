@@ -172,3 +172,14 @@ def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.pii import find_personal_data
 
     return find_personal_data(documents(spark, folder))
+
+
+# --- 3: toxicity ----------------------------------------------------------------------------
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.toxicity import score, train
+
+    docs = documents(spark, folder)
+    return score(docs, train(docs, table(spark, folder, "labels")))
