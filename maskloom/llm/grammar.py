@@ -29,7 +29,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 # Symbols from here on are rules; ids of the tokenizer are below.
 FIRST_RULE = 1 << 17
-ROUNDS = 6
+ROUNDS = 5
 LEAST_COUNT = 32
 PAIRS_A_ROUND = 4096
 _TABLE = 1 << 20
@@ -48,12 +48,25 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        # Hashed counts leave out most places; exact counts follow for the others.
+        # Pairs are counted in hashed slots; of the fullest slots, the pair seen last stands for
+        # its slot, and its own places are counted exactly.
         slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        often = np.flatnonzero((np.bincount(slot, minlength=_TABLE) >= least)[slot])
-        keys = (symbols[often].astype(np.uint64) << np.uint64(32)) | symbols[often + 1]
-        pairs, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
+        size = np.bincount(slot, minlength=_TABLE)
+        bound = max(least, int(np.partition(size, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
+        full = np.flatnonzero(size >= bound)
+        number = np.full(_TABLE, -1, np.int32)
+        number[full] = np.arange(len(full))
+        which = number[slot]
+        often = np.flatnonzero(which >= 0)
+        which = which[often]
+        a_all, b_all = symbols[often], symbols[often + 1]
+        last = np.zeros(len(full), np.int64)
+        last[which] = np.arange(len(which))
+        same = (a_all == a_all[last][which]) & (b_all == b_all[last][which])
+        often, which = often[same], which[same]
+        counts = np.bincount(which, minlength=len(full))
+        pairs = (a_all[last].astype(np.uint64) << np.uint64(32)) | b_all[last]
+        order = np.argsort(-counts, kind="stable")
         left: set[int] = set()
         right: set[int] = set()
         taken = []
@@ -219,9 +232,9 @@ def read_documents(files: DataFrame) -> DataFrame:
                 lengths = np.array(row["doc_lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
+                ids = memoryview(grammar.decode(0, row["n_ids"]).tobytes())
                 sums = [
-                    zlib.crc32(grammar.decode(a, b).tobytes())
-                    for a, b in zip(starts.tolist(), ends.tolist())
+                    zlib.crc32(ids[4 * a: 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())
                 ]
                 n = len(lengths)
                 yield pa.record_batch(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -12,7 +13,7 @@ _RUN = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 # Signs that form one unit when they follow letters. Apostrophes may start a contraction instead.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LIMIT = 128 << 20
+_LIMIT = 192 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,21 +31,25 @@ def _byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    """Values made on first use; ``held`` estimates the bytes they take."""
-
-    def __init__(self, make):
-        self.make, self.held = make, 0
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.make(key)
-        self.held += 120 + len(key) + len(value)
+    """Ids of parts that follow a blank, made on first use; ``held`` estimates their bytes."""
+
+    def __init__(self, coder: "Encoder"):
+        self.coder, self.held = coder, 0
+
+    def __missing__(self, part: str) -> bytes:
+        coder = self.coder
+        if part.isalpha():
+            value = coder.unit(" " + part)
+        else:
+            word = part.rstrip(_SIGNS)
+            if word and word.isalpha():
+                value = self[word] + coder.signs(part[len(word):])
+            else:
+                value = coder.any_part(" ", part)
+        self[part] = value
+        self.held += 150 + len(part) + len(value)
         return value
 
-    def trim(self) -> None:
-        if self.held > _LIMIT:
-            self.clear()
-            self.held = 0
-
 
 class Encoder:
     """Ids as bytes of little-endian unsigned 32-bit numbers.
@@ -60,53 +65,70 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.merge = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
-        self.units = _Memo(self._unit)
-        self.heads = _Memo(lambda part: self._part(part, ""))
-        self.parts = _Memo(lambda part: self._part(part, " "))
-
-    def _unit(self, unit: str) -> bytes:
-        spelled = unit.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _part(self, part: str, lead: str) -> bytes:
+        self.parts = _Memo(self)
+        self.known_signs: dict[str, bytes] = {}
+
+    def unit(self, unit: str) -> bytes:
+        """Ids of one unit of the tokenizer's own splitting."""
+        if unit.isascii() and unit != "\n":
+            spelled = unit.replace(" ", self.letters[32])
+        else:
+            spelled = unit.encode("utf-8").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(spelled)]).tobytes()
+
+    def signs(self, signs: str) -> bytes:
+        if signs not in self.known_signs:
+            if len(self.known_signs) > 10_000:
+                self.known_signs.clear()
+            self.known_signs[signs] = self.unit(signs)
+        return self.known_signs[signs]
+
+    def any_part(self, lead: str, part: str) -> bytes:
         out = []
         whole = lead + part
         for number, line in enumerate(part.split("\n")):
             if number:
-                out.append(self.units["\n"])
+                out.append(self.signs("\n"))
                 lead = ""
             word = line.rstrip(_SIGNS)
             if not line or (word and not word.isalpha()):
                 ids = self.tokenizer.encode(whole, add_special_tokens=False).ids
                 return array("I", ids).tobytes()
             signs = line[len(word):]
-            if word:
-                out.append(self.units[lead + word])
-                if signs:
-                    out.append(self.units[signs])
-            else:
-                out.append(self.units[lead + signs])
+            if not word:
+                out.append(self.signs(lead + signs))
+                continue
+            out.append(self.parts[word] if lead else self.unit(word))
+            if signs:
+                out.append(self.signs(signs))
         return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every whole text; a null text has none."""
         out = []
         part_ids = self.parts.__getitem__
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if _RUN.search(text) or text[0] == " " or text[-1] == " ":
-                parts = _BLANK.split(text)
-            else:
-                parts = text.split(" ")
-            first = self.heads[parts[0]]
-            del parts[0]
-            out.append(first + b"".join(map(part_ids, parts)))
-        for memo in (self.units, self.heads, self.parts):
-            memo.trim()
+        collecting = gc.isenabled()
+        gc.disable()  # the memo's entries hold no cycles, but every collection would visit them
+        try:
+            for text in texts:
+                if not text:
+                    out.append(b"")
+                    continue
+                if _RUN.search(text) or text[0] == " " or text[-1] == " ":
+                    parts = _BLANK.split(text)
+                else:
+                    parts = text.split(" ")
+                first = self.any_part("", parts[0])
+                del parts[0]
+                out.append(first + b"".join(map(part_ids, parts)))
+        finally:
+            if collecting:
+                gc.enable()
+        if self.parts.held > _LIMIT:
+            self.parts.clear()
+            self.parts.held = 0
         return out
 
 

@@ -81,11 +81,24 @@ def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def word_inputs(words: Words, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds of word and best group, slots of word and three parts) per distinct word."""
-    known = odds[0][_slot(words.hashes, ODDS_BITS)].astype(np.float32)
+def log_odds(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
+    """Log-odds of toxic among documents with a slot, less those of all documents.
+
+    Shrunk as if ``PRIOR`` more documents had the base rate; 0 where too few documents are known.
+    """
+    share = (toxic + PRIOR * base) / (toxic + clean + PRIOR)
+    value = np.log(share / (1 - share)) - np.log(base / (1 - base))
+    return np.where(toxic + clean >= LEAST_DOCUMENTS, np.clip(value, -4, 8), 0).astype(np.float32)
+
+
+def word_inputs(words: Words, odds) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds of word and best group, slots of word and three parts) per distinct word.
+
+    ``odds`` gives the log-odds of slots of words (kind 0) or of character groups (kind 1).
+    """
+    known = odds(0, _slot(words.hashes, ODDS_BITS)).astype(np.float32)
     best = np.full(len(words.hashes), -9.0, np.float32)
-    np.maximum.at(best, words.group_owner, odds[1][_slot(words.groups, ODDS_BITS)].astype(np.float32))
+    np.maximum.at(best, words.group_owner, odds(1, _slot(words.groups, ODDS_BITS)).astype(np.float32))
     slots = np.stack(
         [_slot(words.hashes, 14)] + [_slot(p, 13) for p in words.parts], 1
     ).astype(np.int32)
@@ -256,7 +269,8 @@ def document_logits(model: dict, column: pa.Array, most: int = 4096) -> np.ndarr
     """The highest window logit of each text; texts without words get the model's bias."""
     net = model["net"]
     words = Words(column)
-    odds, slots = word_inputs(words, model["odds"])
+    table = model["odds"]
+    odds, slots = word_inputs(words, lambda kind, slot: table[kind][slot])
     inputs = embed(net, odds, slots)
     inputs = np.concatenate([inputs, np.zeros((1, inputs.shape[1]), np.float32)])
     first, size, doc = windows_of(words.bounds)
@@ -298,8 +312,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _training_windows(odds: np.ndarray):
-    """The windows of each sampled document with the strongest log-odds, as flat arrays."""
+def _training_windows(toxic: np.ndarray, clean: np.ndarray, base: float):
+    """The windows of each sampled document with the strongest log-odds, as flat arrays.
+
+    A document's own part in the counts is taken off first, or its rarest words would give its
+    label away.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +326,10 @@ def _training_windows(odds: np.ndarray):
                 words = Words(batch.column(0).slice(k, 1))
                 if not len(words.at):
                     continue
-                values, slots = word_inputs(words, odds)
+                own = int(labels[k])
+                values, slots = word_inputs(words, lambda kind, slot: log_odds(
+                    toxic[kind][slot] - own, clean[kind][slot] - (1 - own), base
+                ))
                 strength = np.maximum(values.max(1), 0)[words.at]
                 first, size, _ = windows_of(words.bounds)
                 total = np.append(0, np.cumsum(strength))
@@ -356,11 +377,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n = sum(sizes.values())
     base = (sizes.get(1, 0) + 0.5) / (n + 1)
-    odds = np.zeros((2, 1 << ODDS_BITS), np.float16)
-    share = (table["toxic"] + PRIOR * base) / (table["toxic"] + table["clean"] + PRIOR)
-    value = np.log(share / (1 - share)) - np.log(base / (1 - base))
-    odds[table["kind"], table["slot"]] = np.clip(value, -4, 8)
-    found = sample.mapInArrow(_training_windows(odds), "toxic int, odds binary, slots binary, mask binary").collect()
+    seen = np.zeros((2, 2, 1 << ODDS_BITS), np.float32)
+    for k, name in enumerate(("toxic", "clean")):
+        seen[k, table["kind"], table["slot"]] = table[name]
+    odds = log_odds(*seen, base).astype(np.float16)
+    found = sample.mapInArrow(_training_windows(*seen, base), "toxic int, odds binary, slots binary, mask binary").collect()
     model = {"odds": odds, "net": new_network(), "scale": 0.0, "shift": float(np.log(base / (1 - base))), "empty": 0.0}
     if len({r["toxic"] for r in found}) < 2:
         return model
