@@ -183,3 +183,13 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = documents(spark, folder)
     return score(docs, train(docs, table(spark, folder, "labels")))
+
+
+# --- 7: repeated strings --------------------------------------------------------------------
+
+
+@query()
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.suffix import remove_repeats
+
+    return remove_repeats(documents(spark, folder))
