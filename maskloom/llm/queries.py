@@ -193,3 +193,13 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.suffix import remove_repeats
 
     return remove_repeats(documents(spark, folder))
+
+
+# --- 5: near-equal vectors ------------------------------------------------------------------
+
+
+@query()
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.graph import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
