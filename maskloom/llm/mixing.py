@@ -133,6 +133,22 @@ def mix_sources(
     )
 
 
+def mix_rows(docs: DataFrame, quality: DataFrame | None = None, **settings) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``.
+
+    What is taken is worked out on ids and sizes; texts are shuffled once, to meet it. Rows that
+    share id and text are all taken as often as the one that is taken most.
+    """
+    key = F.xxhash64("text").alias("mix_hash")
+    narrow = docs.select("doc_id", "source", "text", key.alias("hash_of_text"))
+    taken = mix_sources(narrow, quality, **settings).groupBy(
+        F.col("doc_id").alias("mix_id"), F.col("hash_of_text").alias("mix_hash")
+    ).agg(F.max("mix_size").alias("mix_size"), F.max("mix_epochs").alias("mix_epochs"), F.max("mix_extra").alias("mix_extra"))
+    taken = taken.where("mix_epochs > 0 OR mix_extra > 0")
+    met = docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_hash"])
+    return mixed_rows(docs.join(taken, met).select(*[docs[c] for c in docs.columns], "mix_size", "mix_epochs", "mix_extra"))
+
+
 def mixed_rows(mixed: DataFrame) -> DataFrame:
     """The rows of the mix, with the columns that ``mix_sources`` was given.
 

@@ -4,7 +4,7 @@ A word's inputs are a learned vector of the word, learned vectors of its first 3
 3 characters, and the log-odds of the word and of its most telling character group in the
 training sample. Windows of 32 words, each overlapping the next by half, run through a gated
 recurrent layer in both directions; attention pools the states to one logit. A document's score
-is that of its highest window, calibrated on the sample.
+is that of its highest window, above or below the cut that errs least on the sample.
 
 The network is fitted on the driver to a bounded sample: windows of at most ``TOXIC_SAMPLE`` toxic
 and ``CLEAN_SAMPLE`` other documents. Scoring reads every window of every text, on the executors.
@@ -33,6 +33,9 @@ ODDS_BITS = 18
 PRIOR = 8.0
 LEAST_DOCUMENTS = 3
 EPOCHS, BATCH, RATE = 8, 128, 0.01
+# Learned vectors decay, so that words of a few documents stay near zero.
+DECAY = 0.5
+WARM, UNLIKELY = 4, 0.3
 TOXIC_WINDOWS, CLEAN_WINDOWS = 2, 4
 _GRAM = 4
 _PREFIXES = (3, 4, 5, 6)
@@ -234,26 +237,51 @@ def gradients(net: dict, odds: np.ndarray, slots: np.ndarray, mask: np.ndarray,
     return float(loss), grad
 
 
-def fit(odds, slots, mask, labels, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    """A network fitted by Adam to windows, both classes with the same total weight."""
+def fit(odds, slots, mask, labels, epochs: int = EPOCHS, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(network, windows it was fitted to); Adam, both classes with the same total weight.
+
+    Labels are noisy. In the first ``WARM`` epochs the vectors of words and characters stay fixed,
+    so that the network cannot learn single windows by heart. Toxic windows that it then finds
+    very unlikely are taken for mislabelled and left out of the rest.
+    """
     net = new_network(seed)
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
     rng = np.random.default_rng(seed)
     share = min(max(float(labels.mean()), 1e-3), 1 - 1e-3)
     weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    use = np.arange(len(labels))
     step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
+    for epoch in range(epochs):
+        if epoch == WARM:
+            p = _sigmoid(training_logits(net, odds, slots, mask))
+            sure = (labels == 0) | (p >= UNLIKELY)
+            use = np.flatnonzero(sure) if (labels[sure] > 0).any() else use
+        order = use[rng.permutation(len(use))]
         for low in range(0, len(order), BATCH):
             pick = order[low: low + BATCH]
             _, grad = gradients(net, odds[pick], slots[pick], mask[pick], labels[pick], weights[pick])
             step += 1
             for k in net:
+                if k in ("word", "part") and epoch < WARM:
+                    continue
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
-                net[k] = net[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return {k: v.astype(np.float32) for k, v in net.items()}
+                move = (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                if k in ("word", "part"):
+                    move = move + DECAY * net[k]
+                net[k] = net[k] - RATE * move
+    return {k: v.astype(np.float32) for k, v in net.items()}, use
+
+
+def training_logits(net: dict, odds, slots, mask, most: int = 4096) -> np.ndarray:
+    """Logits of windows given by their inputs."""
+    out = np.empty(len(mask), np.float32)
+    for low in range(0, len(mask), most):
+        part = slice(low, low + most)
+        x = embed(net, odds[part].reshape(-1, 2), slots[part].reshape(-1, 4))
+        out[part] = window_logits(net, x, np.arange(len(x)).reshape(-1, WINDOW), mask[part])
+    return out
 
 
 def window_logits(net: dict, inputs: np.ndarray, places: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -335,6 +363,9 @@ def _training_windows(toxic: np.ndarray, clean: np.ndarray, base: float):
                 total = np.append(0, np.cumsum(strength))
                 sums = total[first + size] - total[first]
                 pick = np.argsort(-sums, kind="stable")[: TOXIC_WINDOWS if labels[k] else CLEAN_WINDOWS]
+                if not labels[k]:  # and as many spread over the text
+                    spread = np.linspace(0, len(first) - 1, CLEAN_WINDOWS).astype(np.int64)
+                    pick = np.append(pick, np.setdiff1d(spread, pick))
                 places, mask = _places(first[pick], size[pick], words.at, 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([labels[k]], pa.int32()), pa.array([values[places].astype(np.float32).tobytes()]),
@@ -345,6 +376,20 @@ def _training_windows(toxic: np.ndarray, clean: np.ndarray, base: float):
     return run
 
 
+def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The cut with the fewest errors; of several, the middle of the widest gap."""
+    order = np.argsort(logits, kind="stable")
+    value, toxic = logits[order].astype(np.float64), labels[order]
+    below = np.append(0, np.cumsum(toxic))
+    above = np.append(0, np.cumsum(1 - toxic))
+    errors = below + (above[-1] - above)
+    low = np.append(value[0] - 2, value)
+    high = np.append(value, value[-1] + 2)
+    gap = np.where(errors == errors.min(), high - low, -1)
+    at = int(gap.argmax())
+    return float((low[at] + high[at]) / 2)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
     """(text, toxic) of at most so many labelled documents outside the held-out fifth."""
     known = (
@@ -395,24 +440,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     first[1:] = owner[1:] != owner[:-1]
     # Only the strongest window of a toxic document is sure to be meant by its label.
     use = (label[owner] == 0) | first
-    net = fit(values[use], slots[use], mask[use], label[owner][use].astype(np.float32))
+    picked = np.flatnonzero(use)
+    net, fitted = fit(values[picked], slots[picked], mask[picked], label[owner][picked].astype(np.float32))
     model["net"] = net
-    # Calibration: a logistic curve of the highest logit of each sampled document.
+    # Calibration: the cut between the highest logits of the toxic documents that were believed
+    # and of the others.
     logits = np.full(len(found), -np.inf)
-    for low in range(0, len(owner), 4096):
-        part = slice(low, low + 4096)
-        x = embed(net, values[part].reshape(-1, 2), slots[part].reshape(-1, 4))
-        places = np.arange(len(x)).reshape(-1, WINDOW)
-        np.maximum.at(logits, owner[part], window_logits(net, x, places, mask[part]))
-    scale, shift = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(scale * logits + shift, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        h = np.array([[(w * logits**2).sum() + 1e-2, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1e-2]])
-        g = np.array([((label - p) * logits).sum(), (label - p).sum()])
-        move = np.clip(np.linalg.solve(h, g), -1, 1)
-        scale, shift = scale + move[0], shift + move[1]
-    model |= {"scale": float(max(scale, 1e-3)), "shift": float(shift), "empty": float(np.median(logits[label == 0]))}
+    np.maximum.at(logits, owner, training_logits(net, values, slots, mask))
+    believed = label == 0
+    believed[owner[picked[fitted]]] = True
+    cut = best_cut(logits[believed], label[believed])
+    model |= {"scale": 1.0, "shift": -cut, "empty": float(np.median(logits[label == 0]))}
     return model
 
 
@@ -438,3 +476,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not call toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            for low, high in _slices(batch.column(at)):
+                part = batch.slice(low, high - low)
+                x = document_logits(own, part.column(at)).astype(np.float64) * own["scale"] + own["shift"]
+                yield part.filter(pa.array(x < 0))
+
+    return docs.mapInArrow(run, docs.schema)
