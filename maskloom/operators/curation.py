@@ -138,40 +138,20 @@ BALANCED = ("A_train", "B", "A_test")
 def balance_plan(sizes: Mapping[str, int]) -> list[tuple[str, str, int]]:
     """(donor, receiver, count) that bring A_train, B and A_test towards a third each.
 
-    One point at a time goes from the largest set to the middle one while that is below the target,
-    else to the smallest, until the largest is at most one above the target. Only sizes matter, so
-    runs of equal moves are taken at once.
+    A donor keeps one point more than the third. If only the largest set is above the third, the
+    middle one is filled up to it first and the smallest one with what is left to give; if two
+    sets are above it, both give to the smallest. Equal sizes rank in the order of ``BALANCED``.
     """
-    order = [[name, sizes[name]] for name in BALANCED]
-    target = sum(size for _, size in order) // 3
-    order.sort(key=lambda s: s[1], reverse=True)
-    plan: dict[tuple[str, str], int] = {}
-
-    def give(donor, receiver, count: int) -> None:
-        donor[1] -= count
-        receiver[1] += count
-        key = (donor[0], receiver[0])
-        plan[key] = plan.get(key, 0) + count
-
-    while order[0][1] > target + 1 and (order[1][1] != target or order[2][1] != target):
-        largest, middle, smallest = order
-        if middle[1] < target:
-            give(largest, middle, min(target - middle[1], largest[1] - target - 1))
-        elif smallest[1] < target:
-            lead = largest[1] - middle[1]
-            room = target - smallest[1]
-            if lead > 1:
-                give(largest, smallest, min(lead - 1, room, largest[1] - target - 1))
-            else:
-                # Two equal donors take turns; four moves bring back the same order.
-                rounds = (min(room, 2 * (middle[1] - target - 1)) - 4) // 4 if lead == 0 else 0
-                if rounds > 0:
-                    give(largest, smallest, 2 * rounds)
-                    give(middle, smallest, 2 * rounds)
-                else:
-                    give(largest, smallest, 1)
-        order.sort(key=lambda s: s[1], reverse=True)
-    return [(donor, receiver, count) for (donor, receiver), count in plan.items()]
+    third = sum(sizes[name] for name in BALANCED) // 3
+    largest, middle, smallest = sorted(BALANCED, key=lambda name: -sizes[name])
+    spare = {name: max(0, sizes[name] - third - 1) for name in (largest, middle)}
+    if sizes[middle] > third:
+        plan = [(largest, smallest, spare[largest]), (middle, smallest, spare[middle])]
+    else:
+        filling = min(third - sizes[middle], spare[largest])
+        rest = min(third - sizes[smallest], spare[largest] - filling)
+        plan = [(largest, middle, filling), (largest, smallest, rest)]
+    return [step for step in plan if step[2]]
 
 
 def balance_moves(

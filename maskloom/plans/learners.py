@@ -126,11 +126,13 @@ class ThresholdSegmenter:
     """Picks the cut of a grid with the best Dice on the training images.
 
     Every epoch scans the pixels once for the whole grid, then narrows the grid around the best
-    cut. Fitting ends early after ``patience`` epochs without a lower training loss.
+    cut. Fitting ends early after ``patience`` epochs without a lower training loss. Without
+    ``low`` and ``high`` the grid lies inside the range of the training pixels, half a step from
+    its ends.
     """
 
-    low: float = 0.025
-    high: float = 0.975
+    low: float | None = None
+    high: float | None = None
     steps: int = 20
     epochs: int = 1
     patience: int = 2
@@ -140,11 +142,22 @@ class ThresholdSegmenter:
         width = (high - low) / (self.steps - 1)
         return [round(low + k * width, 12) for k in range(self.steps)]
 
+    def range_of(self, train: DataFrame) -> tuple[float, float]:
+        ends = train.agg(
+            F.min(F.array_min("image")).cast("double").alias("low"),
+            F.max(F.array_max("image")).cast("double").alias("high"),
+        ).first()
+        if ends["low"] is None:
+            raise ValueError("there are no training pixels")
+        margin = (ends["high"] - ends["low"]) / (2 * self.steps)
+        low = ends["low"] + margin if self.low is None else self.low
+        return low, ends["high"] - margin if self.high is None else self.high
+
     def fit(self, train: DataFrame, val: DataFrame) -> ThresholdModel:
         both = train.select("image", "truth", F.lit("train").alias("part")).unionByName(
             val.select("image", "truth", F.lit("val").alias("part"))
         )
-        low, high = self.low, self.high
+        low, high = self.range_of(train)
         best, history, waited = None, [], 0
         for epoch in range(self.epochs):
             cuts = self.grid(low, high)
@@ -322,25 +335,37 @@ class AgreementModel:
 
 @dataclass
 class AgreementDiscriminator:
-    """One-feature rule: the agreement bound with the best training accuracy, lowest on ties."""
+    """One-feature rule: the agreement bound with the best training accuracy, lowest on ties.
+
+    Bounds lie between the agreements that ``levels`` pixels can have; None takes the number of
+    pixels of the largest training picture, so that one pixel is enough to tell two sides apart.
+    """
 
     cut: float
-    levels: int = 64
+    levels: int | None = None
     slope: float = 20.0
 
     def fit(self, train: DataFrame, val: DataFrame) -> AgreementModel:
-        taus = [(k - 0.5) / self.levels for k in range(self.levels + 1)]
-        rows = self._counts(train, val, taus)
-        train_rows = [row[1:] for row in rows if row[0] == "train"]
-        val_rows = [row[1:] for row in rows if row[0] == "val"]
-
-        def accuracy(rows, k: int) -> float | None:
-            total = sum(n for _, _, n in rows)
-            right = sum(n for label, reached, n in rows if (reached > k) == (label == 1))
-            return right / total if total else None
-
-        best = max(range(len(taus)), key=lambda k: (accuracy(train_rows, k) or 0.0, -k))
-        score, val_score = accuracy(train_rows, best), accuracy(val_rows, best)
+        levels = self.levels or train.agg(F.max(F.size("image"))).first()[0] or 1
+        taus = [(k - 0.5) / levels for k in range(levels + 1)]
+        rows = self._counts(train, val, levels)
+
+        def accuracies(part: str) -> list[float] | None:
+            """Accuracy at each bound: right are machine pairs above it and others below it."""
+            own = [row[1:] for row in rows if row[0] == part]
+            total = sum(n for _, _, n in own)
+            change = [0] * (levels + 3)
+            for label, reached, n in own:
+                change[reached] += -n if label == 1 else n
+            right, out = sum(n for label, _, n in own if label == 1), []
+            for k in range(levels + 1):
+                right += change[k]
+                out.append(right / total if total else 0.0)
+            return out if total else None
+
+        of_train, of_val = accuracies("train"), accuracies("val")
+        best = max(range(len(taus)), key=lambda k: (of_train[k] if of_train else 0.0, -k))
+        score, val_score = (x[best] if x else None for x in (of_train, of_val))
         history = [
             (
                 "agreement", 0,
@@ -351,14 +376,16 @@ class AgreementDiscriminator:
         return AgreementModel(self.cut, taus[best], self.slope, history)
 
     def _counts(
-        self, train: DataFrame, val: DataFrame, taus: Sequence[float]
+        self, train: DataFrame, val: DataFrame, levels: int
     ) -> list[tuple[str, int, int, int]]:
         """Pairs per part, label and number of bounds reached: at most 4 * (levels + 2) rows."""
         both = train.withColumn("part", F.lit("train")).unionByName(
             val.withColumn("part", F.lit("val"))
         )
         features = pair_features(both, self.cut, "part", "label")
-        rows = features.groupBy("part", "label", cut_bin("agreement", taus).alias("bin")).count()
+        # Bound k lies at (k - 0.5) / levels.
+        reached = F.floor(F.col("agreement") * levels + 0.5).cast("int") + 1
+        rows = features.groupBy("part", "label", reached.alias("bin")).count()
         return [(r["part"], r["label"], r["bin"], r["count"]) for r in rows.collect()]
 
 

@@ -13,21 +13,6 @@ from maskloom.plans.loop import BASE, UPDATED, CurationLoop, LoopSettings
 from conftest import SMALL
 
 
-def replay(sizes):
-    """One move at a time."""
-    order = [[name, sizes[name]] for name in cur.BALANCED]
-    target = sum(sizes.values()) // 3
-    order.sort(key=lambda s: s[1], reverse=True)
-    moves = {}
-    while order[0][1] > target + 1 and (order[1][1] != target or order[2][1] != target):
-        to = order[1] if order[1][1] < target else order[2]
-        order[0][1] -= 1
-        to[1] += 1
-        moves[order[0][0], to[0]] = moves.get((order[0][0], to[0]), 0) + 1
-        order.sort(key=lambda s: s[1], reverse=True)
-    return moves, dict(order)
-
-
 def planned(sizes):
     plan = cur.balance_plan(sizes)
     after = dict(sizes)
@@ -44,16 +29,39 @@ def test_balance_examples(before, after, moves):
     assert sorted(ended.values(), reverse=True) == after and sum(plan.values()) == moves
 
 
-def test_balance_equals_replay():
-    for a in range(25):
-        for b in range(25):
-            for c in range(25):
-                sizes = dict(zip(cur.BALANCED, (a, b, c)))
-                assert planned(sizes) == replay(sizes)
+@pytest.mark.parametrize(
+    "before, plan",
+    [
+        # Two sets above the third of 12: both keep 13, the smallest takes the rest.
+        ((20, 15, 1), {("A_train", "A_test"): 7, ("B", "A_test"): 2}),
+        # Only B above the third of 10: A_test, the middle one, is filled first.
+        ((2, 21, 7), {("B", "A_test"): 3, ("B", "A_train"): 7}),
+        # A remainder of two stays with the donor once both others have the third.
+        ((0, 0, 5), {("A_test", "A_train"): 1, ("A_test", "B"): 1}),
+        ((4, 4, 4), {}),
+        ((5, 4, 3), {}),
+    ],
+)
+def test_balance_by_hand(before, plan):
+    assert planned(dict(zip(cur.BALANCED, before)))[0] == plan
+
+
+def test_balance_properties():
     rng = random.Random(2)
-    for _ in range(60):
-        sizes = {name: rng.randint(0, 3000) for name in cur.BALANCED}
-        assert planned(sizes) == replay(sizes)
+    cases = [(a, b, c) for a in range(16) for b in range(16) for c in range(16)]
+    cases += [tuple(rng.randint(0, 3000) for _ in range(3)) for _ in range(200)]
+    for case in cases:
+        sizes = dict(zip(cur.BALANCED, case))
+        plan, after = planned(sizes)
+        third = sum(case) // 3
+        assert sum(after.values()) == sum(case) and all(count > 0 for count in plan.values())
+        assert not {d for d, _ in plan} & {r for _, r in plan}
+        low = sorted(after.values())
+        assert low[2] <= third + 1 or low[:2] == [third, third]
+        # The middle set is filled before the smallest one gets anything.
+        middle = sorted(cur.BALANCED, key=lambda name: -sizes[name])[1]
+        if sizes[middle] < third and after[middle] < third:
+            assert all(r == middle for _, r in plan)
 
 
 def test_balance_of_very_large_sets_is_quick():
@@ -315,3 +323,29 @@ def test_loop_with_mllib_learners(points):
     classifier, discriminator = loop.scores
     assert classifier[4] > 0.9 and 0.3 <= discriminator[4] <= 1
     assert loop.predictions(3).count() == 3
+
+
+def test_agreement_bound_follows_the_size_of_the_pictures(spark):
+    """Expert masks that differ in half a percent of 128 x 128 pixels are told apart."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        image = [rng.random() for _ in range(128 * 128)]
+        mask = [float(x >= 0.5) for x in image]
+        if k % 2 == 0:
+            for at in rng.sample(range(len(mask)), 80):
+                mask[at] = 1 - mask[at]
+        rows.append((f"p{k}", 128, 128, image, mask, k % 2))
+    pairs = spark.createDataFrame(rows, "point_id string, h int, w int, image array<double>, mask array<double>, label int")
+    fine = learners.AgreementDiscriminator(0.5).fit(pairs, pairs)
+    coarse = learners.AgreementDiscriminator(0.5, levels=64).fit(pairs, pairs)
+    assert fine.history[0][3] == 1.0 and coarse.history[0][3] == 0.5
+
+
+def test_threshold_grid_follows_the_pixels(spark):
+    rows = [(f"p{k}", 2, 2, [0.0, 100.0, 160.0, 255.0], [0.0, 0.0, 1.0, 1.0]) for k in range(3)]
+    bright = spark.createDataFrame(rows, "point_id string, h int, w int, image array<double>, truth array<double>")
+    model = learners.ThresholdSegmenter().fit(bright, bright)
+    assert 100 < model.cut <= 160 and model.history[0][3] == 1.0
+    with pytest.raises(ValueError):
+        learners.ThresholdSegmenter().fit(bright.limit(0), bright)
