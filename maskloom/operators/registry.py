@@ -175,8 +175,8 @@ def find_named(members: DataFrame, catalog: DataFrame, ids: DataFrame | None = N
     # One row per collection of the point, so the window groups are small.
     order = Window.partitionBy("point_id").orderBy("reg_no")
     return (
-        # One row per collection, while a collection may hold a large share of all hits.
-        hits.join(F.broadcast(catalog), "collection_id")
+        # Spark broadcasts the catalog while it is small and splits heavy collections otherwise.
+        hits.join(catalog, "collection_id")
         .withColumn("hit", F.row_number().over(order) - 1)
         .select(
             "point_id",
@@ -197,11 +197,16 @@ def move(
     """Move points between collections in one pass.
 
     ``moves`` has (point_id, source, target, rank); a moved point lands behind everything its
-    target held, in ``rank`` order. If the target already holds the id, its place there is kept
-    and the source row disappears, as with a dict; ``may_collide=False`` saves that look-up when
-    it cannot happen. With ``strict`` a point missing from its source raises ``KeyError``.
+    target held, in ``rank`` order, also when the target is its own collection. If another target
+    already holds the id, the moved row takes its place there, with the moved values, as with a
+    dict; ``may_collide=False`` saves that look-up when it cannot happen. All moves are made at
+    once: a point leaves a source once only. With ``strict`` a second move of it, or a point
+    missing from its source, raises ``KeyError``; else the move of the lowest rank counts.
     """
     if strict:
+        again = moves.groupBy("point_id", "source").count().where("count > 1").take(1)
+        if again:
+            raise KeyError(again[0]["point_id"])
         unknown = moves.join(
             registry.select("point_id", F.col("collection").alias("source")),
             ["point_id", "source"],
@@ -209,33 +214,44 @@ def move(
         ).take(1)
         if unknown:
             raise KeyError(unknown[0]["point_id"])
-    # One row per collection; hashing moves by their few targets would pile them on few tasks.
-    targets = F.broadcast(tops(registry).withColumnsRenamed({"collection": "target", "top": "_top"}))
+    else:
+        moves = moves.groupBy("point_id", "source").agg(F.min(F.struct("rank", "target")).alias("m")).select(
+            "point_id", "source", "m.target", "m.rank"
+        )
+    targets = tops(registry).withColumnsRenamed({"collection": "target", "top": "_top"})
     placed = moves.join(targets, "target", "left").select(
         "point_id",
         F.col("source").alias("collection"),
         "target",
         (F.coalesce("_top", F.lit(-1)) + 1 + F.col("rank")).alias("_ord"),
     )
-    joined = registry.join(_with_held(placed, registry, may_collide), ["point_id", "collection"], "left")
-    return joined.filter(~F.coalesce("_held", F.lit(False))).select(
+    columns = registry.columns
+    if may_collide:
+        placed = _with_held(placed, registry)
+        replaced = placed.where("_held").select("point_id", F.col("target").alias("collection"))
+        registry = registry.join(replaced, ["point_id", "collection"], "left_anti")
+    joined = registry.join(placed, ["point_id", "collection"], "left")
+    return joined.select(
         *[
             F.coalesce("target", "collection").alias(c)
             if c == "collection"
             else (F.coalesce("_ord", "ord").alias(c) if c == "ord" else F.col(c))
-            for c in registry.columns
+            for c in columns
         ]
     )
 
 
-def _with_held(placed: DataFrame, registry: DataFrame, may_collide: bool) -> DataFrame:
-    """Add ``_held``: does the target hold the id already?"""
-    if not may_collide:
-        return placed.withColumn("_held", F.lit(False))
-    held = registry.select(
-        "point_id", F.col("collection").alias("target"), F.lit(True).alias("_held")
+def _with_held(placed: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add ``_held``, whether the target goes on holding the id, and take over its place."""
+    staying = registry.join(placed.select("point_id", "collection"), ["point_id", "collection"], "left_anti")
+    held = staying.select(
+        "point_id", F.col("collection").alias("target"), F.col("ord").alias("_place"), F.lit(True).alias("_held")
+    )
+    joined = placed.join(held, ["point_id", "target"], "left")
+    return joined.select(
+        "point_id", "collection", "target", F.coalesce("_place", "_ord").alias("_ord"),
+        F.coalesce("_held", F.lit(False)).alias("_held"),
     )
-    return placed.join(held, ["point_id", "target"], "left")
 
 
 class Registry:
@@ -257,9 +273,11 @@ class Registry:
         return collection_of(self.members, name) if exists(self.members, name) else None
 
     def add(self, name: str, points: DataFrame) -> "Registry":
-        """Append points (point_id, pos) to a collection."""
-        old = collection_of(self.members, name).select("point_id", "ord", F.lit(0).alias("value"))
-        merged = upsert(old, points.select("point_id", "pos", F.lit(0).alias("value")))
+        """Append points (point_id, pos) to a collection, with the values the registry holds."""
+        old = collection_of(self.members, name)
+        if "value" in old.columns:
+            return self.register(upsert(old.select("point_id", "ord", "value"), points.select("point_id", "pos", "value")), name)
+        merged = upsert(old.withColumn("value", F.lit(0)), points.select("point_id", "pos", F.lit(0).alias("value")))
         return self.register(merged.drop("value"), name)
 
     def remove(self, name: str, ids: DataFrame, strict: bool = True) -> "Registry":

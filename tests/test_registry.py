@@ -53,6 +53,42 @@ def test_move_into_a_collection_that_holds_the_id(spark, walk):
     assert moved.filter("point_id = 'p1'").first()["ord"] == 5
 
 
+MOVES = "point_id string, source string, target string, rank long"
+
+
+def test_a_moved_value_replaces_the_held_one(spark):
+    schema = "collection string, point_id string, ord long, value string"
+    both = rows(spark, [("c1", P1, 0, "new"), ("c2", P1, 5, "old"), ("c2", P2, 6, "x")], schema)
+    got = reg.move(both, rows(spark, [(P1, "c1", "c2", 0)], MOVES)).collect()
+    assert sorted(map(tuple, got)) == [("c2", P1, 5, "new"), ("c2", P2, 6, "x")]
+
+
+def test_a_move_into_its_own_collection_puts_the_point_last(spark, walk):
+    moved = reg.move(walk, rows(spark, [(P1, "c1", "c1", 0)], MOVES))
+    assert order(moved, "c1") == [P3, P1] and order(moved, "c2") == [P2]
+
+
+def test_a_second_move_of_a_point(spark, walk):
+    moves = rows(spark, [(P1, "c1", "c2", 3), (P1, "c1", "c3", 1)], MOVES)
+    with pytest.raises(KeyError):
+        reg.move(walk, moves)
+    moved = reg.move(walk, moves, strict=False)
+    assert order(moved, "c3") == [P1] and order(moved, "c2") == [P2] and order(moved, "c1") == [P3]
+
+
+def test_swap_of_equal_ids(spark):
+    schema = "collection string, point_id string, ord long, value string"
+    both = rows(spark, [("c1", P1, 0, "one"), ("c2", P1, 0, "two")], schema)
+    moved = reg.move(both, rows(spark, [(P1, "c1", "c2", 0), (P1, "c2", "c1", 0)], MOVES)).collect()
+    assert sorted((r["collection"], r["value"]) for r in moved) == [("c1", "two"), ("c2", "one")]
+
+
+def test_add_keeps_values(spark):
+    members = rows(spark, [("c1", P1, 0, "a")], "collection string, point_id string, ord long, value string")
+    box = reg.Registry(members).add("c1", rows(spark, [(P2, 0, "b")], "point_id string, pos long, value string"))
+    assert {r["point_id"]: r["value"] for r in box.members.collect()} == {P1: "a", P2: "b"}
+
+
 def test_duplicate_keys(spark):
     values = rows(spark, [(0, "v0"), (1, "v1"), (2, "v2")], "pos long, value string")
     keys = rows(spark, [(0, "a"), (1, "b"), (2, "a")], "pos long, point_id string")
