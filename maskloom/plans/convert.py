@@ -20,7 +20,8 @@ def gray_by_channels(channels: Column | str = "channels", image: str = "image")
     return (
         F.when(channels == 1, a.to_gray(image, 1))
         .when(channels == 3, a.to_gray(image, 3))
-        .otherwise(a.to_gray(image, 4))
+        .when(channels == 4, a.to_gray(image, 4))
+        .otherwise(F.raise_error(F.concat(F.lit("pictures have 1, 3 or 4 channels, not "), channels.cast("string"))))
     )
 
 

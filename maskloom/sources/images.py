@@ -58,18 +58,27 @@ def read_encoded(
     """Pictures as Spark's image source decodes them: (path, h, w, channels, image).
 
     ``image`` is binary, a byte per channel in blue-green-red(-alpha) order, which conversion takes
-    as is. Undecodable files are dropped.
+    as is. A file that cannot be decoded, or that has 16 bits a channel, is an error that names
+    it: left out, it would shift the pairing of all files after it.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(folders))
     raw = (
         spark.read.format("image")
-        .option("dropInvalid", True)
+        .option("dropInvalid", False)
         .option("pathGlobFilter", pattern)
         .load(list(folders))
     )
     if kind is not None:
         raw = raw.filter(is_kind(F.col("image.origin"), kind, marker))
+        files = files.filter(is_kind(F.col("path"), kind, marker))
+    # A PNG file has its bits per channel in byte 25; Spark's decoder keeps the low 8 of 16.
+    png = F.substring("content", 1, 4) == F.unhex(F.lit("89504E47"))
+    deep = files.filter(png & (F.substring("content", 25, 1) == F.unhex(F.lit("10")))).select("path").take(1)
+    if deep:
+        raise ValueError(f"{deep[0]['path']} has 16 bits a channel")
     return raw.select(
-        F.col("image.origin").alias("path"),
+        F.when(F.col("image.height") < 0, F.raise_error(F.concat(F.lit("cannot decode "), F.col("image.origin"))))
+        .otherwise(F.col("image.origin")).alias("path"),
         F.col("image.height").alias("h"),
         F.col("image.width").alias("w"),
         F.col("image.nChannels").alias("channels"),

@@ -187,3 +187,19 @@ def test_cluster_session_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_broken_files_are_an_error_that_names_them(spark, tmp_path):
+    write_png(tmp_path / "a.png", np.zeros((2, 2)))
+    (tmp_path / "b.png").write_bytes(b"not a picture")
+    with pytest.raises(Exception, match="cannot decode .*b.png"):
+        img.read_images(spark, str(tmp_path)).collect()
+    # The other kind is read all the same.
+    write_png(tmp_path / "a_mask.png", np.ones((2, 2)))
+    assert img.read_images(spark, str(tmp_path), kind="mask").count() == 1
+
+
+def test_deep_pictures_are_refused(spark, tmp_path):
+    write_png(tmp_path / "deep.png", np.array([[0, 300]]), bits=16)
+    with pytest.raises(ValueError, match="deep.png has 16 bits"):
+        img.read_images(spark, str(tmp_path))
