@@ -28,9 +28,16 @@ def _upto(n: Column) -> Column:
 
 
 def rows_of(image, h, w) -> Column:
-    """Image as an array of rows."""
-    image, h, w = _col(image), _col(h), _col(w)
-    return F.transform(_upto(h), lambda r: F.slice(image, r * w + 1, w))
+    """Image as an array of rows.
+
+    The picture is bound as a lambda's variable: a computed one is then computed once, not again
+    for each row.
+    """
+    h, w = _col(h), _col(w)
+    whole = F.transform(
+        F.array(_col(image)), lambda image: F.transform(_upto(h), lambda r: F.slice(image, r * w + 1, w))
+    )
+    return F.get(whole, F.lit(0))
 
 
 # --- casts, thresholds, classes -------------------------------------------------------------

@@ -147,17 +147,18 @@ def split_slices(
 
 
 def abz_split(
-    points: DataFrame, n: int = 1000, weights: Weights | dict | None = None, pos: str = "pos"
+    points: DataFrame, n: int | None = None, weights: Weights | dict | None = None, pos: str = "pos"
 ) -> DataFrame:
-    """Split points in input order into A, B and Z."""
+    """Split points in input order into A, B and Z; ``n`` says how many, None means all."""
+    n = points.count() if n is None else n
     return split_slices(points, list(zip("ABZ", abz_sizes(n, weights))), pos)
 
 
 def train_val_test_split(
     members: DataFrame,
-    train: int = 200,
-    val: int = 300,
-    test: int = 250,
+    train: int,
+    val: int,
+    test: int,
     shuffle: bool = True,
     prefix: str = "",
     salt: str = "split",
@@ -174,14 +175,15 @@ def train_val_test_split(
 
 
 def setup_split(
-    points: DataFrame, n: int = 1000, weights: Weights | dict | None = None, pos: str = "pos"
+    points: DataFrame, n: int | None = None, weights: Weights | dict | None = None, pos: str = "pos"
 ) -> DataFrame:
     """Whole set-up: check weights, make A, B, Z and the three parts of A.
 
-    One map-only projection: a point of A is written to A and, if a part holds it, to that part.
+    ``n`` says how many points are split, None means all. One map-only projection: a point of A is written to A and, if a part holds it, to that part.
     """
     if weights:
         validate_weights(weights)
+    n = points.count() if n is None else n
     sizes = abz_sizes(n, weights)
     groups = list(zip("ABZ", sizes))
     parts = list(zip(("A_train", "A_val", "A_test"), a_part_sizes(n, weights)))

@@ -140,3 +140,10 @@ def test_source_ranges_prune_row_groups(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(pos), GreaterThanOrEqual(pos,50), LessThan(pos,200)]" in (
         read._jdf.queryExecution().executedPlan().toString()
     )
+
+
+def test_all_points_are_split_without_a_number(spark):
+    points = _points(spark, 1500)
+    whole = splits.setup_split(points, weights=splits.DEFAULT_WEIGHTS)
+    assert sorted(whole.collect()) == sorted(splits.setup_split(points, 1500, splits.DEFAULT_WEIGHTS).collect())
+    assert splits.abz_split(points, weights=splits.DEFAULT_WEIGHTS).count() == 1500
