@@ -146,22 +146,20 @@ def mix_rows(docs: DataFrame, quality: DataFrame | None = None, **settings) -> D
     ).agg(F.max("mix_size").alias("mix_size"), F.max("mix_epochs").alias("mix_epochs"), F.max("mix_extra").alias("mix_extra"))
     taken = taken.where("mix_epochs > 0 OR mix_extra > 0")
     met = docs["doc_id"].eqNullSafe(taken["mix_id"]) & (F.xxhash64(docs["text"]) == taken["mix_hash"])
-    return mixed_rows(docs.join(taken, met).select(*[docs[c] for c in docs.columns], "mix_size", "mix_epochs", "mix_extra"))
-
-
-def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """The rows of the mix, with the columns that ``mix_sources`` was given.
-
-    A document is repeated for each epoch; the document at the budget's end is cut at a word.
-    """
-    own = [c for c in mixed.columns if not c.startswith("mix_")]
-    whole = F.col("mix_epochs") + (F.col("mix_extra") >= F.col("mix_size")).cast("long") * (F.col("mix_size") > 0).cast("long")
-    part = (F.col("mix_extra") > 0) & (F.col("mix_extra") < F.col("mix_size"))
-    whole_rows = F.when(F.col("mix_size") > 0, F.array_repeat(F.lit(False), whole.cast("int"))).otherwise(F.array().cast("array<boolean>"))
-    parts = F.concat(whole_rows, F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    rows = mixed.withColumn("mix_cut", F.explode(parts))
-    # The word after the last kept one starts at the match of its number.
-    words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.lit(1), F.col("mix_extra").cast("int")))
-    text = F.when(F.col("mix_cut"), F.array_join(words, "")).otherwise(F.col("text"))
-    cut = rows.withColumn("mix_text", text)
-    return cut.select(*[F.col("mix_text").alias(c) if c == "text" else F.col(c) for c in own])
+    size, epochs, extra = (taken[c] for c in ("mix_size", "mix_epochs", "mix_extra"))
+    # One entry per copy; true for the copy that ends at the budget, which is cut at a word.
+    none = F.array().cast("array<boolean>")
+    whole = F.array_repeat(F.lit(False), (epochs + (extra >= size).cast("long")).cast("int"))
+    part = F.when((extra > 0) & (extra < size), F.array(F.lit(True))).otherwise(none)
+    copies = F.concat(F.when(size > 0, whole).otherwise(none), part)
+    words = F.split(docs["text"], r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    leading = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), extra.cast("int"))), "")
+    # The cut text stands beside the whole one until the copies are told apart.
+    rows = docs.join(taken, met).select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.when(F.size(part) > 0, leading).alias("cut"),
+        F.explode(copies).alias("is_cut"),
+    )
+    return rows.select(*[
+        F.when(F.col("is_cut"), F.col("cut")).otherwise(F.col("row.text")).alias("text") if c == "text" else F.col(f"row.`{c}`")
+        for c in docs.columns
+    ])
