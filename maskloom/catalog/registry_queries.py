@@ -30,6 +30,18 @@ def _buyers(spark, folder):
     return reg.from_points(rows)
 
 
+# Some customers have no order above this price, so that both branches of a merge have rows.
+LARGE = 450000
+
+
+def _large_buyers(spark, folder):
+    """As ``_buyers``, of the orders above ``LARGE``."""
+    rows = order_points(spark, folder).where(F.col("value") > LARGE).select(
+        point_id("customer", F.col("customer")).alias("point_id"), "pos", "value"
+    )
+    return reg.from_points(rows)
+
+
 def _customers(spark, folder):
     return table(spark, folder, "customer").select(
         point_id("customer", F.col("c_custkey")).alias("point_id"),
@@ -38,10 +50,13 @@ def _customers(spark, folder):
     )
 
 
-SQL_BUYERS = """
+SQL_BUYERS = f"""
 buyers AS (
   SELECT md5('customer:' || customer) AS point_id, min(pos) AS ord, arg_max(value, pos) AS value
   FROM pts GROUP BY customer
+), large AS (
+  SELECT md5('customer:' || customer) AS point_id, min(pos) AS ord, arg_max(value, pos) AS value
+  FROM pts WHERE value > {LARGE} GROUP BY customer
 ), custs AS (
   SELECT md5('customer:' || c_custkey) AS point_id, c_custkey AS pos, c_acctbal AS value FROM customer
 )
@@ -74,27 +89,27 @@ def registry_from_values(spark, folder):
     SELECT coalesce(b.point_id, c.point_id) AS point_id,
            CASE WHEN b.ord IS NULL THEN 1 ELSE 0 END AS late, coalesce(b.ord, c.pos) AS place,
            coalesce(c.value, b.value) AS value
-    FROM buyers b FULL JOIN custs c ON b.point_id = c.point_id)
+    FROM large b FULL JOIN custs c ON b.point_id = c.point_id)
   SELECT point_id, row_number() OVER (ORDER BY late, place) - 1 AS idx, round(value, 6) AS value
   FROM merged""")
 def registry_upsert(spark, folder):
-    """All customers added to those with orders: known ones updated in place, others appended."""
-    merged = reg.upsert(_buyers(spark, folder), _customers(spark, folder))
+    """All customers added to those with large orders: known ones updated in place, others appended."""
+    merged = reg.upsert(_large_buyers(spark, folder), _customers(spark, folder))
     return position_index(merged).select("point_id", "idx", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {SQL_POINTS}, {SQL_BUYERS} SELECT point_id, pos FROM custs "
-       "WHERE point_id NOT IN (SELECT point_id FROM buyers)")
+       "WHERE point_id NOT IN (SELECT point_id FROM large)")
 def registry_remove(spark, folder):
-    """Customers left after removing those with orders."""
+    """Customers left after removing those with large orders."""
     everyone = _customers(spark, folder).select("point_id", "pos")
-    return reg.remove(everyone, _buyers(spark, folder))
+    return reg.remove(everyone, _large_buyers(spark, folder))
 
 
-@query(f"WITH {SQL_POINTS}, {SQL_BUYERS} SELECT point_id FROM custs EXCEPT SELECT point_id FROM buyers")
+@query(f"WITH {SQL_POINTS}, {SQL_BUYERS} SELECT point_id FROM custs EXCEPT SELECT point_id FROM large")
 def registry_missing(spark, folder):
     """Ids whose removal would be an error."""
-    return reg.missing_ids(_buyers(spark, folder), _customers(spark, folder))
+    return reg.missing_ids(_large_buyers(spark, folder), _customers(spark, folder))
 
 
 @query(f"""WITH {SQL_POINTS}, {SQL_BUYERS}, r AS (
