@@ -1,12 +1,53 @@
-"""From raw documents to packed training sequences: the stages of the corpus pipeline."""
+"""From raw documents to packed training sequences: the stages of the corpus pipeline.
+
+Every stage reads all rows that the one before it kept and, but for the last, returns the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm.common import documents, stored
+from maskloom.llm.minhash import one_of_each
+from maskloom.llm.mixing import mix_rows
+from maskloom.llm.packing import pack
+from maskloom.llm.pii import sanitise
+from maskloom.llm.toxicity import keep_clean, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model fitted to the labels does not call toxic."""
+    return keep_clean(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that reveal it replaced."""
+    return sanitise(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by target weights: documents repeated for epochs, or left out."""
+    return mix_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences, with their token ids."""
+    return pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_dedup),
+    ("personal data", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 # Trained scores and tokenizer ids are beyond SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None

@@ -3,13 +3,14 @@
 1. One pass over the texts gives each document its set's size and digest, 128 minima, the keys of
    32 bands of 4 minima, and a signature of the 2 low bits of every minimum in four longs.
 2. Documents with equal sets are one class; everything below works on classes.
-3. Star round: in each band bucket every class is paired with the bucket's smallest one. Pairs
-   whose estimated similarity (matching low bits, corrected for chance matches) is not far below
-   the threshold are confirmed on the full sets. Links give components.
+3. Star rounds: in each band bucket every class is paired with one of them, the center, another
+   one in each round. Pairs whose estimated similarity (matching low bits, corrected for chance
+   matches) is not far below the threshold are confirmed on the full sets. Links give components,
+   and later rounds pair the center with other components only.
 4. Cross round: buckets that still hold several components are searched for further pairs between
-   different components; the estimate is a condition of the join, by bit counts. So a bucket of
-   thousands of near copies costs one pair per member, and yet no link between components that
-   a band catches is left out.
+   different components; an estimate from eight times as many minima is a condition of the join,
+   by bit counts. So a bucket of thousands of near copies costs a few pairs per member, and yet no
+   link between components that a band catches is left out.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6, and the
 estimate's margin is four standard deviations. Sets are compared by 64-bit hashes of shingles.
@@ -32,12 +33,17 @@ WORDS = 5
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 SHARE = 75
+# Rounds before the search for pairs between components; they change the work, not the result.
+STAR_ROUNDS = 2
 # Standard error of the estimate at the threshold is 0.046.
 MARGIN = 0.19
+# The search between components compares 1024 minima, with a standard error of 0.017.
+LONG_HASHES, LONG_MARGIN = 1024, 0.07
 _PAIRS = 0x5555555555555555
 _PLACE = seeded64(WORDS, 11) | np.uint64(1)
 _COUNT = seeded64(WORDS + 1, 12)
 _XOR, _TIMES = seeded64(HASHES, 13), seeded64(HASHES, 14) | np.uint64(1)
+_LONG_XOR, _LONG_TIMES = seeded64(LONG_HASHES, 17), seeded64(LONG_HASHES, 18) | np.uint64(1)
 _ROW, _BAND = seeded64(ROWS, 15) | np.uint64(1), seeded64(BANDS, 16)
 
 
@@ -125,14 +131,30 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def estimate(a: Column, b: Column) -> Column:
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high in slices(batch.column(1)):
+            part = batch.slice(low, high - low)
+            members, edges = shingle_sets(part.column(1))
+            out = np.zeros((len(edges) - 1, LONG_HASHES // 32), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(LONG_HASHES):
+                    minima = np.minimum.reduceat((members ^ _LONG_XOR[k]) * _LONG_TIMES[k], edges[:-1])
+                    out[:, k // 32] |= (mix64(minima) & np.uint64(3)) << np.uint64(2 * (k % 32))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.view(np.int64).ravel())
+            )
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["digest", "long"])
+
+
+def estimate(a: Column, b: Column, hashes: int = HASHES) -> Column:
     """Similarity from two signatures: share of equal low-bit pairs, less what chance gives."""
     differing = F.lit(0)
-    for k in range(4):
+    for k in range(hashes // 32):
         x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
         differing = differing + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(_PAIRS)))
     chance = 1.0 / (1 << BITS)
-    return (1.0 - differing / float(HASHES) - chance) / (1.0 - chance)
+    return (1.0 - differing / float(hashes) - chance) / (1.0 - chance)
 
 
 def _confirm(share: int):
@@ -161,7 +183,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, share: int = SHARE) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash), one row per row of (doc_id, text).
 
     Null, empty and blank texts have no set and link with nothing. A null doc_id is never the
     smallest of a component; in a component of null ids alone component_id is null and all rows
@@ -172,8 +194,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     some = rows.where("n_shingles > 0")
     classes = stored(some.dropDuplicates(["digest"]))
     members = classes.select(F.explode("bands").alias("band"), "digest")
-    buckets = members.groupBy("band").agg(F.min("digest").alias("center"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(members.join(buckets, "band").select("band", "digest", "center"))
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = stored(members.join(buckets, "band"))
 
     # Texts of the classes that share a bucket, read once for both rounds.
     wanted = shared.select("digest").distinct().join(classes.select("digest", "doc_id", "text_hash"), "digest")
@@ -192,22 +214,49 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     def with_signature(df: DataFrame, key: str) -> DataFrame:
         return df.join(signed.select(F.col("digest").alias(key), F.col("signature").alias(f"s_{key}")), key)
 
-    stars = shared.where("digest != center").select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct()
-    stars = stored(with_signature(with_signature(stars, "a"), "b").where(near("s_a", "s_b")).select("a", "b"))
-    links = stored(confirmed(stars, texts, share))
-    roots = components(links).select(F.col("node").alias("digest"), "root")
-
-    placed = shared.select("band", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    def placed_in(roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return shared.withColumn("root", F.col("digest"))
+        return shared.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+    tested = links = roots = None
+    for turn in range(STAR_ROUNDS):
+        placed = placed_in(roots)
+        pick = F.struct(F.xxhash64(F.lit(turn), "digest"), "digest", "root")
+        centers = (
+            placed.groupBy("band").agg(F.min(pick).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+            .where("low != high").select("band", F.col("c.digest").alias("center"), F.col("c.root").alias("center_root"))
+        )
+        stars = placed.join(centers, "band").where("root != center_root").select(
+            F.least("digest", "center").alias("a"), F.greatest("digest", "center").alias("b")
+        ).distinct()
+        if tested is not None:
+            stars = stars.join(tested, ["a", "b"], "left_anti")
+        stars = stored(with_signature(with_signature(stars, "a"), "b").where(near("s_a", "s_b")).select("a", "b"))
+        if tested is not None and stars.isEmpty():
+            break
+        found = stored(confirmed(stars, texts, share))
+        tested = stars if tested is None else tested.union(stars)
+        links = found if links is None else links.union(found)
+        roots = components(links).select(F.col("node").alias("digest"), "root")
+
+    placed = placed_in(roots)
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rest = with_signature(placed.join(open_.select("band"), "band"), "digest")
-    rest = stored(rest)
+    rest = stored(placed.join(open_.select("band"), "band"))
+    asked = texts.join(rest.select("digest").distinct(), "digest").select("digest", "text")
+    signed_long = stored(asked.mapInArrow(_long_signatures, "digest bigint, long array<bigint>"))
+    rest = rest.join(signed_long, "digest")
     one, two = rest.alias("x"), rest.alias("y")
+    # A quarter of the minima settles most pairs.
+    likely = (estimate(F.col("x.long"), F.col("y.long"), LONG_HASHES // 4) >= share / 100 - 2 * LONG_MARGIN) & (
+        estimate(F.col("x.long"), F.col("y.long"), LONG_HASHES) >= share / 100 - LONG_MARGIN
+    )
     cross = one.join(
         two,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.digest") < F.col("y.digest"))
-        & (F.col("x.root") != F.col("y.root")) & near("x.s_digest", "y.s_digest"),
+        & (F.col("x.root") != F.col("y.root")) & likely,
     ).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
-    cross = stored(cross.join(stars, ["a", "b"], "left_anti"))
+    cross = stored(cross.join(tested, ["a", "b"], "left_anti"))
     more = stored(confirmed(cross, texts, share))
 
     # The later links join whole components of the earlier ones.
@@ -217,9 +266,22 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     named = named.join(smallest, "digest")
     lowest = named.groupBy("root").agg(F.min("low").alias("lowest"))
     named = named.join(lowest, "root").select("digest", "lowest")
-    out = rows.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    out = rows.select("doc_id", "digest", "n_shingles", "text_hash").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "text_hash",
     )
+
+
+def one_of_each(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document per component.
+
+    Rows that are equal in every column count once; a row of another text under the same id is
+    kept if its own component's smallest id is its id.
+    """
+    keys = near_duplicates(docs, share).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keys = stored(keys).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n")
+    met = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_hash"])
+    rows = docs.join(keys, met, "left_semi")
+    return rows if keys.where("n > 1").isEmpty() else rows.dropDuplicates()
