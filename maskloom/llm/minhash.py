@@ -8,7 +8,7 @@
    matches) is not far below the threshold are confirmed on the full sets. Links give components,
    and later rounds pair the center with other components only.
 4. Cross round: buckets that still hold several components are searched for further pairs between
-   different components; an estimate from eight times as many minima is a condition of the join,
+   different components; an estimate from sixteen times as many minima is a condition of the join,
    by bit counts. So a bucket of thousands of near copies costs a few pairs per member, and yet no
    link between components that a band catches is left out.
 
@@ -37,8 +37,8 @@ SHARE = 75
 STAR_ROUNDS = 2
 # Standard error of the estimate at the threshold is 0.046.
 MARGIN = 0.19
-# The search between components compares 1024 minima, with a standard error of 0.017.
-LONG_HASHES, LONG_MARGIN = 1024, 0.07
+# The search between components compares 2048 minima, with a standard error of 0.012.
+LONG_HASHES, LONG_MARGIN = 2048, 0.05
 _PAIRS = 0x5555555555555555
 _PLACE = seeded64(WORDS, 11) | np.uint64(1)
 _COUNT = seeded64(WORDS + 1, 12)
