@@ -33,8 +33,8 @@ from maskloom.llm.common import Roller, mix64, stored, text_bytes
 SPAN = 400
 GRAM = 32
 CHARACTER = 64
-# Runs of an anchor that one slice sorts together.
-SLICE = 2048
+# Runs of an anchor that one slice sorts together: about a million windows, 100 MB.
+SLICE = 8192
 # Windows that a task sorts at a time.
 CHUNK = 1 << 20
 _POSITION_BITS = 24
