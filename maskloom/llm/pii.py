@@ -1,12 +1,12 @@
 """Personal data: patterns, and terms that reveal them by co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a
-protected entity e. A term t next to it, seen in several distinct contexts, reveals
+protected entity e. A term t next to it, in several documents, reveals
 PMI(e, t) = log2(P(e | t) / P(e)) of the entity's information IC(e) = -log2 P(e), with both
 probabilities counted over all documents. A term that reveals more than a share of IC(e) is
 generalised, above a higher share removed, wherever it stands next to that entity.
 
-Copies of a document repeat a context; they count as documents but not as distinct contexts.
+Copies of a document and fixed blocks, such as signatures, count like any other documents.
 Entities and terms are compared by 64-bit hashes. Counts are combined before every shuffle, so a
 value or term in very many documents meets in no task.
 """
@@ -40,7 +40,8 @@ _TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 
 # Terms on each side of an entity, within so many characters.
 TERMS, REACH = 8, 256
-CONTEXTS = 3
+# Documents that hold both a value and a term, from which on the pair is scored.
+SUPPORT = 3
 GENERALISE, REMOVE = 0.90, 0.95
 # Bits of the filter that a pass over all terms uses: 1 MB, whatever the input.
 _FILTER_BITS = 23
@@ -102,12 +103,12 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 _FOUND = (
     "row bigint, doc_id bigint, text_hash bigint, starts array<int>, kinds array<int>, ends array<int>, "
-    "entities array<bigint>, terms array<bigint>, contexts array<bigint>, from array<int>, to array<int>"
+    "entities array<bigint>, terms array<bigint>, from array<int>, to array<int>"
 )
 _INT, _LONG = pa.list_(pa.int32()), pa.list_(pa.int64())
 _ARROW = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", _INT), ("kinds", _INT), ("ends", _INT),
-     ("entities", _LONG), ("terms", _LONG), ("contexts", _LONG), ("from", _INT), ("to", _INT)]
+     ("entities", _LONG), ("terms", _LONG), ("from", _INT), ("to", _INT)]
 )
 
 
@@ -130,14 +131,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places.append((k, near))
                 words.extend(text[a:b] for a, b in near)
         entities, terms = _hashes(values), _hashes(words)
-        contexts: list[dict] = [{} for _ in spans]
+        places_of: list[dict] = [{} for _ in spans]
         at = 0
         for entity, (k, near) in zip(entities.tolist(), places):
             own = terms[at: at + len(near)].tolist()
             at += len(near)
-            context = hash(tuple(own))
-            for term, (a, b) in zip(own, near):
-                contexts[k][(entity, term, a, b)] = context
+            places_of[k].update(((entity, term, a, b), None) for term, (a, b) in zip(own, near))
         n = len(spans)
         yield pa.record_batch(
             [
@@ -145,9 +144,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([[s for s, _, _ in x] for x in spans], _INT),
                 pa.array([[c for _, c, _ in x] for x in spans], _INT),
                 pa.array([[e for _, _, e in x] for x in spans], _INT),
-                *[pa.array([[key[i] for key in x] for x in contexts], _LONG) for i in (0, 1)],
-                pa.array([list(x.values()) for x in contexts], _LONG),
-                *[pa.array([[key[i] for key in x] for x in contexts], _INT) for i in (2, 3)],
+                *[pa.array([[key[i] for key in x] for x in places_of], _LONG) for i in (0, 1)],
+                *[pa.array([[key[i] for key in x] for x in places_of], _INT) for i in (2, 3)],
             ],
             schema=_ARROW,
         )
@@ -191,17 +189,14 @@ def _document_counts(wanted: bytes):
     return run
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, contexts: int = CONTEXTS,
+def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, action) of terms that reveal an entity; ``found`` as made from ``docs``."""
-    near = found.select("row", F.explode(F.arrays_zip("entities", "terms", "contexts")).alias("x")).select(
-        "row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term"), F.col("x.contexts").alias("context")
+    near = found.select("row", F.explode(F.arrays_zip("entities", "terms")).alias("x")).select(
+        "row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term")
     )
-    once = near.groupBy("row", "entity", "term").agg(F.min("context").alias("context"))
     together = (
-        once.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= contexts)
+        near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     )
     together = stored(together)
     # One bit per slot of the terms' hashes: at most 2 ** 23 small numbers, for any input.

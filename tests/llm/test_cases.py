@@ -85,6 +85,20 @@ def test_terms_that_reveal_an_entity(spark):
     assert not any(got[k] for k in range(5, 191))
 
 
+def test_terms_in_copies_and_fixed_blocks(spark):
+    """A handle in a fixed signature of different documents, and one in copies of a document."""
+    sign = "yours truly with kind and warm regards from Zaphod zap@x.org of our small branch office in town"
+    copy = "the same words about nothing Trillian tri@y.org and again nothing but the same words"
+    plain = " ".join(dict.fromkeys(f"{sign} {copy}".replace("Zaphod zap@x.org", "").replace("Trillian tri@y.org", "").split()))
+    rows = [(k, f"text number{k} of its own {sign}", "s") for k in range(6)]
+    rows += [(k, copy, "s") for k in range(6, 11)] + [(k, f"{plain} number{k}", "s") for k in range(11, 200)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    for k, name in [(0, "Zaphod"), (5, "Zaphod"), (6, "Trillian"), (10, "Trillian")]:
+        kinds = [s.split(":") for s in got[k].split(",")]
+        assert [rows[k][1][int(a):int(b)] for c, a, b in kinds if c in pii.ADDED] == [name]
+    assert not any(got[k] for k in range(11, 200))
+
+
 # --- 2 and 4 --------------------------------------------------------------------------------
 
 
