@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms that reveal them by co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a
-protected entity e. A term t next to it, in several documents, reveals
-PMI(e, t) = log2(P(e | t) / P(e)) of the entity's information IC(e) = -log2 P(e), with both
-probabilities counted over all documents. A term that reveals more than a share of IC(e) is
-generalised, above a higher share removed, wherever it stands next to that entity.
+protected entity e. A term t anywhere in its documents, outside of values, reveals
+PMI(e, t) = log2(P(e | t) / P(e)) of the entity's information IC(e) = -log2 P(e), with all
+probabilities counted over whole documents. A term that reveals more than a share of IC(e) of any
+entity is generalised, above a higher share removed, at every place of the entity's documents or,
+as the registered query and the pipeline ask for, of all documents.
 
 Copies of a document and fixed blocks, such as signatures, count like any other documents.
 Entities and terms are compared by 64-bit hashes. Counts are combined before every shuffle, so a
@@ -36,10 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_TERM = re.compile("[A-Za-z0-9\u0080-\U0010ffff]+")
 
-# Terms on each side of an entity, within so many characters.
-TERMS, REACH = 8, 256
 # Documents that hold both a value and a term, from which on the pair is scored.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.90, 0.95
@@ -84,80 +82,155 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def neighbours(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """(start, end) of the whole terms next to a span."""
-    low, high = max(0, start - REACH), min(len(text), end + REACH)
-    left = [m.span() for m in _TERM.finditer(text, low, start)]
-    if left and low and left[0][0] == low and _TERM.match(text[low - 1]):
-        left = left[1:]
-    right = [m.span() for m in _TERM.finditer(text, end, high)]
-    if right and high < len(text) and right[-1][1] == high and _TERM.match(text[high]):
-        right = right[:-1]
-    return left[-TERMS:] + right[:TERMS]
-
-
 def _hashes(words: list[str]) -> np.ndarray:
     data, offsets = text_bytes(pa.array(words, pa.large_string()))
     return Roller(lowered(data)).hashes(offsets[:-1], offsets[1:]).view(np.int64)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with about 2 MB in their column ``text``, whole rows."""
+    for batch in batches:
+        _, bounds = text_bytes(batch.column("text"))
+        low = 0
+        while low < len(batch):
+            high = min(len(batch), max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 21)))))
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def _scan(column: pa.Array):
+    """(spans of the values per text; text, hash, start and end of every whole term outside of them).
+
+    Places are code points of the term's text.
+    """
+    data, offsets = text_bytes(column)
+    starts, ends, doc = runs(TERM[data], offsets)
+    terms = Roller(lowered(data)).hashes(starts, ends).view(np.int64)
+    points = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+    starts, ends, first = points[starts], points[ends], points[offsets[:-1]]
+    spans = [find_base(text or "") for text in column.to_pylist()]
+    covered = np.zeros(int(points[-1]) + 1, np.int64)
+    for k in np.flatnonzero([len(x) for x in spans]).tolist():
+        for start, _, end in spans[k]:
+            covered[first[k] + start: first[k] + end] = 1
+    before = np.zeros(len(covered) + 1, np.int64)
+    np.cumsum(covered, out=before[1:])
+    free = before[ends] == before[starts]
+    doc = doc[free]
+    return spans, doc, terms[free], starts[free] - first[doc], ends[free] - first[doc]
+
+
+def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each stands."""
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    at = np.flatnonzero(new)
+    return first[at], second[at], np.diff(at, append=len(first))
+
+
 _FOUND = (
     "row bigint, doc_id bigint, text_hash bigint, starts array<int>, kinds array<int>, ends array<int>, "
-    "entities array<bigint>, terms array<bigint>, from array<int>, to array<int>"
+    "entities array<bigint>, terms array<bigint>"
 )
 _INT, _LONG = pa.list_(pa.int32()), pa.list_(pa.int64())
 _ARROW = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", _INT), ("kinds", _INT), ("ends", _INT),
-     ("entities", _LONG), ("terms", _LONG), ("from", _INT), ("to", _INT)]
+     ("entities", _LONG), ("terms", _LONG)]
 )
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and distinct values of every text, and the distinct terms of texts that hold a value."""
     row = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        spans, values, words, places = [], [], [], []
-        for k, text in enumerate(batch.column(1)):
-            text = text.as_py() or ""
-            base = find_base(text)
-            spans.append(base)
-            inside = [(s, e) for s, _, e in base]
-            for start, kind, end in base:
-                value = text[start:end] if kind in (0, 1) else "".join(_DIGIT.findall(text[start:end]))
-                near = [
-                    (a, b) for a, b in neighbours(text, start, end)
-                    if not any(a < e and s < b for s, e in inside)
-                ]
-                values.append(f"{KINDS[kind]} {value}")
-                places.append((k, near))
-                words.extend(text[a:b] for a, b in near)
-        entities, terms = _hashes(values), _hashes(words)
-        places_of: list[dict] = [{} for _ in spans]
-        at = 0
-        for entity, (k, near) in zip(entities.tolist(), places):
-            own = terms[at: at + len(near)].tolist()
-            at += len(near)
-            places_of[k].update(((entity, term, a, b), None) for term, (a, b) in zip(own, near))
+    for batch in _pieces(batches):
+        spans, doc, terms, _, _ = _scan(batch.column("text"))
+        values = []
+        for text, found in zip(batch.column("text"), spans):
+            text = text.as_py() if found else ""
+            values.append([
+                f"{KINDS[c]} {text[s:e] if c in (0, 1) else ''.join(_DIGIT.findall(text[s:e]))}" for s, c, e in found
+            ])
+        sizes = np.array([len(v) for v in values])
+        entities = np.split(_hashes([v for own in values for v in own]), np.cumsum(sizes)[:-1])
+        held = sizes[doc] > 0
+        doc, terms, _ = _counted(doc[held], terms[held])
         n = len(spans)
+        bounds = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
         yield pa.record_batch(
             [
-                pa.array(range(row, row + n), pa.int64()), batch.column(0), batch.column(2),
-                pa.array([[s for s, _, _ in x] for x in spans], _INT),
-                pa.array([[c for _, c, _ in x] for x in spans], _INT),
-                pa.array([[e for _, _, e in x] for x in spans], _INT),
-                *[pa.array([[key[i] for key in x] for x in places_of], _LONG) for i in (0, 1)],
-                *[pa.array([[key[i] for key in x] for x in places_of], _INT) for i in (2, 3)],
+                pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), batch.column("text_hash"),
+                *[pa.array([[s[i] for s in x] for x in spans], _INT) for i in range(3)],
+                pa.array([np.unique(x) for x in entities], _LONG),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(terms, pa.int64())),
             ],
             schema=_ARROW,
         )
         row += n
 
 
+def _filter(df: DataFrame, column: str) -> bytes:
+    """One bit per slot of the hashes of a column: at most 2 ** 17 words come back, for any input."""
+    slot = F.shiftrightunsigned(column, 64 - _FILTER_BITS)
+    words = df.select(F.shiftright(slot, 6).alias("word"), (slot % 64).cast("int").alias("bit")).groupBy("word").agg(
+        F.expr("bit_or(shiftleft(1L, bit))").alias("bits")
+    ).toPandas()
+    out = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.tobytes()
+
+
+def _passes(wanted: bytes):
+    bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little").view(bool)
+    return lambda hashes: bits[hashes.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)]
+
+
+def _pair_counts(wanted: bytes):
+    """Documents of each pair of a value whose slot is in the filter and a term, combined within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passes(wanted)
+        firsts, seconds, size = [], [], 0
+
+        def flush():
+            nonlocal size
+            if size:
+                columns = _counted(np.concatenate(firsts), np.concatenate(seconds))
+                for low in range(0, len(columns[0]), 1 << 16):
+                    yield pa.record_batch(
+                        [pa.array(c[low: low + (1 << 16)], pa.int64()) for c in columns], names=["entity", "term", "n"]
+                    )
+            firsts.clear()
+            seconds.clear()
+            size = 0
+
+        for batch in batches:
+            for own, terms in zip(batch.column(0), batch.column(1)):
+                own = own.values.to_numpy()
+                own = own[passes(own)]
+                terms = terms.values.to_numpy() if len(own) else ()
+                if not len(terms):
+                    continue
+                step = max(1, (1 << 20) // len(terms))
+                for low in range(0, len(own), step):
+                    part = own[low: low + step]
+                    firsts.append(np.repeat(part, len(terms)))
+                    seconds.append(np.tile(terms, len(part)))
+                    size += len(part) * len(terms)
+                    if size >= 1 << 21:
+                        yield from flush()
+        yield from flush()
+
+    return run
+
+
 def _document_counts(wanted: bytes):
     """Documents of each term whose slot is in the filter, combined within the task."""
-    shift = np.uint64(64 - _FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8)).view(bool)
+        passes = _passes(wanted)
         counts: dict[int, int] = {}
 
         def flush():
@@ -166,55 +239,66 @@ def _document_counts(wanted: bytes):
             )
             counts.clear()
 
-        for batch in batches:
-            column = batch.column(0)
-            _, bounds = text_bytes(column)
-            low = 0
-            while low < len(column):
-                high = min(len(column), max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 21)))))
-                data, offsets = text_bytes(column.slice(low, high - low))
-                data = lowered(data)
-                starts, ends, doc = runs(TERM[data], offsets)
-                terms = Roller(data).hashes(starts, ends)
-                hit = bits[terms >> shift]
-                pairs = np.unique(np.stack([doc[hit], terms[hit].view(np.int64)], 1), axis=0)
-                names, n = np.unique(pairs[:, 1], return_counts=True)
-                for term, count in zip(names.tolist(), n.tolist()):
-                    counts[term] = counts.get(term, 0) + count
-                if len(counts) > 500_000:
-                    yield from flush()
-                low = high
+        for batch in _pieces(batches):
+            _, doc, terms, _, _ = _scan(batch.column("text"))
+            hit = passes(terms)
+            _, terms, _ = _counted(doc[hit], terms[hit])
+            names, n = np.unique(terms, return_counts=True)
+            for term, count in zip(names.tolist(), n.tolist()):
+                counts[term] = counts.get(term, 0) + count
+            if len(counts) > 500_000:
+                yield from flush()
         yield from flush()
 
     return run
 
 
+def _places(wanted: bytes):
+    """Every place of each term whose slot is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passes(wanted)
+        for batch in _pieces(batches):
+            _, doc, terms, starts, ends = _scan(batch.column("text"))
+            hit = passes(terms)
+            rows = pa.array(doc[hit])
+            yield pa.record_batch(
+                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(terms[hit]),
+                 pa.array(starts[hit].astype(np.int32)), pa.array(ends[hit].astype(np.int32))],
+                names=["doc_id", "text_hash", "term", "start", "end"],
+            )
+
+    return run
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, action) of terms that reveal an entity; ``found`` as made from ``docs``."""
-    near = found.select("row", F.explode(F.arrays_zip("entities", "terms")).alias("x")).select(
-        "row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term")
+    """(entity, term, action) of terms that reveal an entity; ``found`` as made from ``docs``.
+
+    Of entities that stand in the same documents, one is listed.
+    """
+    with_entity = (
+        found.select("row", F.explode("entities").alias("entity")).groupBy("entity").agg(
+            F.count("*").alias("with_entity"), F.expr("bit_xor(xxhash64(row))").alias("a"),
+            F.expr("bit_xor(xxhash64(row, 1))").alias("b"),
+        )
+        .where(F.col("with_entity") >= support)
     )
+    # Values of the same documents reveal the same: one of them stands for all.
+    with_entity = stored(with_entity.groupBy("a", "b", "with_entity").agg(F.min("entity").alias("entity")).drop("a", "b"))
     together = (
-        near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+        found.select("entities", "terms").where(F.size("entities") > 0)
+        .mapInArrow(_pair_counts(_filter(with_entity, "entity")), "entity bigint, term bigint, n bigint")
+        .groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
     )
-    together = stored(together)
-    # One bit per slot of the terms' hashes: at most 2 ** 23 small numbers, for any input.
-    slots = together.select(F.shiftrightunsigned("term", 64 - _FILTER_BITS).alias("slot")).distinct()
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[slots.toPandas()["slot"].to_numpy(np.int64)] = True
-    wanted = np.packbits(bits).tobytes()
-    counts = docs.select("text").mapInArrow(_document_counts(wanted), "term bigint, n bigint")
+    together = stored(together.join(with_entity, "entity"))
+    counts = docs.select("text").mapInArrow(_document_counts(_filter(together, "term")), "term bigint, n bigint")
     counts = counts.groupBy("term").agg(F.sum("n").alias("with_term"))
-    with_entity = (
-        found.select("row", F.explode(F.array_distinct("entities")).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("with_entity"))
-    )
     total = found.count()
     share_e = F.col("with_entity") / F.lit(max(total, 1))
     information = -F.log2(share_e)
     revealed = F.log2(F.col("both") / F.col("with_term") / share_e)
-    scored = together.join(counts, "term").join(with_entity, "entity").select(
+    scored = together.join(counts, "term").select(
         "entity", "term", F.when(information > 0, revealed / information).otherwise(0.0).alias("share")
     )
     action = F.when(F.col("share") >= remove, F.lit(1)).otherwise(F.lit(0))
@@ -232,41 +316,48 @@ def _joined(spans: Column) -> Column:
     )
 
 
-def _spans(docs: DataFrame, **thresholds) -> DataFrame:
+def _spans(docs: DataFrame, everywhere: bool, **thresholds) -> DataFrame:
     """(doc_id, text_hash, kinds, base, everything) with sorted spans, one row per row."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = stored(docs.mapInArrow(_find, _FOUND))
-    flagged = disclosing_terms(found, docs, **thresholds)
-    near = found.select("row", F.explode(F.arrays_zip("entities", "terms", "from", "to")).alias("x")).select(
-        "row", F.col("x.entities").alias("entity"), F.col("x.terms").alias("term"), F.col("x.from").alias("start"),
-        F.col("x.to").alias("end"),
-    )
-    # A term next to two entities has the stronger action of both.
-    added = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-    added = added.groupBy("row").agg(
-        F.collect_list(F.struct("start", (F.col("action") + len(KINDS)).alias("kind"), "end")).alias("added")
+    flagged = stored(disclosing_terms(found, docs, **thresholds))
+    places = docs.mapInArrow(
+        _places(_filter(flagged, "term")), "doc_id bigint, text_hash bigint, term bigint, start int, end int"
     )
+    if everywhere:
+        marked = places.join(flagged.groupBy("term").agg(F.max("action").alias("action")), "term")
+    else:
+        own = found.select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), F.explode("entities").alias("entity"))
+        own = own.join(flagged, "entity").groupBy("to_id", "to_hash", F.col("term").alias("to_term")).agg(F.max("action").alias("action"))
+        marked = places.join(own, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash"))
+                             & (F.col("term") == F.col("to_term")))
+    # Repeated rows have the same places: a set of them for each id and text.
+    added = marked.groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.struct("start", (F.col("action") + len(KINDS)).alias("kind"), "end")).alias("added")
+    ).select(F.col("doc_id").alias("to_id"), F.col("text_hash").alias("to_hash"), "added")
     base = F.transform(
         F.arrays_zip("starts", "kinds", "ends"),
         lambda s: F.struct(s["starts"].alias("start"), s["kinds"].alias("kind"), s["ends"].alias("end")),
     )
-    rows = found.select("row", "doc_id", "text_hash", "kinds", base.alias("base")).join(added, "row", "left")
+    met = F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("text_hash") == F.col("to_hash"))
+    rows = found.select("doc_id", "text_hash", "kinds", base.alias("base")).join(added, met, "left")
     everything = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
     return rows.select("doc_id", "text_hash", "kinds", "base", everything.alias("everything"))
 
 
-def find_personal_data(docs: DataFrame, **thresholds) -> DataFrame:
+def find_personal_data(docs: DataFrame, everywhere: bool = False, **thresholds) -> DataFrame:
     """One row per row of (doc_id, text): counts, digest and list of its spans.
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Spans are
     kind:start:end in code points, end exclusive, sorted by start and kind. Null and empty texts
     have none; null ids and repeated rows are documents of their own. Other columns are ignored.
+    Terms that reveal a value are marked in all documents that hold it, or ``everywhere``.
     """
 
     def count(kind: int) -> Column:
         return F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
 
-    return _spans(docs, **thresholds).select(
+    return _spans(docs, everywhere, **thresholds).select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.col("everything")).alias("spans"),
@@ -291,14 +382,14 @@ def _sanitised(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
+def sanitise(docs: DataFrame, everywhere: bool = False, **thresholds) -> DataFrame:
     """``docs`` with patterns and generalised terms replaced by tags and removed terms left out.
 
     Overlapping spans become one, with the tag of the first. Columns and rows stay as they are.
     """
     own = docs.columns
     # Rows with spans are met again by id and hash of the text; equal rows have equal spans.
-    some = _spans(docs, **thresholds).where(F.size("everything") > 0).select(
+    some = _spans(docs, everywhere, **thresholds).where(F.size("everything") > 0).select(
         F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"),
         _joined(F.col("everything")).alias("pii_spans"),
     )

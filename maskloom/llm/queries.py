@@ -171,7 +171,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.pii import find_personal_data
 
-    return find_personal_data(documents(spark, folder))
+    return find_personal_data(documents(spark, folder), everywhere=True)
 
 
 # --- 3: toxicity ----------------------------------------------------------------------------

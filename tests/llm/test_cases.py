@@ -85,12 +85,31 @@ def test_terms_that_reveal_an_entity(spark):
     assert not any(got[k] for k in range(5, 191))
 
 
+def test_terms_far_from_a_value_and_in_other_documents(spark):
+    """A name 300 characters and more from an address counts and goes everywhere, without the address too."""
+    common = " ".join(f"ünd{k}" for k in range(60))
+    rows = [(k, f"Zaphod! {common} zap@x.org {common} zaphod", "s") for k in range(12)]
+    rows += [(k, f"{common} zap@x.org", "s") for k in range(12, 14)] + [(14, f"é ZAPHOD, {common}", "s")]
+    rows += [(k, f"{common} number{k}", "s") for k in range(15, 300)] + [(None, rows[14][1], "s"), (14, rows[14][1], "s")]
+    texts = {i: t for i, t, _ in rows}
+    for everywhere in (False, True):
+        got = pii.find_personal_data(frame(spark, rows), everywhere=everywhere).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            kinds = [s.split(":") for s in r.spans.split(",") if s]
+            marked = [texts[r.doc_id][int(a):int(b)] for c, a, b in kinds if c in pii.ADDED]
+            alone = ["ZAPHOD"] if everywhere and r.doc_id in (None, 14) else []
+            assert marked == (["Zaphod", "zaphod"] if r.doc_id is not None and r.doc_id < 12 else alone)
+    clean = [r.text for r in pii.sanitise(frame(spark, rows), everywhere=True).collect()]
+    assert len(clean) == len(rows) and not any("zap" in t.lower() for t in clean)
+
+
 def test_terms_in_copies_and_fixed_blocks(spark):
     """A handle in a fixed signature of different documents, and one in copies of a document."""
     sign = "yours truly with kind and warm regards from Zaphod zap@x.org of our small branch office in town"
     copy = "the same words about nothing Trillian tri@y.org and again nothing but the same words"
     plain = " ".join(dict.fromkeys(f"{sign} {copy}".replace("Zaphod zap@x.org", "").replace("Trillian tri@y.org", "").split()))
-    rows = [(k, f"text number{k} of its own {sign}", "s") for k in range(6)]
+    rows = [(k, f"number{k} {sign}", "s") for k in range(6)]
     rows += [(k, copy, "s") for k in range(6, 11)] + [(k, f"{plain} number{k}", "s") for k in range(11, 200)]
     got = {r.doc_id: r.spans for r in pii.find_personal_data(frame(spark, rows)).collect()}
     for k, name in [(0, "Zaphod"), (5, "Zaphod"), (6, "Trillian"), (10, "Trillian")]:
