@@ -2,9 +2,10 @@
 
 Documents are dealt to shards by ranges of doc_id. A shard is a run of blocks with whole
 documents; each block has its own grammar. Re-Pair: frequent pairs of neighbouring symbols become
-rules, round after round, as long as that shortens the block. One round replaces many pairs at
+rules, round after round, until no pair has the least count. One round replaces many pairs at
 once: going down the counts, a pair is taken if its left symbol is not the right one of a taken
-pair and the other way round, so that no two taken pairs can overlap.
+pair and the other way round, so that no two taken pairs can overlap. A pair of equal symbols is
+taken if no other taken pair has that symbol, and replaced from the left of each run.
 
 The files are Parquet, one row per block: rules, expansion lengths, the remaining sequence and
 the documents' lengths. Sums of expansion lengths find the symbols that cover any range of ids, so
@@ -29,10 +30,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 # Symbols from here on are rules; ids of the tokenizer are below.
 FIRST_RULE = 1 << 17
-ROUNDS = 5
 LEAST_COUNT = 32
-PAIRS_A_ROUND = 4096
-_TABLE = 1 << 20
+_SLOT_BITS = 20
 
 _FILE = (
     "shard int, block int, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, "
@@ -40,39 +39,58 @@ _FILE = (
 )
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
+def _places(symbols: np.ndarray, least: int):
+    """(pairs, places, number of the pair at each place) of all pairs whose slot has the least count.
+
+    Of the overlapping places of an equal pair in a run, every other one counts, from the left.
+    """
+    slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
+    full = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)
+    number = np.full(1 << _SLOT_BITS, -1, np.int32)
+    number[full] = np.arange(len(full))
+    which = number[slot]
+    often = np.flatnonzero(which >= 0)
+    a, b = symbols[often], symbols[often + 1]
+    equal = np.flatnonzero(a == b)
+    if len(equal):
+        # All places of a run share a slot, so they follow each other here, too.
+        at = often[equal]
+        start = np.ones(len(at), bool)
+        start[1:] = at[1:] != at[:-1] + 1
+        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+        keep = np.ones(len(often), bool)
+        keep[equal[(np.arange(len(at)) - first) % 2 == 1]] = False
+        often, a, b = often[keep], a[keep], b[keep]
+    which = which[often]
+    # The pair seen last stands for its slot; other pairs of the slot get numbers of their own.
+    last = np.zeros(len(full), np.int64)
+    last[which] = np.arange(len(which))
+    keys = (a.astype(np.uint64) << np.uint64(32)) | b
+    pairs = keys[last]
+    other = np.flatnonzero(keys != pairs[which])
+    more, inverse = np.unique(keys[other], return_inverse=True)
+    which[other] = len(pairs) + inverse
+    return np.concatenate([pairs, more]), often, which
+
+
+def compress(ids: np.ndarray, least: int = LEAST_COUNT):
     """(rules as an array of symbol pairs, remaining sequence) of an array of ids."""
     symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     count = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        # Pairs are counted in hashed slots; of the fullest slots, the pair seen last stands for
-        # its slot, and its own places are counted exactly.
-        slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        size = np.bincount(slot, minlength=_TABLE)
-        bound = max(least, int(np.partition(size, -PAIRS_A_ROUND)[-PAIRS_A_ROUND]))
-        full = np.flatnonzero(size >= bound)
-        number = np.full(_TABLE, -1, np.int32)
-        number[full] = np.arange(len(full))
-        which = number[slot]
-        often = np.flatnonzero(which >= 0)
-        which = which[often]
-        a_all, b_all = symbols[often], symbols[often + 1]
-        last = np.zeros(len(full), np.int64)
-        last[which] = np.arange(len(which))
-        same = (a_all == a_all[last][which]) & (b_all == b_all[last][which])
-        often, which = often[same], which[same]
-        counts = np.bincount(which, minlength=len(full))
-        pairs = (a_all[last].astype(np.uint64) << np.uint64(32)) | b_all[last]
+    while len(symbols) > 1:
+        pairs, often, which = _places(symbols, least)
+        counts = np.bincount(which, minlength=len(pairs))
         order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] >= least]
+        sides = pairs[order]
         left: set[int] = set()
         right: set[int] = set()
         taken = []
-        for at in order[counts[order] >= least].tolist():
-            a, b = int(pairs[at]) >> 32, int(pairs[at]) & 0xFFFFFFFF
-            if a != b and a not in right and b not in left:
+        for at, a, b in zip(
+            order.tolist(), (sides >> np.uint64(32)).tolist(), (sides & np.uint64(0xFFFFFFFF)).tolist()
+        ):
+            if a not in right and b not in left and (a != b or (a not in left and b not in right)):
                 left.add(a)
                 right.add(b)
                 taken.append(at)
@@ -89,10 +107,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
         symbols[places] = to[hit]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        before = len(symbols)
         symbols = symbols[keep]
-        if before - len(symbols) < before // 100:
-            break
     flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     return np.stack([(flat >> np.uint64(32)).astype(np.uint32), flat.astype(np.uint32)], 1), symbols
 

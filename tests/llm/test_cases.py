@@ -172,6 +172,28 @@ def test_grammar_decodes_any_range():
     assert len(grammar.compress(np.empty(0, np.uint32))[1]) == 0
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent(monkeypatch):
+    """Long repeats, runs of one id and pairs that share a slot, down to the least count."""
+    phrase = [rng.randrange(1000) for _ in range(500)]
+    cases = [[7] * 5000, phrase * 40, [k for _ in range(200) for k in (1, 1, 1, 2, 3, rng.randrange(9))]]
+    cases.append([rng.choice([1, 2, 3, 3, 4, 50_000]) for _ in range(20_000)])
+    for bits in (20, 1):
+        monkeypatch.setattr(grammar, "_SLOT_BITS", bits)
+        for ids in cases:
+            ids = np.array(ids, np.uint32)
+            rules, symbols = grammar.compress(ids)
+            block = grammar.Grammar(rules, grammar.expansion_lengths(rules), symbols)
+            assert block.decode(0, len(ids)).tolist() == ids.tolist()
+            counts, taken = {}, -1
+            for at, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+                if pair[0] == pair[1] and taken == at - 1 and symbols[at - 1] == pair[0]:
+                    continue
+                taken = at
+                counts[pair] = counts.get(pair, 0) + 1
+            assert max(counts.values(), default=0) < grammar.LEAST_COUNT
+    assert len(grammar.compress(np.full(1 << 16, 7, np.uint32))[1]) < 64
+
+
 # --- 3 --------------------------------------------------------------------------------------
 
 
