@@ -391,7 +391,7 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """(text, toxic) of at most so many labelled documents outside the held-out fifth."""
+    """(text, toxic) of at most so many labelled documents outside the held-out fifth, a row per id."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -403,9 +403,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int)
     )
     # At most toxic + clean rows of two numbers.
     picked = picked.select(F.col("doc_id").alias("_picked"), F.col("toxic").alias("_toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked")).select(
-        "text", F.col("_toxic").alias("toxic")
-    )
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked"))
+    # Of the rows of one id, that with the smallest hash.
+    one = rows.groupBy("_picked", "_toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    return one.select("one.text", F.col("_toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> dict:

@@ -252,6 +252,14 @@ def test_toxicity_learns_and_handles_cases(spark, odd, none):
 # --- 5 and 6 --------------------------------------------------------------------------------
 
 
+def test_toxicity_sample_has_a_row_per_id(spark):
+    rows = [(k, f"text {k}", "s") for k in range(40)] + [(k, f"other {j}", "s") for k in range(40) for j in range(50)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    known = labels.where(~toxicity.is_held_out(F.col("doc_id"))).count()
+    got = toxicity.training_sample(frame(spark, rows), labels, 100, 100)
+    assert 0 < known == got.count() and toxicity.training_sample(frame(spark, rows), labels, 3, 5).count() == 8
+
+
 def vector_rows():
     gen = np.random.default_rng(2)
     rows = []
