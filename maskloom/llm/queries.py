@@ -203,3 +203,23 @@ def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.graph import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+# --- 11: whitening --------------------------------------------------------------------------
+
+
+@query()
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.whitening import fit, whiten
+
+    vectors = table(spark, folder, "embeddings")
+    model = fit(vectors)
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]) if len(model.values) else F.array().cast("array<double>")
+    return whiten(vectors, model).select(
+        "vec_id", "n", F.col("deviation").cast("long").alias("deviation"),
+        F.posexplode(F.arrays_zip("whitened", explained.alias("explained"))).alias("place", "c"),
+    ).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation",
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
