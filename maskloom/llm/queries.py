@@ -223,3 +223,41 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"),
         F.lit(model.identity_error).alias("identity_error"),
     )
+
+
+# --- 12: lexical search ---------------------------------------------------------------------
+
+SQL_LEXICAL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), l AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+t AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM l),
+p AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(m) AS m
+  FROM (SELECT doc_id, unnest(terms) AS term, 100 - 25 + (25 * n * docs) // total AS m FROM l, t)
+  GROUP BY doc_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM p, t GROUP BY term
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query(SQL_LEXICAL)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.lexical import build, search
+
+    return search(build(documents(spark, folder)), table(spark, folder, "benchmark"))
