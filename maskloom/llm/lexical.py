@@ -129,7 +129,7 @@ def _segment(ids: pa.Array, texts: pa.Array, documents: int, terms: int):
     return postings, ids.take(pa.array(order)), m[order]
 
 
-def build(docs: DataFrame) -> Index:
+def build(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> Index:
     """Index the rows of (doc_id, text); each row is a document, also if its id or text is repeated.
 
     Null texts and texts without terms hold no term: they count in no figure and are found by no item.
@@ -149,7 +149,7 @@ def build(docs: DataFrame) -> Index:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        for ids, texts in _chunks(batches):
+        for ids, texts in _chunks(batches, segment_bytes):
             segment = (task << 32) + made
             made += 1
             (names, *lists), ordered, m = _segment(ids, texts, documents, terms)
@@ -176,14 +176,14 @@ def build(docs: DataFrame) -> Index:
     return Index(postings, places, documents, terms)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Documents of a task in runs of about ``SEGMENT_BYTES`` of text."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Documents of a task in runs of about ``most`` bytes of text."""
     held, size = [], 0
     for batch in batches:
-        for low, high in slices(batch.column(1), SEGMENT_BYTES):
+        for low, high in slices(batch.column(1), most):
             part = batch.slice(low, high - low)
             _, offsets = text_bytes(part.column(1))
-            if held and size + int(offsets[-1]) > SEGMENT_BYTES:
+            if held and size + int(offsets[-1]) > most:
                 yield _joined(held)
                 held, size = [], 0
             held.append(part)

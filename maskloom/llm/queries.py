@@ -261,3 +261,14 @@ def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     from maskloom.llm.lexical import build, search
 
     return search(build(documents(spark, folder)), table(spark, folder, "benchmark"))
+
+
+# --- 13: nearest neighbours -----------------------------------------------------------------
+
+
+@query()
+def op13_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    from maskloom.llm.tree import nearest_vectors
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(vectors, vectors.where("vec_id % 20 = 0"))

@@ -138,16 +138,17 @@ def vectors_of(diagonal: np.ndarray, off: np.ndarray, values: np.ndarray) -> np.
 def principal(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, unit vectors as rows) of the at most k leading ones that are not zero."""
     n = len(matrix)
-    if not n or not np.abs(matrix).max() > 0:
+    scale = np.abs(matrix).max(initial=0)
+    if not scale > 0:
         return np.zeros(0), np.zeros((0, n))
-    diagonal, off, reflectors = tridiagonal(matrix)
+    diagonal, off, reflectors = tridiagonal(matrix / scale)
     values = leading(diagonal, off, min(k, n))
     values = values[values > RANK * values[0]]
     rows = vectors_of(diagonal, off, values)
     for at in range(len(reflectors) - 1, -1, -1):
         v = reflectors[at]
         rows[:, at + 1:] -= 2 * np.outer(rows[:, at + 1:] @ v, v)
-    return values, rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    return values * scale, rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 # --- passes over the vectors ---------------------------------------------------------------------
