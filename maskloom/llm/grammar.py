@@ -39,18 +39,24 @@ _FILE = (
 )
 
 
-def _places(symbols: np.ndarray, least: int):
+def _places(symbols: np.ndarray, open_: np.ndarray, least: int):
     """(pairs, places, number of the pair at each place) of all pairs whose slot has the least count.
 
-    Of the overlapping places of an equal pair in a run, every other one counts, from the left.
+    Only the places ``open_`` are looked at; they hold all places of every pair that can be
+    frequent. Of the overlapping places of an equal pair in a run, every other one counts, from
+    the left. A fourth result has the places before that choice.
     """
-    slot = (symbols[:-1] * np.uint32(0x9E3779B1) + symbols[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOT_BITS)
-    full = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)
-    number = np.full(1 << _SLOT_BITS, -1, np.int32)
+    bits = min(_SLOT_BITS, max(8, len(open_).bit_length()))
+    a, b = symbols[open_], symbols[open_ + 1]
+    slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+    full = np.flatnonzero(np.bincount(slot, minlength=1 << bits) >= least)
+    number = np.full(1 << bits, -1, np.int32)
     number[full] = np.arange(len(full))
     which = number[slot]
-    often = np.flatnonzero(which >= 0)
-    a, b = symbols[often], symbols[often + 1]
+    held = which >= 0
+    often, a, b = open_[held], a[held], b[held]
+    which = which[held]
+    every = often
     equal = np.flatnonzero(a == b)
     if len(equal):
         # All places of a run share a slot, so they follow each other here, too.
@@ -60,8 +66,7 @@ def _places(symbols: np.ndarray, least: int):
         first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         keep = np.ones(len(often), bool)
         keep[equal[(np.arange(len(at)) - first) % 2 == 1]] = False
-        often, a, b = often[keep], a[keep], b[keep]
-    which = which[often]
+        often, a, b, which = often[keep], a[keep], b[keep], which[keep]
     # The pair seen last stands for its slot; other pairs of the slot get numbers of their own.
     last = np.zeros(len(full), np.int64)
     last[which] = np.arange(len(which))
@@ -70,7 +75,7 @@ def _places(symbols: np.ndarray, least: int):
     other = np.flatnonzero(keys != pairs[which])
     more, inverse = np.unique(keys[other], return_inverse=True)
     which[other] = len(pairs) + inverse
-    return np.concatenate([pairs, more]), often, which
+    return np.concatenate([pairs, more]), often, which, every
 
 
 def compress(ids: np.ndarray, least: int = LEAST_COUNT):
@@ -78,8 +83,11 @@ def compress(ids: np.ndarray, least: int = LEAST_COUNT):
     symbols = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     count = 0
-    while len(symbols) > 1:
-        pairs, often, which = _places(symbols, least)
+    # A pair of older symbols that was not frequent never will be: after a round, only places of
+    # slots that were, and places beside a new symbol, are counted again.
+    open_ = np.arange(max(len(symbols) - 1, 0))
+    while len(open_):
+        pairs, often, which, every = _places(symbols, open_, least)
         counts = np.bincount(which, minlength=len(pairs))
         order = np.argsort(-counts, kind="stable")
         order = order[counts[order] >= least]
@@ -107,7 +115,14 @@ def compress(ids: np.ndarray, least: int = LEAST_COUNT):
         symbols[places] = to[hit]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        symbols = symbols[keep]
+        again = np.zeros(len(symbols), bool)
+        again[every] = True
+        again[places] = True
+        # The symbol before a new one, which may be one that another pair has just swallowed.
+        before = places[places > 0] - 1
+        again[np.where(keep[before], before, before - 1)] = True
+        symbols, again = symbols[keep], again[keep]
+        open_ = np.flatnonzero(again[:-1])
     flat = np.concatenate(rules) if rules else np.empty(0, np.uint64)
     return np.stack([(flat >> np.uint64(32)).astype(np.uint32), flat.astype(np.uint32)], 1), symbols
 
