@@ -3,14 +3,15 @@
 1. One pass over the texts gives each document its set's size and digest, 128 minima, the keys of
    32 bands of 4 minima, and a signature of the 2 low bits of every minimum in four longs.
 2. Documents with equal sets are one class; everything below works on classes.
-3. Star rounds: in each band bucket every class is paired with one of them, the center, another
-   one in each round. Pairs whose estimated similarity (matching low bits, corrected for chance
-   matches) is not far below the threshold are confirmed on the full sets. Links give components,
-   and later rounds pair the center with other components only.
+3. Star rounds, until one finds no link: in each band bucket every class is paired with one of
+   them, the center, another one in each round. Pairs whose estimated similarity (matching low bits,
+   corrected for chance matches) is not far below the threshold are confirmed on the full sets. Links
+   give components, and later rounds pair the center with other components only.
 4. Cross round: buckets that still hold several components are searched for further pairs between
    different components; an estimate from sixteen times as many minima is a condition of the join,
-   by bit counts. So a bucket of thousands of near copies costs a few pairs per member, and yet no
-   link between components that a band catches is left out.
+   by bit counts, and a pair leaves it from the first of its shared bands only. So a bucket of
+   thousands of near copies costs a few pairs per member, and yet no link between components that a
+   band catches is left out.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6, and the
 estimate's margin is four standard deviations. Sets are compared by 64-bit hashes of shingles.
@@ -33,7 +34,7 @@ WORDS = 5
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
 SHARE = 75
-# Rounds before the search for pairs between components; they change the work, not the result.
+# Most rounds before the search for pairs between components; they change the work, not the result.
 STAR_ROUNDS = 2
 # Standard error of the estimate at the threshold is 0.046.
 MARGIN = 0.19
@@ -237,6 +238,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
             break
         found = stored(confirmed(stars, texts, share))
         tested = stars if tested is None else tested.union(stars)
+        if links is not None and found.isEmpty():
+            break
         links = found if links is None else links.union(found)
         roots = components(links).select(F.col("node").alias("digest"), "root")
 
@@ -245,8 +248,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     rest = stored(placed.join(open_.select("band"), "band"))
     asked = texts.join(rest.select("digest").distinct(), "digest").select("digest", "text")
     signed_long = stored(asked.mapInArrow(_long_signatures, "digest bigint, long array<bigint>"))
-    rest = rest.join(signed_long, "digest")
+    # The open buckets of a class go along, so that a pair knows the first bucket it shares.
+    own = rest.groupBy("digest").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    rest = rest.join(signed_long.join(own, "digest"), "digest")
     one, two = rest.alias("x"), rest.alias("y")
+    first_shared = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.band")
     # A quarter of the minima settles most pairs.
     likely = (estimate(F.col("x.long"), F.col("y.long"), LONG_HASHES // 4) >= share / 100 - 2 * LONG_MARGIN) & (
         estimate(F.col("x.long"), F.col("y.long"), LONG_HASHES) >= share / 100 - LONG_MARGIN
@@ -254,8 +260,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     cross = one.join(
         two,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.digest") < F.col("y.digest"))
-        & (F.col("x.root") != F.col("y.root")) & likely,
-    ).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+        & (F.col("x.root") != F.col("y.root")) & likely & first_shared,
+    ).select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
     cross = stored(cross.join(tested, ["a", "b"], "left_anti"))
     more = stored(confirmed(cross, texts, share))
 

@@ -295,19 +295,23 @@ def window_logits(net: dict, inputs: np.ndarray, places: np.ndarray, mask: np.nd
 
 def document_logits(model: dict, column: pa.Array, most: int = 4096) -> np.ndarray:
     """The highest window logit of each text; texts without words get the model's bias."""
-    net = model["net"]
-    words = Words(column)
     table = model["odds"]
-    odds, slots = word_inputs(words, lambda kind, slot: table[kind][slot])
+    out = highest_logits(model["net"], Words(column), len(column), lambda kind, slot: table[kind][slot], most)
+    out[np.isneginf(out)] = model["empty"]
+    return out
+
+
+def highest_logits(net: dict, words: Words, n: int, odds_of, most: int = 4096) -> np.ndarray:
+    """The highest logit over all windows of each of ``n`` texts, -inf without words."""
+    odds, slots = word_inputs(words, odds_of)
     inputs = embed(net, odds, slots)
     inputs = np.concatenate([inputs, np.zeros((1, inputs.shape[1]), np.float32)])
     first, size, doc = windows_of(words.bounds)
-    out = np.full(len(column), -np.inf, np.float32)
+    out = np.full(n, -np.inf, np.float32)
     for low in range(0, len(first), most):
         part = slice(low, low + most)
         places, mask = _places(first[part], size[part], words.at, len(inputs) - 1)
         np.maximum.at(out, doc[part], window_logits(net, inputs, places, mask))
-    out[np.isneginf(out)] = model["empty"]
     return out
 
 
@@ -356,7 +360,7 @@ def _training_windows(toxic: np.ndarray, clean: np.ndarray, base: float):
                     continue
                 own = int(labels[k])
                 values, slots = word_inputs(words, lambda kind, slot: log_odds(
-                    toxic[kind][slot] - own, clean[kind][slot] - (1 - own), base
+                    np.maximum(toxic[kind][slot] - own, 0), np.maximum(clean[kind][slot] - (1 - own), 0), base
                 ))
                 strength = np.maximum(values.max(1), 0)[words.at]
                 first, size, _ = windows_of(words.bounds)
@@ -368,14 +372,33 @@ def _training_windows(toxic: np.ndarray, clean: np.ndarray, base: float):
                     pick = np.append(pick, np.setdiff1d(spread, pick))
                 places, mask = _places(first[pick], size[pick], words.at, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([labels[k]], pa.int32()), pa.array([values[places].astype(np.float32).tobytes()]),
+                    [batch.column(2).slice(k, 1), pa.array([labels[k]], pa.int32()),
+                     pa.array([values[places].astype(np.float32).tobytes()]),
                      pa.array([slots[places].astype(np.int32).tobytes()]), pa.array([mask.tobytes()])],
-                    names=["toxic", "odds", "slots", "mask"],
+                    names=["doc_id", "toxic", "odds", "slots", "mask"],
                 )
 
     return run
 
 
+def _sample_logits(net: dict, toxic: np.ndarray, clean: np.ndarray, base: float):
+    """The highest logit over all windows of each sampled document, its own part in the counts taken off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, label in enumerate(batch.column(1).to_pylist()):
+                own = int(label)
+                out.append(highest_logits(net, Words(batch.column(0).slice(k, 1)), 1, lambda kind, slot: log_odds(
+                    np.maximum(toxic[kind][slot] - own, 0), np.maximum(clean[kind][slot] - (1 - own), 0), base
+                ))[0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2), batch.column(1), pa.array(out, pa.float32())], names=["doc_id", "toxic", "logit"]
+            )
+
+    return run
+
+
 def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     """The cut with the fewest errors; of several, the middle of the widest gap."""
     order = np.argsort(logits, kind="stable")
@@ -391,7 +414,7 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """(text, toxic) of at most so many labelled documents outside the held-out fifth, a row per id."""
+    """(text, toxic, doc_id) of at most so many labelled documents outside the held-out fifth, a row per id."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -406,7 +429,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked"))
     # Of the rows of one id, that with the smallest hash.
     one = rows.groupBy("_picked", "_toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
-    return one.select("one.text", F.col("_toxic").alias("toxic"))
+    return one.select("one.text", F.col("_toxic").alias("toxic"), F.col("_picked").cast("bigint").alias("doc_id"))
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean: int = CLEAN_SAMPLE) -> dict:
@@ -427,7 +450,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     for k, name in enumerate(("toxic", "clean")):
         seen[k, table["kind"], table["slot"]] = table[name]
     odds = log_odds(*seen, base).astype(np.float16)
-    found = sample.mapInArrow(_training_windows(*seen, base), "toxic int, odds binary, slots binary, mask binary").collect()
+    windows = sample.mapInArrow(
+        _training_windows(*seen, base), "doc_id bigint, toxic int, odds binary, slots binary, mask binary"
+    )
+    # In the order of ids: the order of training must not hang on partitions.
+    found = sorted(windows.collect(), key=lambda r: r["doc_id"])
     model = {"odds": odds, "net": new_network(), "scale": 0.0, "shift": float(np.log(base / (1 - base))), "empty": 0.0}
     if len({r["toxic"] for r in found}) < 2:
         return model
@@ -442,15 +469,13 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, clean:
     # Only the strongest window of a toxic document is sure to be meant by its label.
     use = (label[owner] == 0) | first
     picked = np.flatnonzero(use)
-    net, fitted = fit(values[picked], slots[picked], mask[picked], label[owner][picked].astype(np.float32))
+    net, _ = fit(values[picked], slots[picked], mask[picked], label[owner][picked].astype(np.float32))
     model["net"] = net
-    # Calibration: the cut between the highest logits of the toxic documents that were believed
-    # and of the others.
-    logits = np.full(len(found), -np.inf)
-    np.maximum.at(logits, owner, training_logits(net, values, slots, mask))
-    believed = label == 0
-    believed[owner[picked[fitted]]] = True
-    cut = best_cut(logits[believed], label[believed])
+    # Calibration: the cut between the highest logits of whole texts, of all sampled documents.
+    rated = sample.mapInArrow(_sample_logits(net, *seen, base), "doc_id bigint, toxic int, logit float").collect()
+    rated = sorted((r["doc_id"], r["toxic"], r["logit"]) for r in rated if np.isfinite(r["logit"]))
+    label, logits = np.array([r[1] for r in rated]), np.array([r[2] for r in rated])
+    cut = best_cut(logits, label)
     model |= {"scale": 1.0, "shift": -cut, "empty": float(np.median(logits[label == 0]))}
     return model
 
