@@ -7,6 +7,8 @@ masks, and returns (point_id, label, scores, verdict).
 
 from __future__ import annotations
 
+import importlib
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -468,3 +470,51 @@ def make_segmenter(choice: str | Segmenter = "threshold", **settings) -> Segment
 
 def make_discriminator(choice: str | Discriminator = "agreement", **settings) -> Discriminator:
     return DISCRIMINATORS[choice](**settings) if isinstance(choice, str) else choice
+
+
+# --- models as entries of a journal ---------------------------------------------------------
+
+MODELS = {
+    "threshold": (ThresholdModel, ("cut", "slope")),
+    "pixel_logistic": (PixelLogisticModel, ("intercept", "weights")),
+    "agreement": (AgreementModel, ("cut", "tau", "slope")),
+    "pair_logistic": (PairLogisticModel, ("cut",)),
+}
+
+
+def describe_model(model, folder: str) -> dict:
+    """What ``restore_model`` needs, as JSON can hold it; an MLlib part is saved under ``folder``.
+
+    A model of another class that has ``describe()`` gives its own numbers, for ``restore`` of its
+    class; one without leaves its class name only.
+    """
+    for kind, (cls, names) in MODELS.items():
+        if type(model) is cls:
+            held = {"kind": kind, **{name: getattr(model, name) for name in names}}
+            if kind == "pair_logistic":
+                held["fitted"] = f"{folder}/{uuid.uuid4().hex}"
+                model.fitted.write().save(held["fitted"])
+            return held
+    cls = f"{type(model).__module__}:{type(model).__qualname__}"
+    if hasattr(model, "describe") and hasattr(type(model), "restore"):
+        return {"kind": "own", "class": cls, "numbers": model.describe()}
+    return {"kind": "unknown", "class": cls}
+
+
+def restore_model(held: dict):
+    """The model that ``describe_model`` described; None if it could not be described."""
+    if held["kind"] == "unknown":
+        return None
+    if held["kind"] == "own":
+        module, _, name = held["class"].partition(":")
+        cls = importlib.import_module(module)
+        for part in name.split("."):
+            cls = getattr(cls, part)
+        return cls.restore(held["numbers"])
+    cls, names = MODELS[held["kind"]]
+    values = {name: tuple(held[name]) if isinstance(held[name], list) else held[name] for name in names}
+    if held["kind"] == "pair_logistic":
+        from pyspark.ml import PipelineModel
+
+        values["fitted"] = PipelineModel.load(held["fitted"])
+    return cls(**values)

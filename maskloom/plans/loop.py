@@ -1,8 +1,9 @@
 """The curation loop: predict, judge, relabel, move, refill, balance, repeat.
 
-State is one narrow membership table, written once per cycle (or after every step); pixels stay
-where they are and are read only to fit, to predict and to judge. The driver holds counts,
-scores and fitted parameters.
+State is one narrow membership table, whose changes are written once per cycle (or after every step);
+pixels stay where they are and are read only to fit, to predict and to judge. The driver holds
+counts, scores and fitted parameters; a journal beside the states holds them, too, so that a run
+can go on from any stored step.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import arrays as a
+from maskloom.functions import masks
 from maskloom.functions.hashing import DEFAULT_SEED
 from maskloom.operators import curation as cur
 from maskloom.operators import evaluate as ev
@@ -24,11 +26,14 @@ from maskloom.operators import splits
 from maskloom.operators.index import position_index
 from maskloom.plans import learners
 from maskloom.session import shared_dir
-from maskloom.sources.tables import SnapshotStore
+from maskloom.sources.changes import ChangeStore, changed_rows
+from maskloom.sources.journal import RESUMED, Entry
 
 # Collections that points live in; A is the parent of its parts and never changes.
 BASE = ("A", "A_train", "A_val", "A_test", "B", "Z")
 
+MEMBER_COLUMNS = ("point_id", "ord", "value", "collection")
+
 # Steps of a cycle, as stored in snapshots.
 SETUP, PREDICTED, BUILT_C, SPLIT_C, TRAINED, JUDGED, FOUND, RELABELED, UPDATED = range(9)
 
@@ -84,12 +89,17 @@ class CurationLoop:
         self.spark: SparkSession = self.points.sparkSession
         if self.path is None:
             self.path = f"{shared_dir(self.spark)}/loop-{uuid.uuid4().hex}"
-        self.store = SnapshotStore(self.spark, f"{self.path}/states")
+        self.store = ChangeStore(self.spark, f"{self.path}/states")
+        # Parts that the last stored state is made of, and collections that differ from it.
+        self.parts: dict[str, list[str]] = {}
+        self.fresh: set[str] = set()
+        # Journal lines that go with the next stored state.
+        self.pending: list[tuple[str, object]] = []
         # Collections that points move between, as last written.
         self.base: DataFrame | None = None
         # Collections a cycle derives from them: (point_id, ord, value) by name.
         self.derived: dict[str, DataFrame] = {}
-        self.cycle = 0
+        self.cycle, self.step = 0, SETUP
         self.n_points = 0
         self.sizes: dict[str, int] = {}
         self.segmenter_model = None
@@ -97,7 +107,11 @@ class CurationLoop:
         self.scores: list[tuple] = []
         self.stats: list[tuple] = []
         self.history: list[tuple] = []
-        self._lost: DataFrame | None = None
+        # Folders of lost points and of predictions, by cycle.
+        self.lost_folders: list[str] = []
+        self.predicted_folders: dict[int, str] = {}
+        # Counters of the cycle so far.
+        self.counts: dict[str, int] = {}
 
     # --- state ------------------------------------------------------------------------------
 
@@ -122,26 +136,63 @@ class CurationLoop:
         """Register derived collections and store the state if every step is stored."""
         for name, df in collections.items():
             self.derived[name] = df.select("point_id", "ord", F.col("value").cast("int").alias("value"))
+            self.fresh.add(name)
             if size is not None:
                 self.sizes[name] = size
+        self.step = step
         if self.settings.store_after_each_step:
-            self.store.save(self.members, self.settings.run, self.cycle, step)
+            self._save(step)
+
+    def _save(self, step: int, base: DataFrame | None = None, changes: DataFrame | None = None) -> None:
+        """Store what differs from the last state: derived collections whole, base ones by their changes.
+
+        ``base`` writes the base collections whole. Counters and models so far go into the same entry.
+        """
+        names = sorted(self.fresh)
+        frames = [
+            self.derived[name].withColumn("collection", F.lit(name)).select(*MEMBER_COLUMNS) for name in names
+        ]
+        if base is not None:
+            frames.append(base.select(*MEMBER_COLUMNS))
+            names += list(BASE)
+        whole = reduce(DataFrame.unionByName, frames) if frames else None
+        self.parts = self.store.save(
+            self.settings.run, self.cycle, step, whole, names, changes, self.parts, self._entries(step)
+        )
+        self.fresh.clear()
+
+    def _entries(self, step: int) -> list[Entry]:
+        """The waiting journal lines, as entries of a step."""
+        lines, self.pending = self.pending, []
+        return [Entry(self.settings.run, self.cycle, step, kind, payload) for kind, payload in lines]
+
+    def _rebase(self, base: DataFrame, moves: list[DataFrame]) -> None:
+        """Write the state with moved points and read it back: a cycle's lineage ends here.
 
-    def _rebase(self, step: int, base: DataFrame) -> None:
-        """Write the state with moved points and read it back: a cycle's lineage ends here."""
-        self.base = base
-        state = self.store.save(self.members, self.settings.run, self.cycle, step)
-        self._load(state)
+        Rows are written in proportion to what moved, and a collection with many changes anew.
+        """
+        ids = reduce(DataFrame.union, [m.select("point_id") for m in moves])
+        self.step = UPDATED
+        self._save(UPDATED, changes=changed_rows(self.base, base, ids))
+        whole, names = self.store.compact(self.parts)
+        if names:
+            self.parts = self.store.save(
+                self.settings.run, self.cycle, UPDATED, whole, names, before=self.parts
+            )
+        self._load()
 
-    def _load(self, state: DataFrame) -> None:
+    def _load(self) -> None:
+        """Read the state made of ``parts``; each derived collection from its own part only."""
         # A row per collection, about a dozen.
+        state = self.store.read(self.parts)
         self.sizes = {r["collection"]: r["n_points"] for r in reg.sizes(state).collect()}
-        self.base = state.filter(F.col("collection").isin(*BASE))
+        self.base = self.store.read({name: self.parts.get(name, []) for name in BASE})
         self.derived = {
-            name: state.filter(F.col("collection") == name).select("point_id", "ord", "value")
+            name: self.store.read({name: self.parts[name]}).select("point_id", "ord", "value")
             for name in self.sizes
             if name not in BASE
         }
+        self.fresh.clear()
 
     def _work(self, name: str, df: DataFrame) -> DataFrame:
         """Write an intermediate result of a cycle and read it back."""
@@ -175,24 +226,73 @@ class CurationLoop:
         """Split the points into A, B, Z and the parts of A."""
         self.n_points = self.points.count() if n_points is None else n_points
         rows = splits.setup_split(self.points, self.n_points, self.settings.weights)
-        self.derived = {}
-        self._rebase(SETUP, rows.withColumn("value", F.lit(None).cast("int")))
+        self.derived, self.parts, self.step = {}, {}, SETUP
+        self.pending.append(("points", self.n_points))
+        self._save(SETUP, base=rows.withColumn("value", F.lit(None).cast("int")))
+        self._load()
+
+    def resume(
+        self, n_points: int | None, cycle: int, step: int, store: ChangeStore | None = None
+    ) -> "CurationLoop":
+        """Continue from a stored state, with the models, scores and counters it had.
+
+        ``proceed`` or the next step function takes it from there. With the ``store`` of another
+        run's folder its states stay as they are, and this run's own store starts from there; in its own
+        store, what the run had beyond that state is superseded. ``n_points`` may be None.
+        """
+        run, source = self.settings.run, store or self.store
+        entries = source.journal.until(run, cycle, step)
+        self.cycle, self.step = cycle, step
+        self.parts = source.parts(run, cycle, step)
+        if source is self.store:
+            self.store.journal.append([Entry(run, cycle, step, RESUMED, None)])
+        else:
+            self.store.journal.append(entries)
+        self.scores, self.stats, self.history = [], [], []
+        self.lost_folders, self.predicted_folders, self.counts = [], {}, {}
+        self.segmenter_model = self.discriminator_model = None
+        self.n_points = n_points
+        for e in entries:
+            if e.kind == "points" and n_points is None:
+                self.n_points = e.payload
+            elif e.kind in ("scores", "stats", "history"):
+                getattr(self, e.kind).append(tuple(e.payload))
+            elif e.kind == "lost":
+                self.lost_folders.append(e.payload)
+            elif e.kind == "predictions":
+                self.predicted_folders[e.cycle] = e.payload
+            elif e.kind == "counts" and e.cycle == cycle:
+                self.counts = dict(e.payload)
+            elif e.kind in ("segmenter", "discriminator"):
+                setattr(self, f"{e.kind}_model", learners.restore_model(e.payload))
+        self._load()
+        return self
 
-    def resume(self, n_points: int, cycle: int, step: int, store: SnapshotStore | None = None) -> None:
-        """Continue from a stored state; the next step function called takes it from there."""
-        self.n_points, self.cycle = n_points, cycle
-        self._load((store or self.store).load(self.settings.run, cycle, step))
+    def _model(self, role: str):
+        model = getattr(self, f"{role}_model")
+        if model is None:
+            raise ValueError(f"there is no {role} model: its class could not be stored; set {role}_model")
+        return model
+
+    def _remember_model(self, role: str, model) -> None:
+        setattr(self, f"{role}_model", model)
+        self.pending.append((role, learners.describe_model(model, f"{self.path}/models")))
+        self._remember(model.history)
 
     def run_segmenter(self) -> None:
-        """Fit on A_train with A_val, predict A_test, score the prediction."""
+        """Fit on A_train with A_val, predict A_test, keep the predicted masks and score them."""
+        self.counts = {}
         model = learners.make_segmenter(self.segmenter).fit(
             self._pixels("A_train"), self._pixels("A_val")
         )
-        self.segmenter_model = model
-        self._remember(model.history)
-
-        predicted = model.transform(self._pixels("A_test"))
-        sums = ev.pixel_sums(predicted, "point_id", pred="prob")
+        self._remember_model("segmenter", model)
+
+        # One pass over the pixels: packed masks, and the sums that scores are made of.
+        folder = f"{self.path}/predictions/{uuid.uuid4().hex}"
+        masks.reduce_predictions(model.transform(self._pixels("A_test"))).write.parquet(folder)
+        self.predicted_folders[self.cycle] = folder
+        self.pending.append(("predictions", folder))
+        sums = self._predicted(self.cycle).select("point_id", "n", "tp", "st", "sp", "bce")
         places = position_index(self.collection("A_test")).select("point_id", "idx")
         score = ev.evaluate_segmenter(
             sums.join(places, "point_id"), self.settings.eval_batch, self.loss, self.metric
@@ -201,18 +301,27 @@ class CurationLoop:
 
         self._derive(PREDICTED, self.sizes.get("A_test", 0), A_test_pred=self.collection("A_test"))
 
+    def _predicted(self, cycle: int) -> DataFrame:
+        return self.spark.read.schema(masks.PREDICTION_SCHEMA).parquet(self.predicted_folders[cycle])
+
+    def predicted_masks(self, cycle: int | None = None) -> DataFrame:
+        """(cycle, point_id, pos, h, w, mask, …sums) of A_test_pred of one or all cycles; ``mask`` is packed.
+
+        ``functions.masks.unpack_mask`` gives its pixels.
+        """
+        cycles = sorted(self.predicted_folders) if cycle is None else [cycle]
+        frames = [self._predicted(c).withColumn("cycle", F.lit(c)) for c in cycles]
+        if not frames:
+            return self.spark.createDataFrame([], f"{masks.PREDICTION_SCHEMA}, cycle int")
+        return reduce(DataFrame.unionByName, frames)
+
     def build_c(self) -> None:
         """C: predicted masks (label 1) and expert masks (label 0), shuffled and sliced."""
+        if self.step != BUILT_C:
+            self._shuffle_c()
         s = self.settings
         sizes = splits.c_part_sizes(self.n_points, s.weights, s.c_ratios)
-        n_machine, n_expert = self.sizes.get("A_test", 0), self.sizes.get("B", 0)
-        unordered = cur.build_c(
-            self.collection("A_test_pred"), self.collection("B"), n_machine, n_expert, s.strict
-        )
-        # Written once: the order is read by three slices and the judging below.
-        shuffled = self._work("c", cur.shuffle_c(unordered, self.cycle, s.seed))
-        total = n_machine + n_expert
-        self._derive(BUILT_C, total, C=shuffled)
+        shuffled, total = self.collection("C"), self.sizes["C"]
         start, parts = 0, {}
         for name, size in zip(("C_train", "C_val", "C_test"), sizes):
             inside = (F.col("ord") >= start) & (F.col("ord") < start + size)
@@ -221,40 +330,47 @@ class CurationLoop:
             start += size
         self._derive(SPLIT_C, **parts)
 
+    def _shuffle_c(self) -> None:
+        s = self.settings
+        n_machine, n_expert = self.sizes.get("A_test", 0), self.sizes.get("B", 0)
+        unordered = cur.build_c(
+            self.collection("A_test_pred"), self.collection("B"), n_machine, n_expert, s.strict
+        )
+        # Written once: the order is read by three slices and the judging below.
+        shuffled = self._work("c", cur.shuffle_c(unordered, self.cycle, s.seed))
+        self._derive(BUILT_C, n_machine + n_expert, C=shuffled)
+
     def _pairs(self, name: str) -> DataFrame:
         """(image, mask, label) of a part of C; the mask is the prediction on the machine side."""
         rows = self._attach(
             name, self.collection(name).select("point_id", F.col("value").alias("label"))
         )
         machine = F.col("label") == cur.MACHINE
+        # The prediction is made from the untouched image, in the same pass.
+        rows = self._model("segmenter").transform(rows).withColumnRenamed("mask", "_mask")
         if self.settings.machine_uint8:
             whole = a.to_uint8("image").cast(dict(rows.dtypes)["image"])
             rows = rows.withColumn("image", F.when(machine, whole).otherwise(F.col("image")))
-            # The prediction was made from the untouched image.
-            untouched = self._attach(name, self.collection(name).select("point_id"))
-            predicted = self.segmenter_model.transform(untouched).select(
-                "point_id", F.col("mask").alias("_mask")
-            )
-            rows = rows.join(predicted, "point_id")
-        else:
-            rows = self.segmenter_model.transform(rows).withColumnRenamed("mask", "_mask")
         mask = F.when(machine, F.col("_mask")).otherwise(F.col("truth").cast("array<double>"))
         return rows.select("point_id", "h", "w", "image", mask.alias("mask"), "label")
 
     def run_discriminator(self) -> None:
         """Build C, train the discriminator the first time, judge every row of C_test."""
-        self.build_c()
-        if self.discriminator_model is None:
-            choice = self.discriminator
-            if isinstance(choice, str):
-                cut = getattr(self.segmenter_model, "cut", 0.5)
-                choice = learners.make_discriminator(choice, cut=cut)
-            self.discriminator_model = choice.fit(self._pairs("C_train"), self._pairs("C_val"))
-            self._remember(self.discriminator_model.history)
-        self._derive(TRAINED)
+        begun = self.step if PREDICTED <= self.step < JUDGED else PREDICTED
+        if begun < SPLIT_C:
+            self.build_c()
+        if begun < TRAINED:
+            if self.discriminator_model is None:
+                choice = self.discriminator
+                if isinstance(choice, str):
+                    cut = getattr(self._model("segmenter"), "cut", 0.5)
+                    choice = learners.make_discriminator(choice, cut=cut)
+                model = choice.fit(self._pairs("C_train"), self._pairs("C_val"))
+                self._remember_model("discriminator", model)
+            self._derive(TRAINED)
 
         # Written once: the verdicts cost a pass over the pixels of C_test.
-        judged = self._work("verdicts", self.discriminator_model.transform(self._pairs("C_test")))
+        judged = self._work("verdicts", self._model("discriminator").transform(self._pairs("C_test")))
         self._score("discriminator", ev.evaluate_classes(judged))
         verdicts = judged.select("point_id", F.col("verdict").alias("value"))
         placed = self.collection("C_test").select("point_id", "ord").join(verdicts, "point_id")
@@ -265,7 +381,9 @@ class CurationLoop:
         verdicts = self.collection("C_test_pred").select("point_id", F.col("value").alias("verdict"))
         found = self._work("d", cur.machine_labels(self.collection("C_test"), verdicts))
         count = found.count()
+        self.counts = {"found": count}
         if count:
+            self.pending.append(("counts", self.counts))
             self._derive(FOUND, count, D=found)
         return count
 
@@ -278,33 +396,15 @@ class CurationLoop:
         counts = dict(selected=0, lost=0, removed=0, filled=0, transferred=0)
         if not self.sizes.get("D"):
             return counts
-        selected = self._work(
-            "selected",
-            cur.select_for_relabel(
-                self.collection("D"), self.base, s.percent_to_replace, self.cycle, s.seed
-            ),
-        )
-        # One row per origin.
-        origins = {
-            r["origin"]: r["n"]
-            for r in selected.groupBy("origin").agg(F.count("*").alias("n")).collect()
-        }
-        counts["lost"] = origins.get(None, 0)
-        counts["selected"] = sum(origins.values())
-        n_moved = counts["selected"] - counts["lost"]
-        if s.fillup and n_moved > self.sizes.get("Z", 0):
-            raise ValueError(f"Z holds {self.sizes.get('Z', 0)} points, {n_moved} are needed")
-        if counts["lost"]:
-            lost = cur.lost_points(selected).select(
-                F.lit(s.run).alias("run"), F.lit(self.cycle).alias("cycle"), "point_id"
-            )
-            self._lost = lost if self._lost is None else self._lost.unionByName(lost)
-            kept = selected.filter(F.col("origin").isNotNull())
-            ranked = position_index(kept, "idx", "rank")
+        if self.step == RELABELED and "origins" in self.counts:
+            # Stored with the sample; the places of the sample give the order of moves.
+            sample = self.collection("D_relabeled")
+            ranked = cur.with_origin(sample.select("point_id", "value", F.col("ord").alias("rank")), self.base)
         else:
-            ranked = selected.withColumn("rank", F.col("idx"))
-
-        self._derive(RELABELED, n_moved, D_relabeled=ranked.withColumn("ord", F.col("rank")))
+            ranked = self._select_sample()
+        origins, lost = self.counts["origins"], self.counts["lost"]
+        n_moved = sum(origins.values())
+        counts["lost"], counts["selected"] = lost, n_moved + lost
 
         moves = cur.relabel_moves(ranked)
         counts["removed"] = n_moved
@@ -314,6 +414,7 @@ class CurationLoop:
             )
             counts["filled"] = n_moved
         base = reg.move(self.base, moves, strict=False, may_collide=False)
+        touched = [moves]
 
         if s.balance:
             after = {name: self.sizes.get(name, 0) for name in cur.BALANCED}
@@ -327,9 +428,44 @@ class CurationLoop:
                 base = self._work("refilled", base)
                 picks = cur.balance_moves(base, plan, self.cycle, s.seed)
                 base = reg.move(base, picks, strict=False, may_collide=False)
-        self._rebase(UPDATED, base)
+                touched.append(picks)
+        self._rebase(base, touched)
         return counts
 
+    def _select_sample(self) -> DataFrame:
+        """Sample D, find origins, note the lost ones, register D_relabeled: (point_id, value, rank, origin)."""
+        s = self.settings
+        selected = self._work(
+            "selected",
+            cur.select_for_relabel(
+                self.collection("D"), self.base, s.percent_to_replace, self.cycle, s.seed
+            ),
+        )
+        # One row per origin.
+        origins = {
+            r["origin"]: r["n"]
+            for r in selected.groupBy("origin").agg(F.count("*").alias("n")).collect()
+        }
+        lost = origins.pop(None, 0)
+        n_moved = sum(origins.values())
+        if s.fillup and n_moved > self.sizes.get("Z", 0):
+            raise ValueError(f"Z holds {self.sizes.get('Z', 0)} points, {n_moved} are needed")
+        self.counts |= {"origins": origins, "lost": lost}
+        if lost:
+            rows = cur.lost_points(selected).select(
+                F.lit(s.run).alias("run"), F.lit(self.cycle).alias("cycle"), "point_id"
+            )
+            folder = f"{self.path}/lost/{uuid.uuid4().hex}"
+            rows.write.parquet(folder)
+            self.lost_folders.append(folder)
+            self.pending.append(("lost", folder))
+            ranked = position_index(selected.filter(F.col("origin").isNotNull()), "idx", "rank")
+        else:
+            ranked = selected.withColumn("rank", F.col("idx"))
+        self.pending.append(("counts", self.counts))
+        self._derive(RELABELED, n_moved, D_relabeled=ranked.withColumn("ord", F.col("rank")))
+        return ranked
+
     def relabeled_pixels(self) -> DataFrame:
         """D_relabeled with pixels: image, label, and the mask drawn by hand or the truth."""
         rows = self._attach(
@@ -346,16 +482,25 @@ class CurationLoop:
     def run(self, runs: int = 1) -> "CurationLoop":
         """Set up and run up to ``runs`` cycles."""
         self.setup_data()
-        for cycle in range(1, runs + 1):
+        return self.proceed(runs)
+
+    def proceed(self, runs: int) -> "CurationLoop":
+        """Go on from the step reached, in the middle of a cycle or between two, to the end of cycle ``runs``."""
+        between = self.step in (SETUP, UPDATED)
+        for cycle in range(self.cycle + between, runs + 1):
             started = time.time()
-            self.cycle = cycle
-            self.run_segmenter()
-            self.run_discriminator()
-            found = self.find_machine_labels()
+            if self.step in (SETUP, UPDATED):
+                self.cycle = cycle
+                self.run_segmenter()
+            if self.step < JUDGED:
+                self.run_discriminator()
+            found = self.counts["found"] if self.step >= FOUND else self.find_machine_labels()
             if found == 0 and self.settings.stop_on_empty:
                 self._note(found, {}, started)
                 break
-            self._note(found, self.relabel(), started)
+            counts = self.relabel()
+            self.step = UPDATED
+            self._note(found, counts, started)
         return self
 
     # --- results ----------------------------------------------------------------------------
@@ -363,14 +508,19 @@ class CurationLoop:
     def _score(self, model: str, row: DataFrame) -> None:
         first = row.collect()[0]
         self.scores.append((self.settings.run, self.cycle, model, first["loss"], first["metric"]))
+        self.pending.append(("scores", self.scores[-1]))
 
     def _remember(self, history: list[tuple]) -> None:
-        self.history.extend((self.settings.run, self.cycle, *row) for row in history)
+        rows = [(self.settings.run, self.cycle, *row) for row in history]
+        self.history.extend(rows)
+        self.pending.extend(("history", row) for row in rows)
 
     def _note(self, found: int, counts: dict[str, int], started: float) -> None:
         keys = ("selected", "lost", "removed", "filled", "transferred")
         row = (self.settings.run, self.cycle, found, *(counts.get(k, 0) for k in keys))
         self.stats.append((*row, time.time() - started))
+        self.pending.append(("stats", self.stats[-1]))
+        self.store.journal.append(self._entries(self.step))
 
     def scores_table(self) -> DataFrame:
         return self.spark.createDataFrame(self.scores, SCORES_SCHEMA)
@@ -382,13 +532,14 @@ class CurationLoop:
         return self.spark.createDataFrame(self.history, HISTORY_SCHEMA)
 
     def lost_table(self) -> DataFrame:
-        if self._lost is None:
-            return self.spark.createDataFrame([], "run string, cycle int, point_id string")
-        return self._lost
+        schema = "run string, cycle int, point_id string"
+        if not self.lost_folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*self.lost_folders)
 
     def predictions(self, num_samples: int = 100) -> DataFrame:
         """Image, truth and predicted mask of the first points by position."""
         first = self.points.filter(F.col("pos") < num_samples)
-        return self.segmenter_model.transform(first).select(
+        return self._model("segmenter").transform(first).select(
             "point_id", "pos", "h", "w", "image", "truth", "mask"
         )
