@@ -10,6 +10,7 @@ from maskloom.catalog.common import (
     SQL_POINTS, SQL_PX, images, order_points, query, r6, sql_double, sql_key, sql_share, table,
 )
 from maskloom.catalog.split_queries import SQL_SETUP
+from maskloom.functions import masks
 from maskloom.functions import metrics as m
 from maskloom.operators import curation as cur
 from maskloom.operators import evaluate as ev
@@ -17,7 +18,9 @@ from maskloom.operators import registry as reg
 from maskloom.operators import splits
 from maskloom.operators.sampling import draw_one
 from maskloom.plans import experiments, learners
-from maskloom.plans.loop import JUDGED, UPDATED, CurationLoop, LoopSettings
+from maskloom.plans.loop import (
+    BUILT_C, FOUND, JUDGED, PREDICTED, RELABELED, SETUP, SPLIT_C, TRAINED, UPDATED, CurationLoop, LoopSettings,
+)
 from maskloom.session import cut_lineage, shared_dir
 from maskloom.sources import tables
 
@@ -350,11 +353,12 @@ def mllib_discriminator(spark, folder):
 # --- whole runs -----------------------------------------------------------------------------
 
 
-def _loop(spark, folder, **settings) -> CurationLoop:
+def _loop(spark, folder, path=None, **settings) -> CurationLoop:
     return CurationLoop(
         images(spark, folder).select("point_id", "pos", "h", "w", "image", "truth"),
         LoopSettings(**settings),
         segmenter=learners.ThresholdSegmenter(**GRID),
+        path=path,
     )
 
 
@@ -472,6 +476,121 @@ def loop_resume(spark, folder):
     return again.base.select("collection", "point_id", "ord")
 
 
+def _sql_counts(cycle: int, suffix: str) -> str:
+    """Counters of a cycle as rows (kind, name, id, value)."""
+    return f"""
+  UNION ALL SELECT 'count', 'machine_labels', '{cycle}', (SELECT count(*) FROM d{suffix})::DOUBLE
+  UNION ALL SELECT 'count', 'selected', '{cycle}', count(*)::DOUBLE FROM selected{suffix}
+  UNION ALL SELECT 'count', 'lost', '{cycle}', count(*) FILTER (WHERE origin IS NULL)::DOUBLE FROM selected{suffix}
+  UNION ALL SELECT 'count', 'filled', '{cycle}', count(*)::DOUBLE FROM fills{suffix}
+  UNION ALL SELECT 'metric', model, cycle::VARCHAR, round(metric, 6) FROM scores{suffix}
+  UNION ALL SELECT 'loss', model, cycle::VARCHAR, round(loss, 6) FROM scores{suffix}"""
+
+
+SQL_RESUMED = f"""WITH {SQL_TWO}
+  SELECT 'member' AS kind, collection AS name, point_id AS id, ord::DOUBLE AS value FROM updated2
+  {_sql_counts(1, '')} {_sql_counts(2, '2')}"""
+
+
+def _resumed(spark, folder, step: int):
+    """Two cycles, left after a step of the first one and continued by another object.
+
+    Odd steps are continued in the run's own store, even ones in a new folder.
+    """
+    loop = _loop(spark, folder, store_after_each_step=True)
+    if step == SETUP:
+        loop.setup_data()
+    else:
+        loop.run(1, until=step)
+    again = _loop(spark, folder, loop.path if step % 2 else None)
+    again.resume(None, loop.cycle, step, None if step % 2 else loop.store).proceed(2)
+    members = again.base.select(
+        F.lit("member").alias("kind"), F.col("collection").alias("name"), F.col("point_id").alias("id"),
+        F.col("ord").cast("double").alias("value"),
+    )
+    cycle = F.col("cycle").cast("string")
+    counters = again.stats_table()
+    lost = again.lost_table().groupBy("cycle").agg(F.count("*").alias("n_lost"))
+    counters = counters.join(lost, "cycle", "left").withColumn("lost", F.coalesce("n_lost", F.lit(0)))
+    rows = members
+    for name in ("machine_labels", "selected", "lost", "filled"):
+        rows = rows.unionByName(counters.select(
+            F.lit("count").alias("kind"), F.lit(name).alias("name"), cycle.alias("id"),
+            F.col(name).cast("double").alias("value"),
+        ))
+    for name in ("metric", "loss"):
+        rows = rows.unionByName(again.scores_table().select(
+            F.lit(name).alias("kind"), F.col("model").alias("name"), cycle.alias("id"), r6(name).alias("value"),
+        ))
+    return rows
+
+
+@query(SQL_RESUMED)
+def loop_resume_setup(spark, folder):
+    """Two cycles continued after the set-up."""
+    return _resumed(spark, folder, SETUP)
+
+
+@query(SQL_RESUMED)
+def loop_resume_predicted(spark, folder):
+    """Two cycles continued after the prediction."""
+    return _resumed(spark, folder, PREDICTED)
+
+
+@query(SQL_RESUMED)
+def loop_resume_built_c(spark, folder):
+    """Two cycles continued after C was built and shuffled."""
+    return _resumed(spark, folder, BUILT_C)
+
+
+@query(SQL_RESUMED)
+def loop_resume_split_c(spark, folder):
+    """Two cycles continued after C was cut into its parts."""
+    return _resumed(spark, folder, SPLIT_C)
+
+
+@query(SQL_RESUMED)
+def loop_resume_trained(spark, folder):
+    """Two cycles continued after the discriminator was trained."""
+    return _resumed(spark, folder, TRAINED)
+
+
+@query(SQL_RESUMED)
+def loop_resume_judged(spark, folder):
+    """Two cycles continued after C_test was judged."""
+    return _resumed(spark, folder, JUDGED)
+
+
+@query(SQL_RESUMED)
+def loop_resume_found(spark, folder):
+    """Two cycles continued after D was found."""
+    return _resumed(spark, folder, FOUND)
+
+
+@query(SQL_RESUMED)
+def loop_resume_relabeled(spark, folder):
+    """Two cycles continued after the sample was relabelled, before it moved."""
+    return _resumed(spark, folder, RELABELED)
+
+
+@query(SQL_RESUMED)
+def loop_resume_updated(spark, folder):
+    """Two cycles continued between them."""
+    return _resumed(spark, folder, UPDATED)
+
+
+@query(f"""WITH {SQL_TWO}, p AS (
+    SELECT 1 AS cycle, point_id, cut FROM members, model WHERE collection = 'A_test'
+    UNION ALL SELECT 2, point_id, cut FROM updated, model2 WHERE collection = 'A_test')
+  SELECT cycle, pos, i, (x >= cut)::INTEGER::DOUBLE AS v FROM p JOIN px USING (point_id)""")
+def stored_predictions(spark, folder):
+    """Predicted masks of A_test in two cycles, read back from their packed bits."""
+    stored = _loop(spark, folder).run(2).predicted_masks()
+    mask = masks.unpack_mask("mask", F.col("h") * F.col("w"))
+    long = stored.select("cycle", "pos", mask.alias("pixels")).select("cycle", "pos", F.posexplode("pixels").alias("i", "v"))
+    return long.select("cycle", "pos", F.col("i").cast("bigint").alias("i"), "v")
+
+
 @query(f"""WITH {SQL_LOOP}, {_sql_metrics(1, 'members', '')}
   SELECT cycle, model, round(loss, 6) AS loss, round(metric, 6) AS metric FROM scores""")
 def loop_scores(spark, folder):

@@ -354,11 +354,20 @@ class CurationLoop:
         mask = F.when(machine, F.col("_mask")).otherwise(F.col("truth").cast("array<double>"))
         return rows.select("point_id", "h", "w", "image", mask.alias("mask"), "label")
 
-    def run_discriminator(self) -> None:
-        """Build C, train the discriminator the first time, judge every row of C_test."""
+    def run_discriminator(self, until: int = JUDGED) -> None:
+        """Build C, train the discriminator the first time, judge every row of C_test.
+
+        Goes on from the step reached, as far as ``until``.
+        """
         begun = self.step if PREDICTED <= self.step < JUDGED else PREDICTED
+        if begun < BUILT_C:
+            self._shuffle_c()
+            if until == BUILT_C:
+                return
         if begun < SPLIT_C:
             self.build_c()
+            if until == SPLIT_C:
+                return
         if begun < TRAINED:
             if self.discriminator_model is None:
                 choice = self.discriminator
@@ -368,6 +377,8 @@ class CurationLoop:
                 model = choice.fit(self._pairs("C_train"), self._pairs("C_val"))
                 self._remember_model("discriminator", model)
             self._derive(TRAINED)
+            if until == TRAINED:
+                return
 
         # Written once: the verdicts cost a pass over the pixels of C_test.
         judged = self._work("verdicts", self._model("discriminator").transform(self._pairs("C_test")))
@@ -387,7 +398,7 @@ class CurationLoop:
             self._derive(FOUND, count, D=found)
         return count
 
-    def relabel(self) -> dict[str, int]:
+    def relabel(self, until: int = UPDATED) -> dict[str, int]:
         """Sample D, find origins, move the sample to A_train, refill from Z, balance.
 
         Returns the counters of the cycle. Without a D nothing happens.
@@ -405,6 +416,8 @@ class CurationLoop:
         origins, lost = self.counts["origins"], self.counts["lost"]
         n_moved = sum(origins.values())
         counts["lost"], counts["selected"] = lost, n_moved + lost
+        if until == RELABELED:
+            return counts
 
         moves = cur.relabel_moves(ranked)
         counts["removed"] = n_moved
@@ -479,26 +492,33 @@ class CurationLoop:
             mask = F.coalesce(F.col("_by_hand"), mask)
         return rows.select("point_id", "h", "w", "image", mask.alias("mask"), "label")
 
-    def run(self, runs: int = 1) -> "CurationLoop":
-        """Set up and run up to ``runs`` cycles."""
+    def run(self, runs: int = 1, until: int = UPDATED) -> "CurationLoop":
+        """Set up and run up to ``runs`` cycles, the last one as far as the step ``until``."""
         self.setup_data()
-        return self.proceed(runs)
+        return self.proceed(runs, until)
 
-    def proceed(self, runs: int) -> "CurationLoop":
-        """Go on from the step reached, in the middle of a cycle or between two, to the end of cycle ``runs``."""
+    def proceed(self, runs: int, until: int = UPDATED) -> "CurationLoop":
+        """Go on from the step reached, in the middle of a cycle or between two, to ``until`` of cycle ``runs``."""
         between = self.step in (SETUP, UPDATED)
         for cycle in range(self.cycle + between, runs + 1):
             started = time.time()
+            last = until if cycle == runs else UPDATED
             if self.step in (SETUP, UPDATED):
                 self.cycle = cycle
                 self.run_segmenter()
-            if self.step < JUDGED:
-                self.run_discriminator()
+            if self.step < min(last, JUDGED):
+                self.run_discriminator(last)
+            if self.step >= last:
+                break
             found = self.counts["found"] if self.step >= FOUND else self.find_machine_labels()
             if found == 0 and self.settings.stop_on_empty:
                 self._note(found, {}, started)
                 break
-            counts = self.relabel()
+            if self.step >= last:
+                break
+            counts = self.relabel(last)
+            if last < UPDATED:
+                break
             self.step = UPDATED
             self._note(found, counts, started)
         return self
