@@ -7,7 +7,9 @@ never share one.
 from __future__ import annotations
 
 import json
+import os
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -37,6 +39,8 @@ class NumberedFiles:
     def create(self, number: int, text: str) -> bool:
         """Write the file of a number; False if somebody has it already."""
         path = self._path(f"{self.folder}/{number:012d}.json")
+        if self._fs.getScheme() == "file":
+            return self._link(path.toUri().getPath(), text)
         try:
             out = self._fs.create(path, False)
         except Py4JJavaError as error:
@@ -47,6 +51,21 @@ class NumberedFiles:
         out.close()
         return True
 
+    def _link(self, path: str, text: str) -> bool:
+        """As ``create`` on a mounted folder, where Hadoop's own creation looks first and writes then."""
+        folder, name = os.path.split(path)
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(draft, path)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+
     def claim(self, text: str = "{}", lowest: bool = False) -> int:
         """Take the number after the last one, or the ``lowest`` free one, and write its file."""
         while True:

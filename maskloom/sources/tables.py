@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,12 +125,23 @@ def first_free_version(artifacts: DataFrame, name: str = "name", version: str =
 
 
 def write_version(df: DataFrame, path: str) -> int:
-    """Write under the first free ``version=`` folder of ``path`` and return its number."""
+    """Write under the first free ``version=`` folder of ``path`` and return its number.
+
+    The number is claimed before anything is written, so two writers never take the same one.
+    """
+    from maskloom.sources.journal import NumberedFiles
+
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    number = 0
-    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number}")):
-        number += 1
+    path = path.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    # Spark's readers skip folders that begin with an underscore.
+    claims = NumberedFiles(spark, f"{path}/_versions")
+    if fs.exists(hadoop(path)):
+        names = (entry.getPath().getName() for entry in fs.listStatus(hadoop(path)))
+        known = {int(name.removeprefix("version=")) for name in names if re.fullmatch(r"version=\d+", name)}
+        for number in known - set(claims.taken()):
+            claims.create(number, "{}")
+    number = claims.claim(lowest=True)
     df.write.mode("errorifexists").parquet(f"{path}/version={number}")
     return number
