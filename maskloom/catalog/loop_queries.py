@@ -19,7 +19,7 @@ from maskloom.operators import splits
 from maskloom.operators.sampling import draw_one
 from maskloom.plans import experiments, learners
 from maskloom.plans.loop import (
-    BUILT_C, FOUND, JUDGED, PREDICTED, RELABELED, SETUP, SPLIT_C, TRAINED, UPDATED, CurationLoop, LoopSettings,
+    BASE, BUILT_C, FOUND, JUDGED, PREDICTED, RELABELED, SETUP, SPLIT_C, TRAINED, UPDATED, CurationLoop, LoopSettings,
 )
 from maskloom.session import cut_lineage, shared_dir
 from maskloom.sources import tables
@@ -181,39 +181,51 @@ def lost_points(spark, folder):
 
 
 def _sql_balance(before: str, state: str) -> str:
-    """Sizes simulated one move at a time, and where the points of the three sets end up.
+    """Which points of A_train, B and A_test change places, by the cases of the rule.
 
-    ``before`` gives the sizes (tr, b, te). B and A_test are the donors here, A_train receives.
+    ``before`` gives the sizes (tr, b, te). A donor keeps one more than the third; with two sets
+    above it both give to the smallest, else the middle one is filled first.
     """
-    return f"""before AS ({before}), goal AS (SELECT (tr + b + te) // 3 AS t FROM before),
-  sim AS (
-    SELECT 0 AS step, list_sort([{{'s': -tr, 'p': 0, 'k': 'A_train'}}, {{'s': -b, 'p': 1, 'k': 'B'}},
-                                 {{'s': -te, 'p': 2, 'k': 'A_test'}}]) AS l FROM before
-    UNION ALL
-    SELECT step + 1, list_sort([
-      {{'s': l[1].s + 1, 'p': 0, 'k': l[1].k}},
-      {{'s': l[2].s - CASE WHEN -l[2].s < t THEN 1 ELSE 0 END, 'p': 1, 'k': l[2].k}},
-      {{'s': l[3].s - CASE WHEN -l[2].s < t THEN 0 ELSE 1 END, 'p': 2, 'k': l[3].k}}])
-    FROM sim, goal WHERE -l[1].s > t + 1 AND (-l[2].s <> t OR -l[3].s <> t)),
-  final AS (SELECT unnest(arg_max(l, step)) AS e FROM sim),
-  sizes AS (SELECT e.k AS collection, -e.s AS size FROM final),
-  ranked AS (
-    SELECT collection, point_id, count(*) OVER (PARTITION BY collection) AS total,
-           row_number() OVER (PARTITION BY collection ORDER BY {sql_key('balance1')}, point_id) AS place
+    return f"""bal_before AS ({before}),
+  bal_set AS (
+    SELECT *, row_number() OVER (ORDER BY size DESC, place) AS r FROM (
+      SELECT 'A_train' AS name, tr AS size, 0 AS place FROM bal_before
+      UNION ALL SELECT 'B', b, 1 FROM bal_before UNION ALL SELECT 'A_test', te, 2 FROM bal_before)),
+  bal_three AS (
+    SELECT max(name) FILTER (WHERE r = 1) AS big, max(name) FILTER (WHERE r = 2) AS mid,
+           max(name) FILTER (WHERE r = 3) AS low, max(size) FILTER (WHERE r = 2) AS n_mid,
+           max(size) FILTER (WHERE r = 3) AS n_low, sum(size) // 3 AS third,
+           greatest(0, max(size) FILTER (WHERE r = 1) - sum(size) // 3 - 1) AS spare_big,
+           greatest(0, max(size) FILTER (WHERE r = 2) - sum(size) // 3 - 1) AS spare_mid FROM bal_set),
+  bal_plan AS (
+    SELECT big AS donor, low AS receiver, 0 AS low_idx, spare_big AS end_idx, 1 AS r FROM bal_three WHERE n_mid > third
+    UNION ALL SELECT mid, low, 0, spare_mid, 2 FROM bal_three WHERE n_mid > third
+    UNION ALL SELECT big, mid, 0, least(third - n_mid, spare_big), 1 FROM bal_three WHERE n_mid <= third
+    UNION ALL SELECT big, low, least(third - n_mid, spare_big),
+                     least(third - n_mid + third - n_low, spare_big), 1 FROM bal_three WHERE n_mid <= third),
+  bal_donor AS (
+    SELECT donor, row_number() OVER (ORDER BY min(r)) - 1 AS number, count(*) OVER () AS donors
+    FROM bal_plan WHERE end_idx > low_idx GROUP BY donor),
+  bal_ranked AS (
+    SELECT collection, point_id, ord,
+           row_number() OVER (PARTITION BY collection ORDER BY {sql_key('balance1')}, point_id) - 1 AS idx
     FROM {state} WHERE collection IN ('A_train', 'B', 'A_test')),
+  bal_top AS (SELECT collection AS receiver, max(ord) AS top FROM {state} GROUP BY collection),
   balanced AS (
-    SELECT CASE WHEN place <= total - size THEN 'A_train' ELSE collection END AS collection, point_id
-    FROM ranked JOIN sizes USING (collection))"""
+    SELECT coalesce(receiver, collection) AS collection, point_id,
+           CASE WHEN receiver IS NULL THEN ord ELSE top + 1 + idx * donors + number END AS ord
+    FROM bal_ranked LEFT JOIN bal_plan ON bal_plan.donor = collection AND idx >= low_idx AND idx < end_idx
+    LEFT JOIN bal_donor ON bal_donor.donor = collection LEFT JOIN bal_top USING (receiver))"""
 
 
-@query(f"""WITH RECURSIVE {SQL_POINTS}, {SQL_SETUP}, {_sql_balance('SELECT tr, b, te FROM sz', 'members')}
-  SELECT collection, point_id FROM balanced""")
+@query(f"""WITH {SQL_POINTS}, {SQL_SETUP}, {_sql_balance('SELECT tr, b, te FROM sz', 'members')}
+  SELECT collection, point_id, ord FROM balanced""")
 def rebalance(spark, folder):
     """A_train, B and A_test brought towards equal sizes."""
     _, _, members, sizes = _state(spark, folder)
     plan = cur.balance_plan({name: sizes[name] for name in cur.BALANCED})
     moved = reg.move(members, cur.balance_moves(members, plan, 1))
-    return moved.filter(F.col("collection").isin(*cur.BALANCED)).select("collection", "point_id")
+    return moved.filter(F.col("collection").isin(*cur.BALANCED)).select("collection", "point_id", "ord")
 
 
 @query(f"""WITH {SQL_POINTS}, {SQL_SETUP}, pick AS (
@@ -642,12 +654,23 @@ _SIZES = ", ".join(
 )
 
 
-@query(f"""WITH RECURSIVE {SQL_LOOP}, {_sql_balance(f'SELECT {_SIZES} FROM updated', 'updated')}
-  SELECT collection, point_id FROM balanced
-  UNION ALL SELECT collection, point_id FROM updated WHERE collection IN ('A', 'A_val', 'Z')""")
+@query(f"""WITH {SQL_LOOP}, {_sql_balance(f'SELECT {_SIZES} FROM updated', 'updated')}
+  SELECT collection, point_id, ord FROM balanced
+  UNION ALL SELECT collection, point_id, ord FROM updated WHERE collection IN ('A', 'A_val', 'Z')""")
 def loop_balanced(spark, folder):
     """Membership after one cycle with balancing."""
-    return _loop(spark, folder, balance=True).run(1).base.select("collection", "point_id")
+    return _loop(spark, folder, balance=True).run(1).base.select("collection", "point_id", "ord")
+
+
+@query(f"""WITH {SQL_TWO}
+  SELECT 2 AS cycle, collection, point_id, ord FROM updated2
+  UNION ALL SELECT 1, collection, point_id, ord FROM updated
+  UNION ALL SELECT 0, collection, point_id, ord FROM members""")
+def state_changes(spark, folder):
+    """Base collections of every stored state of two cycles, merged from the log of changes."""
+    loop = _loop(spark, folder).run(2)
+    base = loop.store.all().filter(F.col("collection").isin(*BASE))
+    return base.select("cycle", "collection", "point_id", "ord")
 
 
 @query(f"""WITH {SQL_TWO}, {_sql_states(1, 'members', '')}, {_sql_states(2, 'updated', '2')}
