@@ -19,7 +19,7 @@ from maskloom.operators.index import position_index, random_index
 
 @dataclass(frozen=True)
 class Weights:
-    """Shares of the data set (A, B, Z) and of the parts of A and B."""
+    """Shares of the data set (A, B, Z) and of the parts of A and B; the defaults are fixed values."""
 
     A: float = 0.5
     A_train: float = 0.1
