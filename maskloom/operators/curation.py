@@ -30,14 +30,32 @@ def attach(points: DataFrame, members: DataFrame, n_members: int) -> DataFrame:
     """Pixels of the members.
 
     A membership known to be small is broadcast, so that pixels are filtered where they are read.
-    Past ``BROADCAST_ROWS`` it is a plain join: on a table bucketed by point id that shuffles the
-    membership only.
+    Past ``BROADCAST_ROWS`` a table in chunks is joined by chunk, which moves no pixels; any other
+    one is a plain join, which on a table bucketed by point id shuffles the membership only.
     """
     if n_members <= BROADCAST_ROWS:
-        members = F.broadcast(members)
+        return points.join(F.broadcast(members), "point_id")
+    if "chunk" in points.columns:
+        return _attach_by_chunk(points, members)
     return points.join(members, "point_id")
 
 
+def _attach_by_chunk(points: DataFrame, members: DataFrame) -> DataFrame:
+    """Members are gathered into a row per chunk, at most ``CHUNK`` of them; that row meets the chunk's pixels.
+
+    Members learn their position from the two narrow columns of the table. The join hashes the small
+    side, so pixel rows are neither moved nor sorted.
+    """
+    more = [c for c in members.columns if c != "point_id"]
+    located = members.join(points.select("point_id", "pos", "chunk"), "point_id")
+    # A field of its own keeps members without further columns apart from points that are none.
+    entry = F.struct("pos", F.struct(F.lit(True).alias("_member"), *more).alias("held"))
+    chunks = located.groupBy("chunk").agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    joined = points.join(chunks.hint("shuffle_hash"), "chunk").withColumn("_one", F.try_element_at("_held", F.col("pos")))
+    columns = [c for c in points.columns if c != "chunk"]
+    return joined.where("_one._member").select(*columns, "chunk", *[F.col(f"_one.{c}").alias(c) for c in more])
+
+
 def build_c(
     machine: DataFrame, expert: DataFrame, n_machine: int, n_expert: int, strict: bool = True
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A membership state; the collection is a folder, so reading one collection reads its files only.
@@ -45,6 +45,34 @@ def open_bucketed(spark: SparkSession, path: str, table: str, schema: str, bucke
     return spark.table(table)
 
 
+# Positions of a chunk: the most members that one row of a chunk's members can hold.
+CHUNK = 1024
+
+
+def chunk_of(pos: Column) -> Column:
+    return F.floor(pos / F.lit(CHUNK)).cast("bigint")
+
+
+def write_chunked(points: DataFrame, path: str, table: str, buckets: int, mode: str = "errorifexists") -> DataFrame:
+    """Write the pixel table in chunks of neighbouring positions and return it.
+
+    Chunks are dealt to buckets and sorted by position, so a large membership joins by chunk without
+    moving pixels (see ``operators.curation.attach``), and a range of positions skips row groups. Take at
+    least as many buckets as shuffle partitions: Spark deals fewer ones out anew.
+    """
+    (
+        points.withColumn("chunk", chunk_of(F.col("pos")))
+        .repartition(buckets, "chunk")
+        .write.mode(mode)
+        .format("parquet")
+        .option("path", path)
+        .bucketBy(buckets, "chunk")
+        .sortBy("chunk", "pos")
+        .saveAsTable(table)
+    )
+    return points.sparkSession.table(table)
+
+
 def read_points(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Read points, optionally only the first by position (pushed to the scan)."""
     points = spark.read.parquet(path)

@@ -294,6 +294,51 @@ def test_small_memberships_are_broadcast_and_large_ones_are_not(points, monkeypa
     assert hinted(cur.BROADCAST_ROWS) and not hinted(cur.BROADCAST_ROWS + 1)
 
 
+@pytest.fixture(scope="module")
+def chunked(spark, points, tmp_path_factory):
+    from maskloom.sources import tables
+
+    folder = tmp_path_factory.mktemp("chunks")
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(tables, "CHUNK", 16)
+    yield tables.write_chunked(points, f"{folder}/points", "points_in_chunks", 16)
+    monkey.undo()
+    spark.sql("DROP TABLE points_in_chunks")
+
+
+def test_large_memberships_meet_chunks_without_moving_pixels(spark, chunked, monkeypatch):
+    monkeypatch.setattr(cur, "BROADCAST_ROWS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = chunked.where("pos % 3 = 0").select("point_id", (F.col("pos") * 2).alias("ord"))
+        inside = chunked.filter(splits.in_ranges(F.col("pos"), [(100, 300)]))
+        rows = cur.attach(inside, members, 1)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = {r["pos"]: r["ord"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {p: 2 * p for p in range(100, 300) if p % 3 == 0}
+    # The scan that reads the pixels has no exchange and no sort above it.
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "image" in line.split("PartitionFilters")[0])
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-*()0123456789"))
+    for line in reversed(lines[:at]):
+        own = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if own < depth:
+            depth = own
+            assert "Exchange" not in line and "Sort " not in line, plan
+    assert "PushedFilters: [" in lines[at] and "pos" in lines[at].split("PushedFilters")[1]
+
+
+def test_loop_over_chunks_gives_the_same(chunked, two_cycles, monkeypatch):
+    monkeypatch.setattr(cur, "BROADCAST_ROWS", 0)
+    again = make(chunked).run(1)
+    expected = two_cycles.store.load("run", 1, UPDATED).filter(F.col("collection").isin(*BASE))
+    assert held(again.base) == held(expected)
+    assert [s[3:] for s in again.scores] == [pytest.approx(s[3:]) for s in two_cycles.scores[:2]]
+
+
 def test_transfer(spark):
     registry = spark.createDataFrame([("Z", "a", 0), ("Z", "b", 1), ("B", "c", 0)], "collection string, point_id string, ord long")
     moved = held(cur.transfer_one(registry, "Z", "B"))
