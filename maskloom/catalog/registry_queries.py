@@ -15,6 +15,7 @@ from maskloom.operators.index import ordered_index, position_index
 from maskloom.session import shared_dir
 from maskloom.sources import images as img
 from maskloom.sources import tables
+from maskloom.sources.collections import CollectionCatalog
 
 
 def _setup(spark, folder):
@@ -325,3 +326,25 @@ def file_pairs(spark, folder):
         left.select("idx", F.col("page_id").alias("image_id")),
         right.select("idx", F.col("page_id").alias("mask_id")),
     )
+
+
+@query(f"""WITH {SQL_POINTS}, held AS (
+    SELECT 1 AS reg_no, NULL AS name, * FROM pts WHERE pos % 3 = 1
+    UNION ALL SELECT 2, 'kept', * FROM pts WHERE pos % 5 = 0
+    UNION ALL SELECT 3, 'replaced', * FROM pts WHERE pos % 2 = 0)
+  SELECT point_id, min(reg_no) AS reg_no, arg_min(coalesce(name, ''), reg_no) AS name, count(*) AS n_held
+  FROM held GROUP BY point_id""")
+def stored_catalog(spark, folder):
+    """Collections registered with and without a name, one replaced: who holds each point first."""
+    points = order_points(spark, folder)
+    rows = points.select("point_id", F.col("pos").alias("ord"), F.lit(None).cast("int").alias("value"))
+    catalog = CollectionCatalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog.register(rows.where("ord % 7 = 0"), "replaced")
+    catalog.register(rows.where("ord % 3 = 1"))
+    catalog.register(rows.where("ord % 5 = 0"), "kept")
+    catalog.register(rows.where("ord % 2 = 0"), "replaced")
+    counts = catalog.members().groupBy("point_id").agg(F.count("*").alias("n_held"))
+    first = catalog.find(points.select("point_id")).select(
+        "point_id", "reg_no", F.coalesce("name", F.lit("")).alias("name")
+    )
+    return first.join(counts, "point_id")
