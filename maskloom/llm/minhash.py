@@ -3,7 +3,7 @@
 1. One pass over the texts gives each document its set's size and digest, 128 minima, the keys of
    32 bands of 4 minima, and a signature of the 2 low bits of every minimum in four longs.
 2. Documents with equal sets are one class; everything below works on classes.
-3. Star rounds, until one finds no link: in each band bucket every class is paired with one of
+3. Star rounds, two at most: in each band bucket every class is paired with one of
    them, the center, another one in each round. Pairs whose estimated similarity (matching low bits,
    corrected for chance matches) is not far below the threshold are confirmed on the full sets. Links
    give components, and later rounds pair the center with other components only.
