@@ -7,6 +7,14 @@ probabilities counted over whole documents. A term that reveals more than a shar
 entity is generalised, above a higher share removed, at every place of the entity's documents or,
 as the registered query and the pipeline ask for, of all documents.
 
+Every pair of an entity and a term in one document or more is scored, and chance lowers its PMI. If
+the n documents of t were dealt at random, at least as many of them as found would hold e with a
+probability below 2 ** -(n * D(P(e | t) || P(e))), by Chernoff's bound. Times the number of terms
+whose documents are as many as those of t, within a power of two, that is how many terms chance
+would put beside e. PMI loses the bits by which this exceeds CHANCE. So a word that stands in one
+document, beside a value that does, too, reveals it where such words are rare, and not where every
+document has some.
+
 Copies of a document and fixed blocks, such as signatures, count like any other documents.
 Entities and terms are compared by 64-bit hashes. Counts are combined before every shuffle, so a
 value or term in very many documents meets in no task.
@@ -38,8 +46,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
-# Documents that hold both a value and a term, from which on the pair is scored.
-SUPPORT = 3
+# Terms beside a value by chance, up to which a pair's PMI stands unlowered.
+CHANCE = 0.001
+# At most so many terms are common, see disclosing_terms.
+COMMON = 100_000
 GENERALISE, REMOVE = 0.90, 0.95
 # Bits of the filter that a pass over all terms uses: 1 MB, whatever the input.
 _FILTER_BITS = 23
@@ -226,32 +236,31 @@ def _pair_counts(wanted: bytes):
     return run
 
 
-def _document_counts(wanted: bytes):
-    """Documents of each term whose slot is in the filter, combined within the task."""
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each term, combined within the task."""
+    names, counts, size = [], [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passes(wanted)
-        counts: dict[int, int] = {}
-
-        def flush():
-            yield pa.record_batch(
-                [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
-            )
-            counts.clear()
+    def flush():
+        terms, at = np.unique(np.concatenate(names), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        for low in range(0, len(terms), 1 << 16):
+            yield pa.record_batch([pa.array(c[low: low + (1 << 16)]) for c in (terms, n)], names=["term", "n"])
+        names.clear()
+        counts.clear()
 
-        for batch in _pieces(batches):
-            _, doc, terms, _, _ = _scan(batch.column("text"))
-            hit = passes(terms)
-            _, terms, _ = _counted(doc[hit], terms[hit])
-            names, n = np.unique(terms, return_counts=True)
-            for term, count in zip(names.tolist(), n.tolist()):
-                counts[term] = counts.get(term, 0) + count
-            if len(counts) > 500_000:
-                yield from flush()
+    for batch in _pieces(batches):
+        _, doc, terms, _, _ = _scan(batch.column("text"))
+        _, terms, _ = _counted(doc, terms)
+        terms, n = np.unique(terms, return_counts=True)
+        names.append(terms)
+        counts.append(n)
+        size += len(terms)
+        if size >= 1 << 21:
+            yield from flush()
+            size = 0
+    if names:
         yield from flush()
 
-    return run
-
 
 def _places(wanted: bytes):
     """Every place of each term whose slot is in the filter."""
@@ -271,36 +280,50 @@ def _places(wanted: bytes):
     return run
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, support: int = SUPPORT,
-                     generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _of_terms(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pairs with the count of their term.
+
+    A common term stands beside very many values. All counts together are COMMON times the limit, so
+    at most COMMON terms lie above it; these are broadcast, and the others meet by a shuffle.
+    """
+    limit = (counts.agg(F.sum("with_term")).first()[0] or 0) / COMMON
+    common = F.broadcast(counts.where(F.col("with_term") > limit))
+    rest = pairs.join(common.select("term"), "term", "left_anti").join(counts.where(F.col("with_term") <= limit), "term")
+    return pairs.join(common, "term").unionByName(rest)
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, generalise: float = GENERALISE,
+                     remove: float = REMOVE, chance: float = CHANCE) -> DataFrame:
     """(entity, term, action) of terms that reveal an entity; ``found`` as made from ``docs``.
 
     Of entities that stand in the same documents, one is listed.
     """
-    with_entity = (
-        found.select("row", F.explode("entities").alias("entity")).groupBy("entity").agg(
-            F.count("*").alias("with_entity"), F.expr("bit_xor(xxhash64(row))").alias("a"),
-            F.expr("bit_xor(xxhash64(row, 1))").alias("b"),
-        )
-        .where(F.col("with_entity") >= support)
+    with_entity = found.select("row", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count("*").alias("with_entity"), F.expr("bit_xor(xxhash64(row))").alias("a"),
+        F.expr("bit_xor(xxhash64(row, 1))").alias("b"),
     )
     # Values of the same documents reveal the same: one of them stands for all.
     with_entity = stored(with_entity.groupBy("a", "b", "with_entity").agg(F.min("entity").alias("entity")).drop("a", "b"))
     together = (
         found.select("entities", "terms").where(F.size("entities") > 0)
         .mapInArrow(_pair_counts(_filter(with_entity, "entity")), "entity bigint, term bigint, n bigint")
-        .groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support)
+        .groupBy("entity", "term").agg(F.sum("n").alias("both"))
     )
     together = stored(together.join(with_entity, "entity"))
-    counts = docs.select("text").mapInArrow(_document_counts(_filter(together, "term")), "term bigint, n bigint")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("with_term"))
-    total = found.count()
-    share_e = F.col("with_entity") / F.lit(max(total, 1))
-    information = -F.log2(share_e)
-    revealed = F.log2(F.col("both") / F.col("with_term") / share_e)
-    scored = together.join(counts, "term").select(
-        "entity", "term", F.when(information > 0, revealed / information).otherwise(0.0).alias("share")
-    )
+    counts = docs.select("text").mapInArrow(_document_counts, "term bigint, n bigint")
+    counts = stored(counts.groupBy("term").agg(F.sum("n").alias("with_term")))
+    rarity = F.floor(F.log2("with_term"))
+    # A row for each power of two.
+    alike = counts.groupBy(rarity.alias("rarity")).agg(F.count("*").alias("alike"))
+    share_e = F.col("with_entity") / F.lit(max(found.count(), 1))
+    share_t = F.col("both") / F.col("with_term")
+    pmi = F.log2(share_t / share_e)
+    without = F.when(share_t < 1, (1 - share_t) * F.log2((1 - share_t) / (1 - share_e))).otherwise(0.0)
+    evidence = F.col("with_term") * (share_t * pmi + without)
+    by_chance = F.greatest(F.lit(0.0), F.log2(F.col("alike").cast("double")) - F.log2(F.lit(chance)) - evidence)
+    share = F.when(share_e < 1, (pmi - by_chance) / -F.log2(share_e)).otherwise(0.0)
+    scored = _of_terms(together, counts).withColumn("rarity", rarity).join(F.broadcast(alike), "rarity")
+    scored = scored.select("entity", "term", share.alias("share"))
     action = F.when(F.col("share") >= remove, F.lit(1)).otherwise(F.lit(0))
     return scored.where(F.col("share") >= generalise).select("entity", "term", action.alias("action"))
 
@@ -351,7 +374,8 @@ def find_personal_data(docs: DataFrame, everywhere: bool = False, **thresholds)
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Spans are
     kind:start:end in code points, end exclusive, sorted by start and kind. Null and empty texts
     have none; null ids and repeated rows are documents of their own. Other columns are ignored.
-    Terms that reveal a value are marked in all documents that hold it, or ``everywhere``.
+    Terms that reveal a value are marked in all documents that hold it, or ``everywhere``; a value may
+    stand in one document only. An empty table gives no rows.
     """
 
     def count(kind: int) -> Column:
