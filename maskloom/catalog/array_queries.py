@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from maskloom.catalog.common import SQL_PX, bytes_images, images, long_rows, query, r6, sql_double
+from maskloom.catalog.common import SQL_PX, bytes_images, images, long_rows, query, r6, sql_double, sql_key
 from maskloom.functions import arrays as a
 from maskloom.functions.resize import resize_images
 from maskloom.operators import evaluate as ev
+from maskloom.operators import registry as reg
 from maskloom.operators import sampling
 from maskloom.operators.index import ordered_index
 from maskloom.plans import convert
@@ -438,3 +439,14 @@ def first_images(spark, folder):
     points = images(spark, folder)
     inside = F.size(F.filter("truth", lambda x: x > 0)).cast("bigint")
     return sampling.head(points, points.count() // 2, "pos").select("pos", inside.alias("inside"))
+
+
+@query(f"""WITH {SQL_PX}, o AS (
+    SELECT point_id, row_number() OVER (ORDER BY {sql_key('shuffle')}, point_id) - 1 AS idx
+    FROM (SELECT DISTINCT point_id FROM px))
+  SELECT idx, i, round(x, 6) AS v FROM px JOIN o USING (point_id)""")
+def stack_in_order(spark, folder):
+    """All pictures of a shuffled collection in its order, of one shape."""
+    points = images(spark, folder)
+    collection = reg.shuffled(points.select("point_id", F.col("pos").alias("ord")))
+    return long_rows(ev.stacked(collection, points), "idx")

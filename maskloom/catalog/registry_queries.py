@@ -312,6 +312,19 @@ def file_listing(spark, folder):
     return ordered_index(chosen, "url", "page_id").select("page_id", "idx")
 
 
+@query("""WITH files AS (SELECT page_id, regexp_extract(url, '^http://([^/]*)', 1) AS host, url FROM pages),
+  paths AS (SELECT page_id, regexp_extract(host, '[^.]*$', 0) || '/' || url || '#' || page_id AS path FROM files)
+  SELECT page_id, row_number() OVER (ORDER BY path) - 1 AS idx FROM paths
+  WHERE (path LIKE 'net/%' OR path LIKE 'org/%') AND NOT contains(path, '/de/')""")
+def folders_listing(spark, folder):
+    """Files of two folders ranked together by path; the last part of a page's host stands in for its folder."""
+    host = F.regexp_extract("url", "^http://([^/]*)", 1)
+    path = F.concat_ws("", F.regexp_extract(host, "[^.]*$", 0), F.lit("/"), "url", F.lit("#"), "page_id")
+    files = table(spark, folder, "pages").select("page_id", path.alias("path"))
+    both = files.filter(img.in_folders(F.col("path"), "net", "org/"))
+    return img.select_kind(both, "image", marker="/de/").select("page_id", "idx")
+
+
 @query("""WITH i AS (SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS idx FROM pages),
   m AS (SELECT page_id, row_number() OVER (ORDER BY length(html), page_id) - 1 AS idx FROM pages)
   SELECT i.page_id AS image_id, m.page_id AS mask_id, idx FROM i JOIN m USING (idx)""")

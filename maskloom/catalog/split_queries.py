@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from maskloom.catalog.common import SQL_POINTS, order_points, query, sql_key, sql_share
+from maskloom.catalog.common import SQL_POINTS, order_points, query, sql_key, sql_share, table
 from maskloom.operators import index, sampling, splits
 from maskloom.operators import registry as reg
 
@@ -166,3 +166,41 @@ def head_n(spark, folder):
     points = order_points(spark, folder)
     first = sampling.head(points, points.count() // 4, "pos")
     return first.select("point_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query("""WITH lines AS (
+    SELECT l_orderkey, l_linenumber, l_linenumber / 10::DOUBLE AS "A", (l_suppkey % 5 + 2) / 10::DOUBLE AS a_test,
+           CASE WHEN l_returnflag = 'A' THEN l_tax ELSE 0::DOUBLE END AS off_b,
+           CASE WHEN l_returnflag = 'R' THEN l_tax ELSE 0::DOUBLE END AS off_a,
+           CASE WHEN l_linestatus = 'F' THEN l_discount ELSE 0::DOUBLE END AS off_parts,
+           CASE WHEN l_partkey % 4 = 0 THEN l_discount ELSE 0::DOUBLE END AS off_z
+    FROM lineitem), w AS (
+    SELECT *, 0.1::DOUBLE AS a_train, 0.9::DOUBLE - a_test + off_a AS a_val, "A" * a_test + off_b AS b,
+           0.7::DOUBLE AS b_train, 0.1::DOUBLE AS b_val, 0.2::DOUBLE + off_parts AS b_test FROM lines), z AS (
+    SELECT *, 1::DOUBLE - "A" - b + off_z AS z FROM w)
+  SELECT l_orderkey, l_linenumber, CASE
+    WHEN abs(a_train + a_val + a_test - 1::DOUBLE) > 1e-8::DOUBLE + 1e-6::DOUBLE THEN 'A_train + A_val + A_test must be 1'
+    WHEN abs(b_train + b_val + b_test - 1::DOUBLE) > 1e-8::DOUBLE + 1e-6::DOUBLE THEN 'B_train + B_val + B_test must be 1'
+    WHEN abs("A" + b + z - 1::DOUBLE) > 1e-8::DOUBLE + 1e-6::DOUBLE THEN 'A + B + Z must be 1'
+    WHEN abs("A" * a_test - b) > 1e-8::DOUBLE + 1e-6::DOUBLE * abs(b) THEN 'A * A_test must be B'
+    WHEN z < 0.1::DOUBLE THEN 'Z must be at least 0.1' END AS rule FROM z""")
+def weight_rules(spark, folder):
+    """First rule that the weights of each order line break; the lines stand in for settings to be tried."""
+    lines = table(spark, folder, "lineitem")
+
+    def only(condition, amount):
+        return F.when(condition, F.col(amount)).otherwise(F.lit(0.0))
+
+    shares = lines.select(
+        "l_orderkey", "l_linenumber", (F.col("l_linenumber") / 10.0).alias("A"),
+        ((F.col("l_suppkey") % 5 + 2) / 10.0).alias("A_test"),
+        only(F.col("l_returnflag") == "A", "l_tax").alias("off_b"), only(F.col("l_returnflag") == "R", "l_tax").alias("off_a"),
+        only(F.col("l_linestatus") == "F", "l_discount").alias("off_parts"),
+        only(F.col("l_partkey") % 4 == 0, "l_discount").alias("off_z"),
+    )
+    weights = shares.select(
+        "*", F.lit(0.1).alias("A_train"), (F.lit(0.9) - F.col("A_test") + F.col("off_a")).alias("A_val"),
+        (F.col("A") * F.col("A_test") + F.col("off_b")).alias("B"), F.lit(0.7).alias("B_train"),
+        F.lit(0.1).alias("B_val"), (F.lit(0.2) + F.col("off_parts")).alias("B_test"),
+    ).withColumn("Z", F.lit(1.0) - F.col("A") - F.col("B") + F.col("off_z"))
+    return weights.select("l_orderkey", "l_linenumber", splits.broken_rule().alias("rule"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import metrics as m
 from maskloom.functions.arrays import argmax
+from maskloom.operators.index import position_index
 
 BATCH_SIZE = 32
 _SUMS = ("n", "tp", "st", "sp", "bce")
@@ -128,6 +129,24 @@ def require_uniform(df: DataFrame) -> DataFrame:
     return df
 
 
+def stacked(collection: DataFrame, points: DataFrame, image: str = "image") -> DataFrame:
+    """(idx, h, w, image) of a collection's points in its order, all of one shape.
+
+    Places are found on the ids alone, and shapes are checked without the pixels. A point without a row
+    in ``points`` raises ``ValueError``.
+    """
+    ids = position_index(collection.select("point_id", "ord")).select("point_id", "idx")
+    rows = ids.join(points.select("point_id", "h", "w", F.col(image).alias("image")), "point_id", "left")
+    lacking, shapes = rows.agg(
+        F.count_if(F.col("h").isNull()), F.count_distinct(F.struct("h", "w"))
+    ).first()
+    if lacking:
+        raise ValueError(f"{lacking} points without an image")
+    if shapes != 1:
+        raise ValueError("images of different shapes" if shapes else "no images")
+    return rows.select("idx", "h", "w", "image").orderBy("idx")
+
+
 def unique_values(df: DataFrame, image: str = "image") -> DataFrame:
     """Distinct pixel values with the number of images holding each."""
     return (

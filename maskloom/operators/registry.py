@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import DEFAULT_SEED, point_id
-from maskloom.operators.index import ordered_index, position_index, random_index
+from maskloom.operators.index import ORD_BUCKET, ordered_index, position_index, random_index
+
+# Ranges of ``ord`` that one pass of get_at counts.
+PARTS = 4096
 
 
 # --- building collections -------------------------------------------------------------------
@@ -82,12 +85,29 @@ def remove(collection: DataFrame, ids: DataFrame, strict: bool = True) -> DataFr
 
 
 def get_at(collection: DataFrame, index: int) -> DataFrame:
-    """Row at a place; a negative index counts from the end."""
-    size = collection.count()
+    """Row at a place; a negative index counts from the end.
+
+    Counts by range of ``ord`` lead to the range that holds the place, ``PARTS`` ranges at a time, so
+    that only rows of one range of ``ORD_BUCKET`` are sorted, and the range reaches the scan.
+    """
+    size, low, high = collection.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
     at = index + size if index < 0 else index
     if not 0 <= at < size:
         raise IndexError(index)
-    return position_index(collection).filter(F.col("idx") == at)
+    rows, left = collection, at
+    while high - low >= ORD_BUCKET:
+        width = -(-(high - low + 1) // PARTS)
+        counts = rows.groupBy(F.expr(f"(ord - {low}) div {width}").alias("part")).count().collect()
+        for part, n in sorted(counts):
+            if left < n:
+                break
+            left -= n
+        low += part * width
+        high = low + width - 1
+        rows = collection.filter(F.col("ord").between(low, high))
+    place = F.row_number().over(Window.orderBy("ord"))
+    found = rows.withColumn("idx", place).filter(F.col("idx") == left + 1)
+    return found.withColumn("idx", F.lit(at).cast("bigint"))
 
 
 def get_point(collection: DataFrame, wanted: str, strict: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ right, because ``int(w * n)`` depends on that order.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,26 +49,43 @@ FALLBACK_C_RATIOS = (0.4, 0.1, 0.5)
 MIN_RESERVE = 0.1
 
 
-def _close(x: float, y: float, tolerance: float) -> bool:
-    return abs(x - y) <= 1e-8 + tolerance * abs(y)
+def _close(x: float | Column, y: float | Column, tolerance: float) -> bool | Column:
+    def size(v):
+        return F.abs(v) if isinstance(v, Column) else abs(v)
 
+    return size(x - y) <= 1e-8 + tolerance * size(y)
 
-def validate_weights(weights: Weights | dict, tolerance: float = 1e-6) -> bool:
-    """Check the five rules in order; the first broken one raises ``ValueError``."""
-    w = Weights.of(weights)
-    rules = [
+
+def _rules(w: Weights, tolerance: float) -> list[tuple[bool | Column, str]]:
+    """(does it hold?, message) of the five rules, for numbers or columns."""
+    return [
         (_close(w.A_train + w.A_val + w.A_test, 1, tolerance), "A_train + A_val + A_test must be 1"),
         (_close(w.B_train + w.B_val + w.B_test, 1, tolerance), "B_train + B_val + B_test must be 1"),
         (_close(w.A + w.B + w.Z, 1, tolerance), "A + B + Z must be 1"),
         (_close(w.A * w.A_test, w.B, tolerance), "A * A_test must be B"),
         (w.Z >= MIN_RESERVE, f"Z must be at least {MIN_RESERVE}"),
     ]
-    for holds, message in rules:
+
+
+def validate_weights(weights: Weights | dict, tolerance: float = 1e-6) -> bool:
+    """Check the five rules in order; the first broken one raises ``ValueError``."""
+    for holds, message in _rules(Weights.of(weights), tolerance):
         if not holds:
             raise ValueError(message)
     return True
 
 
+def broken_rule(tolerance: float = 1e-6) -> Column:
+    """Message of the first rule that a row of weights breaks, null if all hold.
+
+    The row has a column for each field of ``Weights``; a null breaks the rules it stands in.
+    """
+    w = Weights(*[F.col(f.name).cast("double") for f in fields(Weights)])
+    return F.coalesce(
+        *[F.when(~F.coalesce(holds, F.lit(False)), F.lit(message)) for holds, message in _rules(w, tolerance)]
+    )
+
+
 def abz_sizes(n: int, weights: Weights | dict | None = None) -> tuple[int, int, int]:
     """Sizes of A, B and Z for ``n`` points; what truncation leaves over is dropped."""
     if weights:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,13 @@ def select_kind(files: DataFrame, kind: str, path: str = "path", marker: str = M
     return ordered_index(files.filter(is_kind(F.col(path), kind, marker)), path)
 
 
+def in_folders(path: Column, *folders: str) -> Column:
+    """Does a path lie in one of the folders or below?"""
+    if not folders:
+        raise ValueError("no folder given")
+    return reduce(or_, [path.startswith(folder.rstrip("/") + "/") for folder in folders])
+
+
 def list_files(spark: SparkSession, *folders: str, pattern: str = "*.*") -> DataFrame:
     """(path) of the files in one or more folders; contents are not read."""
     return (

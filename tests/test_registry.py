@@ -135,6 +135,20 @@ def test_get(spark, walk):
         reg.get_point(c1, P2)
 
 
+@pytest.mark.parametrize("parts", [2, 4096])
+def test_get_at_in_wide_and_clustered_orders(spark, monkeypatch, parts):
+    """Places found range by range equal the sorted list, negative and far orders included."""
+    monkeypatch.setattr(reg, "ORD_BUCKET", 4)
+    monkeypatch.setattr(reg, "PARTS", parts)
+    ords = sorted({*range(-9, 3), *range(500, 505), 77, -(10**12), 10**15, 10**15 + 1})
+    c = rows(spark, [(f"p{o}", o) for o in reversed(ords)], "point_id string, ord long")
+    for at in (0, 1, 9, 13, len(ords) - 2, -1, -len(ords)):
+        hit = reg.get_at(c, at).collect()
+        assert [(r.point_id, r.idx) for r in hit] == [(f"p{ords[at]}", at % len(ords))]
+    with pytest.raises(IndexError):
+        reg.get_at(c.limit(0), 0)
+
+
 def test_register_replaces_and_unknown_names_are_none(spark, walk):
     box = reg.Registry(walk).register(rows(spark, [("n", 0)], "point_id string, ord long"), "c2")
     assert order(box.members, "c2") == ["n"]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from maskloom.operators import evaluate as ev
 from maskloom.operators import registry as reg
 from maskloom.plans import convert
 from maskloom.sources import images as img
@@ -203,3 +204,27 @@ def test_deep_pictures_are_refused(spark, tmp_path):
     write_png(tmp_path / "deep.png", np.array([[0, 300]]), bits=16)
     with pytest.raises(ValueError, match="deep.png has 16 bits"):
         img.read_images(spark, str(tmp_path))
+
+
+def test_folders_by_path(spark):
+    paths = spark.createDataFrame([("a/x",), ("a/b/y",), ("ab/z",), ("c/a/w",), (None,)], ["path"])
+    got = paths.filter(img.in_folders(F.col("path"), "a/", "c")).collect()
+    assert sorted(r.path for r in got) == ["a/b/y", "a/x", "c/a/w"]
+    with pytest.raises(ValueError, match="no folder"):
+        img.in_folders(F.col("path"))
+
+
+def test_stacked_in_order_and_of_one_shape(spark):
+    points = spark.createDataFrame(
+        [("a", 1, 2, [1, 2]), ("b", 1, 2, [3, 4]), ("c", 2, 1, [5, 6])], "point_id string, h int, w int, image array<int>"
+    )
+
+    def held(*ids):
+        rows = [(p, 10 * (k + 1)) for k, p in enumerate(ids)]
+        return spark.createDataFrame(rows, "point_id string, ord long")
+
+    got = ev.stacked(held("b", "a"), points).collect()
+    assert [(r.idx, r.h, r.w, r.image) for r in got] == [(0, 1, 2, [3, 4]), (1, 1, 2, [1, 2])]
+    for ids, message in ((("a", "c"), "different shapes"), (("a", "z"), "1 points without"), ((), "no images")):
+        with pytest.raises(ValueError, match=message):
+            ev.stacked(held(*ids), points)

@@ -38,6 +38,26 @@ def test_broken_weights(change, message):
         splits.validate_weights({**splits.DEFAULT_WEIGHTS.as_dict(), **change})
 
 
+def test_broken_rules_of_a_table_equal_those_of_single_weights(spark):
+    base = splits.DEFAULT_WEIGHTS.as_dict()
+    tried = [base] + [{**base, name: base[name] + off} for name in base for off in (-0.2, 1e-7, 1e-9, 0.15)]
+    tried.append({**base, "B": 0.4, "A_test": 0.8, "A_val": 0.1, "Z": 0.1})
+    tried.append({**base, "B": 0.2, "Z": 0.3})
+    tried.append({**base, "A": 0.7, "A_val": 0.55, "A_test": 0.35, "B": 0.245, "Z": 0.055})
+
+    def message(weights):
+        try:
+            splits.validate_weights(weights)
+        except ValueError as error:
+            return str(error)
+
+    rows = spark.createDataFrame([(k, *w.values()) for k, w in enumerate(tried)], ["k", *base])
+    got = {r.k: r.rule for r in rows.select("k", splits.broken_rule().alias("rule")).collect()}
+    assert [got[k] for k in range(len(tried))] == [message(w) for w in tried] and len(set(got.values())) == 6
+    lacking = rows.limit(1).withColumn("Z", F.lit(None).cast("double"))
+    assert lacking.select(splits.broken_rule()).first()[0] == "A + B + Z must be 1"
+
+
 def test_reserve_of_exactly_a_tenth_is_accepted():
     weights = splits.Weights(0.6, 0.25, 0.25, 0.5, 0.3, 0.7, 0.1, 0.2, 0.1)
     assert splits.validate_weights(weights)
