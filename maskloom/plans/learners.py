@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import importlib
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import arrays as a
 from maskloom.functions import metrics as m
+from maskloom.plans import trainer
+from maskloom.session import cut_lineage
 
 HISTORY_SCHEMA = (
     "model string, epoch int, loss double, metric double, val_loss double, val_metric double"
@@ -211,6 +215,40 @@ def pixel_features(df: DataFrame, *keep: str, truth: str | None = "truth") -> Da
     return long.select(*columns)
 
 
+def _pixel_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        images, truths, heights, widths = (batch.column(k) for k in range(4))
+        for k in range(batch.num_rows):
+            if not images[k].is_valid:
+                continue
+            x = images[k].values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            h, w = heights[k].as_py(), widths[k].as_py()
+            if h is None or w is None or len(x) != h * w:
+                raise ValueError(f"a picture of {h} x {w} holds {len(x)} pixels")
+            if not len(x):
+                continue
+            t = np.full(len(x), np.nan)
+            if truths[k].is_valid:
+                known = truths[k].values.cast(pa.float64()).to_numpy(zero_copy_only=False)[: len(x)]
+                t[: len(known)] = known
+            # Sums over three rows, then over three columns; the frame around the picture adds nothing.
+            framed = np.pad(x.reshape(h, w), 1)
+            rows = framed[:-2] + framed[1:-1] + framed[2:]
+            total = rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]
+            beside = [np.minimum(np.arange(n), 1) + np.minimum(np.arange(n)[::-1], 1) + 1 for n in (h, w)]
+            mean3 = total / np.outer(*beside)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, mean3.ravel(), t)], names=["x", "mean3", "t"])
+
+
+def pixel_rows(df: DataFrame) -> DataFrame:
+    """(x, mean3, t) per pixel as ``pixel_features`` gives them, by an Arrow kernel a picture at a time.
+
+    A missing number is NaN here. Spark cannot unfold the features into each use of them, as it does
+    with column expressions, so a fit may name them often.
+    """
+    return df.select("image", "truth", "h", "w").mapInArrow(_pixel_batches, "x double, mean3 double, t double")
+
+
 @dataclass
 class PixelLogisticModel:
     intercept: float
@@ -272,6 +310,29 @@ class PixelLogisticSegmenter:
         return model
 
 
+@dataclass
+class AdditivePixelSegmenter:
+    """The same model fitted by additive sums: validation loss ends the fit, and the loss, the metric
+    and callbacks may be one's own (see ``trainer.fit_linear``)."""
+
+    epochs: int = 20
+    patience: int = 2
+    reg: float = 0.0
+    loss: str | trainer.Loss = "log"
+    metric: trainer.Expression = trainer.accuracy
+    method: str = "newton"
+    rate: float = 1.0
+    callbacks: Sequence[trainer.Callback] = ()
+
+    def fit(self, train: DataFrame, val: DataFrame) -> PixelLogisticModel:
+        fitted = trainer.fit_linear(
+            pixel_rows(train), pixel_rows(val), ("x", "mean3"), "t", self.loss, self.metric,
+            self.epochs, self.patience, self.reg, self.method, self.rate, self.callbacks,
+        )
+        history = [("pixel_additive", *row) for row in fitted.history]
+        return PixelLogisticModel(fitted.weights[0], fitted.weights[1:], history)
+
+
 # --- pair features --------------------------------------------------------------------------
 
 
@@ -451,15 +512,59 @@ class PairLogisticDiscriminator:
         return PairLogisticModel(self.cut, best[1], history)
 
 
+@dataclass
+class PairLinearModel:
+    """Logistic score of the pair features; ``weights`` has the intercept first."""
+
+    cut: float
+    weights: tuple[float, ...]
+    history: list[tuple] = field(default_factory=list)
+
+    def transform(self, pairs: DataFrame) -> DataFrame:
+        score = F.lit(self.weights[0])
+        for name, weight in zip(FEATURES, self.weights[1:]):
+            score = score + F.lit(weight) * F.col(name)
+        machine = trainer.sigmoid(score)
+        return pair_features(pairs, self.cut, "label").select(
+            "point_id", "label", F.array(F.lit(1.0) - machine, machine).alias("scores")
+        ).withColumn("verdict", a.argmax("scores"))
+
+
+@dataclass
+class AdditivePairDiscriminator:
+    """Logistic rule on the pair features, fitted by additive sums with early stopping."""
+
+    cut: float
+    epochs: int = 20
+    patience: int = 2
+    reg: float = 0.01
+    loss: str | trainer.Loss = "log"
+    metric: trainer.Expression = trainer.accuracy
+    method: str = "newton"
+    rate: float = 1.0
+    callbacks: Sequence[trainer.Callback] = ()
+
+    def fit(self, train: DataFrame, val: DataFrame) -> PairLinearModel:
+        # A pair is a row of five numbers, read once per epoch: written, not computed again.
+        rows, val_rows = (cut_lineage(pair_features(df, self.cut, "label")) for df in (train, val))
+        fitted = trainer.fit_linear(
+            rows, val_rows, FEATURES, "label", self.loss, self.metric,
+            self.epochs, self.patience, self.reg, self.method, self.rate, self.callbacks,
+        )
+        return PairLinearModel(self.cut, fitted.weights, [("pair_additive", *row) for row in fitted.history])
+
+
 # --- choosing learners by name --------------------------------------------------------------
 
 SEGMENTERS: dict[str, Callable[..., Segmenter]] = {
     "threshold": ThresholdSegmenter,
     "pixel_logistic": PixelLogisticSegmenter,
+    "pixel_additive": AdditivePixelSegmenter,
 }
 DISCRIMINATORS: dict[str, Callable[..., Discriminator]] = {
     "agreement": AgreementDiscriminator,
     "pair_logistic": PairLogisticDiscriminator,
+    "pair_additive": AdditivePairDiscriminator,
 }
 
 
@@ -479,6 +584,7 @@ MODELS = {
     "pixel_logistic": (PixelLogisticModel, ("intercept", "weights")),
     "agreement": (AgreementModel, ("cut", "tau", "slope")),
     "pair_logistic": (PairLogisticModel, ("cut",)),
+    "pair_additive": (PairLinearModel, ("cut", "weights")),
 }
 
 
