@@ -17,27 +17,48 @@ from maskloom.llm.toxicity import keep_clean, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model fitted to the labels does not call toxic."""
+    """Documents that a model fitted to the labels does not call toxic.
+
+    Every row is judged by its whole text alone, repeated ones alike; null and empty texts are
+    scored as texts without words. Rows and columns, null ids and other columns of any name
+    included, are passed on as they are. An empty table gives an empty one.
+    """
     return keep_clean(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Null and blank texts are like no other and stay. Rows equal in every column count once, and rows
+    of the same id and text whose other columns differ all stay. A null id is never the smallest; in
+    a group of null ids alone all stay.
+    """
     return one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that reveal it replaced."""
+    """All documents, with personal data and terms that reveal it replaced.
+
+    Only the text changes. Null texts stay null, and repeated rows, null ids and columns of any name
+    stay as they are.
+    """
     return sanitise(docs, everywhere=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by target weights: documents repeated for epochs, or left out."""
+    """The mix of sources by target weights: documents repeated for epochs, or left out.
+
+    Texts without a word have no size and are left out. A null source is a source of its own, the
+    last; rows without a label get the plain weight. Rows that share id and text are taken alike.
+    """
     return mix_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences, with their token ids."""
+    """Pieces of all documents in sequences, with their token ids.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are documents of their own.
+    """
     return pack(docs)
 
 
