@@ -48,8 +48,13 @@ def to_float(image) -> Column:
 
 
 def to_uint8(image) -> Column:
-    """Truncate to whole intensities; values are in 0..255."""
-    return F.transform(_col(image), lambda x: F.floor(x).cast("int"))
+    """Truncate to whole intensities, toward zero; beyond 0..255 they wrap round, and NaN gives 0."""
+
+    def whole(x: Column) -> Column:
+        x = x.cast("double")
+        return F.when(F.isnan(x), F.lit(0)).otherwise(x.cast("bigint").bitwiseAND(F.lit(255)).cast("int"))
+
+    return F.transform(_col(image), whole)
 
 
 def threshold(scores, cut: float = 0.5) -> Column:

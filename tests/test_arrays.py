@@ -45,6 +45,7 @@ def test_gray(spark):
 
 def test_uint8_truncates(spark):
     assert one(spark, [[0.0, 0.99, 254.9]], a.to_uint8("image")) == [0, 0, 254]
+    assert one(spark, [[-1.5, -0.5, 256.0, 300.7, float("nan")]], a.to_uint8("image")) == [255, 0, 0, 44, 0]
 
 
 def test_inverted_masks(spark):
