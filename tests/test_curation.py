@@ -363,6 +363,18 @@ def test_learners_by_name():
         learners.make_segmenter("unknown")
 
 
+def test_loop_with_additive_learners(points):
+    chosen = {"segmenter": "pixel_additive", "discriminator": "pair_additive"}
+    loop = CurationLoop(points, LoopSettings(store_after_each_step=True), **chosen).run(1)
+    classifier, discriminator = loop.scores
+    assert classifier[4] > 0.9 and 0.3 <= discriminator[4] <= 1
+    epochs = [row for row in loop.history if row[2] == "pixel_additive"]
+    assert len(epochs) >= 3 and all(row[6] is not None for row in epochs)
+    again = CurationLoop(points, loop.settings, path=loop.path, **chosen)
+    again.resume(None, cycle=1, step=4)
+    assert again.segmenter_model.weights == loop.segmenter_model.weights
+
+
 def test_loop_with_mllib_learners(points):
     loop = CurationLoop(points, LoopSettings(), segmenter="pixel_logistic", discriminator="pair_logistic").run(1)
     classifier, discriminator = loop.scores
