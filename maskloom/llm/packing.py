@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from maskloom.llm.tokens import by_size, encoder
+from maskloom.llm.tokens import encoder, slices
 
 LENGTH = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 21
 WIDTH = 1024
+# Bytes of a worker's memo of encoded parts: packing follows stages that fill the executor's heap.
+MEMO = 48 << 20
 
 _SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -87,7 +89,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, MEMO, True).encode
         end = np.uint32(end_id).tobytes()
         base = TaskContext.get().partitionId() << 32
         names: list = []
@@ -120,9 +122,8 @@ def pack(
             tokens = 0
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in by_size(texts):
-                for doc_id, piece in zip(ids[low:high], encode(texts[low:high])):
+            for part in slices(batch):
+                for doc_id, piece in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     names.append(doc_id)
                     held.append(piece + end)
                     tokens += len(piece) // 4 + 1

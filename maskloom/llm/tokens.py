@@ -6,6 +6,11 @@ import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _RUN = re.compile(r"\s\s")
 # A blank between two other characters always starts a new part for a byte-level tokenizer of
@@ -31,14 +36,20 @@ def _byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    """Ids of parts that follow a blank, made on first use; ``held`` estimates their bytes."""
+    """Ids of parts that follow a blank, made on first use; ``held`` estimates their bytes.
+
+    Parts that an older memo knows are taken from there.
+    """
 
-    def __init__(self, coder: "Encoder"):
-        self.coder, self.held = coder, 0
+    def __init__(self, coder: "Encoder", older: dict[str, bytes]):
+        self.coder, self.older, self.held = coder, older, 0
 
     def __missing__(self, part: str) -> bytes:
         coder = self.coder
-        if part.isalpha():
+        known = self.older.get(part)
+        if known is not None:
+            value = known
+        elif part.isalpha():
             value = coder.unit(" " + part)
         else:
             word = part.rstrip(_SIGNS)
@@ -57,9 +68,12 @@ class Encoder:
     Words repeat far more often than the tokenizer's own cache can hold, so each distinct part
     of a text is encoded once while it stays in a memo of bounded size. Letters followed by signs
     go straight to the tokenizer's model, anything else through the whole tokenizer.
+
+    With ``generations`` a full memo becomes the older one, from which parts that are met again
+    are taken over, so that frequent parts stay; both together hold about ``limit`` bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = _LIMIT, generations: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -67,7 +81,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.letters = dict(enumerate(_byte_letters()))
-        self.parts = _Memo(self)
+        self.limit, self.generations = limit // 2 if generations else limit, generations
+        self.parts = _Memo(self, {})
         self.known_signs: dict[str, bytes] = {}
 
     def unit(self, unit: str) -> bytes:
@@ -123,24 +138,37 @@ class Encoder:
                 first = self.any_part("", parts[0])
                 del parts[0]
                 out.append(first + b"".join(map(part_ids, parts)))
+                if self.parts.held > self.limit:
+                    older = self.parts if self.generations else {}
+                    self.parts.older = {}
+                    self.parts = _Memo(self, older)
+                    part_ids = self.parts.__getitem__
         finally:
             if collecting:
                 gc.enable()
-        if self.parts.held > _LIMIT:
-            self.parts.clear()
-            self.parts.held = 0
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, limit: int = _LIMIT, generations: bool = False) -> Encoder:
     """The encoder of this Python worker for a tokenizer file."""
-    path = path or tokenizer_path()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path or tokenizer_path(), limit, generations)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
+def slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The ranges of ``by_size`` for the texts in a batch's second column, still in Arrow."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = before = 0
+    while low < len(ends):
+        high = min(len(ends), int(np.searchsorted(ends, before + most)) + 1)
+        yield batch.slice(low, high - low)
+        low, before = high, ends[high - 1]
 
 
 def by_size(texts: list[str | None], most: int = 1 << 21):

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_spans, crc, near_documents, near_vectors, repeats, span_text, token_ids
 from pyspark.sql import functions as F
@@ -218,6 +219,52 @@ def test_encoder_equals_the_tokenizer():
     assert [g + np.uint32(9).tobytes() for g in got] == token_ids(texts, 9)
 
 
+def test_packing_keeps_little_between_texts(monkeypatch):
+    """Many distinct words: what a worker remembers stays small, and texts leave Arrow bit by bit."""
+    taken, packed = [], {}
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Context:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    encode = tokens.Encoder.encode
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, texts: taken.append(sum(map(len, texts))) or encode(self, texts))
+    texts = [" ".join(f"{k:x}q{n:x}" for k in range(n, n + 1000)) for n in range(0, 450_000, 1000)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for part in packing.pack(Docs())(iter([batch])):
+        for row in part.to_pylist():
+            packed[row["doc_id"]] = packed.get(row["doc_id"], 0) + row["length"]
+    assert max(taken) < (1 << 21) + max(map(len, texts)) and sum(taken) == sum(map(len, texts))
+    held = [c.parts.held + getattr(c.parts.older, "held", 0) for c in tokens._ENCODERS.values()]
+    assert 0 < sum(held) < 50 << 20
+    ids = token_ids(texts[:3] + texts[-3:], 1)
+    assert [packed[k] for k in (0, 1, 2, 447, 448, 449)] == [len(i) // 4 for i in ids]
+
+
+def test_a_full_memo_changes_no_ids():
+    texts = [f"common words, w{k} (and x{k % 50}) stand here\nor there {k * k}" for k in range(2000)]
+    for limit, generations in ((1 << 12, True), (1 << 12, False), (1 << 30, True)):
+        coder = tokens.Encoder(tokens.tokenizer_path(), limit, generations)
+        assert [x + b"\1\0\0\0" for x in coder.encode(texts)] == token_ids(texts, 1)
+
+
+def test_slices_are_the_ranges_by_size():
+    for texts in ([], [None], ["", None, ""], ["ab", None, "c\u00e9\u20ac", "", "d" * 9, "e", "f"], ["long text"] * 5):
+        batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        for most in (1, 3, 5, 100):
+            found = [x.column(1).to_pylist() for x in tokens.slices(batch, most)]
+            assert found == [texts[a:b] for a, b in tokens.by_size(texts, most)]
+
+
 def test_assign_fills_sequences():
     lengths = [5000, 1, 2048, 700, 700, 700, 2047, 3, 4096, 900]
     pieces, used = packing.assign(lengths)
